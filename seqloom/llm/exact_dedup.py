@@ -46,23 +46,28 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
            .where((F.col("__n") >= HOT_ROWS) & (F.col("__n") * HOT_SHARE >= docs.agg(F.count(F.lit(1))).scalar()))
            .select("__h", F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(ident), F.lit(SALTS))).otherwise(F.lit(0))
-    ranged = (keyed.join(F.broadcast(hot), "__h", "left").withColumn("__salt", salt)
-              .repartitionByRange("__p", "__h", "__salt")
-              .withColumn("__norm", lower_az(raw)))
+    salted = keyed.join(F.broadcast(hot), "__h", "left").withColumn("__salt", salt)
 
     equal = Window.partitionBy("__p", "__h", "__salt", "__norm")
     order = ident.asc_nulls_last() if keep == "smallest" else ident.desc_nulls_last()
-    near = ranged.withColumns({
-        "__rn": F.row_number().over(equal.orderBy(order)),
-        "__best": best(ident).over(equal),
-        "__size": F.count(F.lit(1)).over(equal),
-    }).withColumn("text_sha256", F.sha2(F.encode("__norm", "UTF-8"), 256))
 
-    across = (near.where(F.col("__hot") & (F.col("__rn") == 1))
+    def sorted_groups(rows):
+        ranged = rows.repartitionByRange("__p", "__h", "__salt").withColumn("__norm", lower_az(raw))
+        return ranged.withColumns({
+            "__rn": F.row_number().over(equal.orderBy(order)),
+            "__best": best(ident).over(equal),
+            "__size": F.count(F.lit(1)).over(equal),
+        }).withColumn("text_sha256", F.sha2(F.encode("__norm", "UTF-8"), 256))
+
+    near = sorted_groups(salted)
+    # Hot texts once more, alone: what their ranges kept is compared across ranges.
+    across = (sorted_groups(salted.where(F.col("__hot")).select("__p", "__h", "__salt", id_col, text_col))
+              .where(F.col("__rn") == 1)
               .groupBy("__h", "__norm", "text_sha256")
               .agg(best("__best").alias("__all_best"), F.sum("__size").alias("__all_size"))
-              .select("__h", "text_sha256", "__all_best", "__all_size"))
-    out = near.join(F.broadcast(across), ["__h", "text_sha256"], "left")
+              .select("__h", F.col("text_sha256").alias("__sha"), "__all_best", "__all_size"))
+    same = (near["__h"] == across["__h"]) & (near["text_sha256"] == across["__sha"])
+    out = near.join(F.broadcast(across), same, "left").drop(across["__h"])
     keep_id = F.when(F.col("__hot"), F.col("__all_best")).otherwise(F.col("__best"))
     return out.select(
         *[F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")],
