@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, chat, exact_dedup, mixing, secret_scan, topk, toxicity
 
 
 def queries():
@@ -10,6 +10,9 @@ def queries():
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_topk": topk.op7_topk,
+        "op9_chat": chat.op9_chat,
         "op10_mixing": mixing.op10_mixing,
     }
 
@@ -17,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op7_topk": topk.SQL,
         "op10_mixing": mixing.sql(),
     }
