@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,12 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salt_by: Column,
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (big.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
             .join(salted, [key, "__salt"], how).drop("__salt"))
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a compressed columnar table in the shared folder; for
+    data of which later steps read single columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, secret_scan, topk, toxicity
+from . import bpe, chat, exact_dedup, mixing, near_dedup, secret_scan, topk, toxicity
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_topk": topk.op7_topk,
