@@ -30,10 +30,11 @@ SALTS = 64
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", prefix: str = "") -> DataFrame:
     """All rows of ``docs`` plus ``keep_id``, ``group_size``, ``kept`` and
-    ``text_sha256`` (of the normalised text). ``keep`` names the id that stays
-    of equal texts: ``smallest`` or ``largest``."""
+    ``text_sha256`` (of the normalised text), their names led by ``prefix``; they
+    replace columns of the same names. ``keep`` names the id that stays of equal
+    texts: ``smallest`` or ``largest``."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     best = F.min if keep == "smallest" else F.max
@@ -57,24 +58,26 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
             "__rn": F.row_number().over(equal.orderBy(order)),
             "__best": best(ident).over(equal),
             "__size": F.count(F.lit(1)).over(equal),
-        }).withColumn("text_sha256", F.sha2(F.encode("__norm", "UTF-8"), 256))
+        }).withColumn("__digest", F.sha2(F.encode("__norm", "UTF-8"), 256))
 
     near = sorted_groups(salted)
     # Hot texts once more, alone: what their ranges kept is compared across ranges.
     across = (sorted_groups(salted.where(F.col("__hot")).select("__p", "__h", "__salt", id_col, text_col))
               .where(F.col("__rn") == 1)
-              .groupBy("__h", "__norm", "text_sha256")
+              .groupBy("__h", "__norm", "__digest")
               .agg(best("__best").alias("__all_best"), F.sum("__size").alias("__all_size"))
-              .select("__h", F.col("text_sha256").alias("__sha"), "__all_best", "__all_size"))
-    same = (near["__h"] == across["__h"]) & (near["text_sha256"] == across["__sha"])
+              .select("__h", F.col("__digest").alias("__sha"), "__all_best", "__all_size"))
+    same = (near["__h"] == across["__h"]) & (near["__digest"] == across["__sha"])
     out = near.join(F.broadcast(across), same, "left").drop(across["__h"])
     keep_id = F.when(F.col("__hot"), F.col("__all_best")).otherwise(F.col("__best"))
-    return out.select(
-        *[F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")],
-        keep_id.alias("keep_id"),
-        F.coalesce("__all_size", "__size").cast("long").alias("group_size"),
-        ((F.col("__rn") == 1) & ident.eqNullSafe(keep_id)).alias("kept"),
-        F.col("text_sha256"))
+    added = {
+        "keep_id": keep_id,
+        "group_size": F.coalesce("__all_size", "__size").cast("long"),
+        "kept": (F.col("__rn") == 1) & ident.eqNullSafe(keep_id),
+        "text_sha256": F.col("__digest"),
+    }
+    added = {prefix + name: column for name, column in added.items()}
+    return out.select(*[F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

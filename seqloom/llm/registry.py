@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, secret_scan, topk, toxicity
+from . import bpe, chat, exact_dedup, mixing, near_dedup, packing, secret_scan, token_counts, topk, toxicity
 
 
 def queries():
@@ -10,9 +10,11 @@ def queries():
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_topk": topk.op7_topk,
+        "op8_packing": packing.op8_packing,
         "op9_chat": chat.op9_chat,
         "op10_mixing": mixing.op10_mixing,
     }

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut
 
@@ -191,11 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, rows: in
     return {"weights": {f: float(weights[k]) for f, k in index.items()}, "bias": bias, "identity": identity}
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of ``docs`` and ``score`` in [0, 1]; no shuffle."""
-    columns = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score in [0, 1] as ``name``, which replaces a
+    column of that name; no shuffle."""
+    columns = [c for c in docs.columns if c != name]
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias("score"))
+        return docs.select(*columns, F.lit(0.0).alias(name))
     weights, bias, identity = model["weights"], model["bias"], model["identity"]
     source = docs.select(*columns)
     place = columns.index("text")
@@ -216,11 +218,9 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                         found.update(hits)
                 z = bias + sum(found[f] for f in sorted(found))
                 scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("score", DoubleType())]))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(name, DoubleType())]))
 
 
 def fold(doc_id):
