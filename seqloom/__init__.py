@@ -1,0 +1 @@
+"""Exact and approximate string search as Spark jobs."""
