@@ -12,11 +12,13 @@ registers are as likely as the Jaccard similarity, and both uses share one sketc
    their full sets: a link needs 100 * intersection >= 80 * union.
 
 *No pair explosion.* First each row is tried with the smallest head of its buckets
-(at most one pair a row) and components are formed, twice. Only pairs of a bucket
-that lie in different components can still change the result; they are all tried, as
-rows outside the bucket's largest component against the bucket. So no candidate
-link between different components is left out, and a group of copies of any size
-costs rows, not pairs.
+(one pair a row) and components are formed. Only pairs in different components can
+still change the result. Rows whose buckets hold several components make families;
+in a family, the rows outside its largest component are compared with all of it, in
+tiles of at most about ``TILE`` by ``TILE`` rows: a tile counts all intersections of its
+full sets at once as a product of 0/1 matrices and emits only the links that join
+components, fewer than it has rows. So no candidate link between different
+components is left out, and no table of pairs is ever made.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**6)**45, about
 1e-6; a pair above 0.85 about 1e-10.
@@ -45,6 +47,10 @@ SIMILARITY = 80  # per cent
 #: Estimates this far below the threshold, over six standard deviations, aren't verified.
 SLACK = 0.17
 KEPT_WORDS = 500_000
+#: Rows (and shingles, in thousands) of a block; a tile compares two blocks.
+TILE = 512
+#: Columns of the 0/1 matrices multiplied at once.
+COLUMNS = 4_096
 #: Shingles sketched at once.
 BATCH_SHINGLES = 200_000
 
@@ -221,13 +227,83 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) ->
     return _with_both(pairs, rows, "text").select("a", "b", "a_text", "b_text").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    return verified(cut(estimated(pairs, rows, similarity)), rows, similarity)
-
-
-def _labelled(bucketed: DataFrame, parts: DataFrame) -> DataFrame:
-    return (bucketed.join(parts, "id", "left")
-            .select("bucket", "id", "head", F.coalesce("component", "id").alias("component")))
+def tile_links(ids: list, parts: list, sets: list[set], left: np.ndarray, right: np.ndarray, similarity: int = SIMILARITY) -> list[tuple]:
+    """Links between different components among the pairs left x right, as a spanning
+    forest: those that joined two components when taken in order."""
+    seen: dict = {}
+    for s in sets:
+        for x in s:
+            seen[x] = seen.get(x, 0) + 1
+    column: dict = {}
+    at, col = [], []
+    for i, s in enumerate(sets):
+        for x in s:
+            if seen[x] > 1:
+                at.append(i)
+                col.append(column.setdefault(x, len(column)))
+    at, col = np.array(at, np.int64), np.array(col, np.int64)
+    order = np.argsort(col, kind="stable")
+    at, col = at[order], col[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(column), COLUMNS):
+        lo, hi = np.searchsorted(col, [start, start + COLUMNS])
+        block = np.zeros((len(sets), min(COLUMNS, len(column) - start)), np.float32)
+        block[at[lo:hi], col[lo:hi] - start] = 1
+        both += block[left] @ block[right].T
+    size = np.array([len(s) for s in sets], float)
+    union = size[left][:, None] + size[right][None] - both
+    names = np.unique(np.array(parts, object).astype(str), return_inverse=True)[1]
+    found = np.argwhere((both > 0) & (100 * both >= similarity * union) & (names[left][:, None] != names[right][None]))
+    root = dict(enumerate(range(len(names))))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in found.tolist():
+        a, b = find(names[left[i]]), find(names[right[j]])
+        if a != b:
+            root[a] = b
+            out.append((ids[left[i]], ids[right[j]]))
+    return out
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """(family, lo, hi, block, id, component): members of mixed families, dealt to
+    blocks and each block to the tiles it takes part in."""
+    sizes = (members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    minor = F.col("component") != F.col("main")
+    share = lambda c: F.ceil(F.greatest(F.sum(F.when(c, F.col("n"))) / TILE, F.sum(F.when(c, F.col("w"))) / (1000.0 * TILE)))
+    blocks = (sizes.join(main, "family").groupBy("family", "main")
+              .agg(share(minor).alias("minors"), share(~minor).alias("mains")).where("minors > 0"))
+    dealt = members.join(blocks, "family").withColumn("h", F.xxhash64("id"))
+    block = F.when(minor, F.pmod(F.col("h"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.col("h"), F.col("mains")))
+    last = F.when(minor, F.col("minors") + F.col("mains")).otherwise(F.col("minors")) - 1
+    zero = F.lit(0).cast("long")
+    return (dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, last)))
+            .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component"))
+
+
+def links_between(members: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(u, v): links that join components of a family. ``members`` is (family, id,
+    component, n_shingles), ``rows`` (id, text)."""
+    placed = _tiles(members).join(rows.select("id", "text"), "id").select("family", "lo", "hi", "block", "id", "component", "text")
+    kind = dict(members.dtypes)["id"]
+
+    def run(tile: pa.Table) -> pa.Table:
+        block = tile.column("block").to_numpy()
+        lo, hi = tile.column("lo")[0].as_py(), tile.column("hi")[0].as_py()
+        sets = [shingles(words(t)) for t in tile.column("text").to_pylist()]
+        found = tile_links(tile.column("id").to_pylist(), tile.column("component").to_pylist(), sets,
+                           np.flatnonzero(block == lo), np.flatnonzero(block == hi), similarity)
+        id_type = tile.column("id").type
+        return pa.table({"u": pa.array([u for u, _ in found], id_type), "v": pa.array([v for _, v in found], id_type)})
+
+    return placed.groupBy("family", "lo", "hi").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -246,27 +322,17 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                      .join(sketches, "id"))
 
     first = cut(bucketed.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"))
-    links = cut(_links(first, rows, similarity))
-    parts = components(links)
-    # Once more with the heads of other buckets, a pair for each component in a bucket.
-    labelled = _labelled(bucketed, parts)
-    heads = labelled.where("id = head").select("bucket", F.col("component").alias("head_component"))
-    second = (labelled.join(heads, "bucket").where("component <> head_component")
-              .groupBy("component", F.col("head").alias("a")).agg(F.min("id").alias("b")).select("a", "b").distinct())
-    links = cut(links.unionByName(_links(second, rows, similarity)))
-    parts = components(links)
-    # What is left: pairs of a bucket that are still in different components, all of them.
-    labelled = _labelled(bucketed, parts)
-    shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
-             .where("parts > 1").select("bucket", "main"))
-    inside = cut(labelled.join(mixed, "bucket").select("bucket", "id", "component", "main"))
-    minor = inside.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("x_part"))
-    third = (minor.join(inside, "bucket").where((F.col("component") != F.col("x_part")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("x"))))
-             .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-             .join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_links(cut(third), rows, similarity))
-    parts = components(links)
+    parts = components(verified(cut(estimated(first, rows, similarity)), rows, similarity))
+    # Buckets that still hold several components, and the families they tie together.
+    labelled = (bucketed.join(parts, "id", "left")
+                .select("bucket", "id", "head", F.coalesce("component", "id").alias("component")))
+    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"))
+    inside = cut(labelled.join(mixed, "bucket", "left_semi").select("id", "head", "component").distinct())
+    families = components(inside.select(F.col("id").alias("u"), F.col("head").alias("v")))
+    members = (families.withColumnRenamed("component", "family").join(inside.select("id", "component").distinct(), "id")
+               .join(sketches.select("id", "n_shingles"), "id"))
+    more = links_between(cut(members), rows, similarity)
+    parts = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     member = base.join(classes, "class", "left").join(parts, F.col("rep") == parts["id"], "left")
     component = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
