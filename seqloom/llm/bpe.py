@@ -31,10 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import slices
+
 #: Refuse to broadcast a vocabulary file beyond this size.
 VOCABULARY_BYTES = 64 << 20
 #: A worker forgets its word pieces when it holds so many words or ids.
-KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
+KEPT_WORDS, KEPT_IDS = 250_000, 2_000_000
 #: Tokens gathered at once when digests are made.
 STRIDE = 1 << 20
 #: Unicode white space of the tokenizer's pattern; U+001C-001F are none.
@@ -314,7 +316,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches):
         encoder = worker_encoder(key, tables)
-        for b in batches:
+        for b in slices(batches):
             ids = [encoder.encode(t) for t in b.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -331,7 +333,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(key, tables)
-        for b in batches:
+        for b in slices(batches):
             texts = [encoder.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -346,7 +348,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
     def run(batches):
         encoder = worker_encoder(key, tables)
-        for b in batches:
+        for b in slices(batches):
             sizes, shas = [], []
             for t in b.column(1).to_pylist():
                 ids = encoder.encode(t)

@@ -71,3 +71,11 @@ def cut_table(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in shorter pieces, without a copy, so that only few texts are
+    Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table
+from .common import cut, cut_table, slices
 from .components import components
 
 BANDS, ROWS = 45, 6
@@ -46,7 +46,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SIMILARITY = 80  # per cent
 #: Estimates this far below the threshold, over six standard deviations, aren't verified.
 SLACK = 0.17
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: Rows (and shingles, in thousands) of a block; a tile compares two blocks.
 TILE = 512
 #: Columns of the 0/1 matrices multiplied at once.
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, class key of the words, n_shingles and registers (null without words)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, sizes, rows, waiting = [], [], [], []
             for text in b.column(1).to_pylist():
                 ws = words(text)
@@ -161,6 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array([None if r is None else done[r] for r in rows], pa.binary())],
                 ["doc_id", "class", "n_shingles", "registers"])
+        _hashes.clear()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, class binary, n_shingles long, registers binary")
@@ -213,7 +214,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) ->
 
     def run(batches):
         last, left = None, set()
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for i, a_text, b_text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if i != last or not left:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat import default_vocabulary, tokenizer
+from .common import slices
 
 ROW = 2048
 WINDOW_PIECES, WINDOW_TOKENS = 8_192, 4_000_000
@@ -109,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, window_pieces: int =
     def run(batches):
         t = tokenizer(vocabulary)
         window, held, id_type = [], 0, pa.int64()
-        for b in batches:
+        for b in slices(batches):
             id_type = b.column(0).type
             docs_, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
             while at < len(texts):

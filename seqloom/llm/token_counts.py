@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import VOCABULARY_BYTES, byte_letters
+from .common import slices
 
 #: Words whose counts a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 _MARK = "\x00"  # end of word; no word contains it as U+0000 is mapped below
 
 
@@ -124,7 +125,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             _automata.clear()
             _automata[key] = LongestMatch(shared.value)
         automaton, known = _automata[key], {}
-        for b in batches:
+        for b in slices(batches):
             words, tokens, unknown = [], [], []
             for text in b.column(1).to_pylist():
                 found = text.lower().split() if text else ()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut
+from .common import cut, slices
 
 TRAIN_ROWS = 16_384
 VOCABULARY = 1_024
@@ -42,7 +42,7 @@ SPARSE = 5e-5
 STEPS = 1_000
 PREFIXES = (3, 4, 5, 6)
 #: Word lookups a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 #: Identity terms; terms of one set can stand for each other.
 IDENTITY = (
@@ -83,7 +83,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 def _counts(sample: DataFrame, identity: frozenset) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 4_096):
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for f in text_features(text, identity):
@@ -111,7 +111,7 @@ def _telling(n_pos: int, n_neg: int):
 
 def _rows(sample: DataFrame, index: dict[str, int], identity: frozenset) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [np.array(sorted(index[f] for f in text_features(t, identity) if f in index), np.int32).tobytes()
                      for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["features", "toxic"])
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
 
     def run(batches):
         known: dict[str, tuple] = {}
-        for b in batches:
+        for b in slices(batches):
             scores = []
             for text in b.column(place).to_pylist():
                 found: dict[str, float] = {}
