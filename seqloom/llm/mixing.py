@@ -31,7 +31,7 @@ from .common import count_words, cut, join_small
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 ROUNDS = 3
-_HEX, _ALL = 3, "g"  # hex digits of the hash per level; a threshold above every hash
+_HEX, _ALL, _NONE = 3, "g", ""  # hex digits of the hash per level; thresholds above and below every hash
 
 
 def _place():
@@ -108,7 +108,7 @@ def thresholds(sizes: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, rounds=
         fine = _crossing(inside.groupBy("__source", "lacking", "__b2").agg(F.sum("__size").alias("__sum")), ["__source"], "__b2")
         plan = cut(plan.join(coarse, "__source", "left")
                    .join(fine.withColumnRenamed("__at", "__c2").withColumnRenamed("__before", "__w2"), "__source", "left")
-                   .withColumn(f"__cut{r}", F.coalesce(F.concat("__c1", "__c2"), F.lit(_ALL)))
+                   .withColumn(f"__cut{r}", F.when(F.col("lacking") <= 0, _NONE).otherwise(F.coalesce(F.concat("__c1", "__c2"), F.lit(_ALL))))
                    .withColumn("lacking", F.col("lacking") - F.coalesce("__w1", F.lit(0)) - F.coalesce("__w2", F.lit(0)))
                    .drop("__c1", "__c2", "__w1", "__w2"))
     return plan
@@ -180,7 +180,7 @@ f{r} AS (SELECT src, min(CASE WHEN run > lacking THEN b2 END) AS c2, coalesce(ma
   FROM (SELECT src, lacking - w1 AS lacking, b2, sum(sum(size)) OVER (PARTITION BY src ORDER BY b2) AS run
         FROM l{r} JOIN c{r} USING (src) WHERE b1 = c1 GROUP BY src, lacking - w1, b2) GROUP BY src),
 q{r} AS MATERIALIZED (
-  SELECT p.*, {top} AS top, coalesce(c1 || c2, 'g') AS threshold,
+  SELECT p.*, {top} AS top, CASE WHEN lacking <= 0 THEN '' ELSE coalesce(c1 || c2, 'g') END AS threshold,
          lacking - coalesce(w1, 0) - coalesce(w2, 0) AS still
   FROM p{r} p LEFT JOIN c{r} USING (src) LEFT JOIN f{r} USING (src)),
 t{r + 1} AS MATERIALIZED (
