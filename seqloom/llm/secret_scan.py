@@ -36,7 +36,7 @@ RULES = (
 )
 SAMPLE_DOCS = 20_000
 MARGIN = 0.8
-SMOOTHING = 0.5
+SMOOTHING = 8.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 _RUN = r"[A-Za-z0-9+/_-]{20,}"
 _BLOCK = 256
@@ -101,12 +101,21 @@ def train(samples: DataFrame) -> list[float]:
              .groupBy("pair").agg(F.sum(F.col("secret").cast("long")).alias("pos"), F.sum((~F.col("secret")).cast("long")).alias("neg"))
              .where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")))
     place = {c: i for i, c in enumerate(ALPHABET)}
-    pos, neg = [[SMOOTHING] * k for _ in range(k)], [[SMOOTHING] * k for _ in range(k)]
+    pos, neg = [[0.0] * k for _ in range(k)], [[0.0] * k for _ in range(k)]
     for r in pairs.collect():  # at most len(ALPHABET) ** 2 rows
         a, b = place[r["pair"][0]], place[r["pair"][1]]
         pos[a][b] += r["pos"]
         neg[a][b] += r["neg"]
-    return [math.log(pos[a][b] / sum(pos[a])) - math.log(neg[a][b] / sum(neg[a])) for a in range(k) for b in range(k)]
+    p, q = _steps(pos), _steps(neg)
+    return [math.log(p[a][b]) - math.log(q[a][b]) for a in range(k) for b in range(k)]
+
+
+def _steps(counts: list[list[float]]) -> list[list[float]]:
+    """Transition probabilities, smoothed towards how common each character is."""
+    k = len(counts)
+    each = [sum(counts[a][b] for a in range(k)) + 0.5 for b in range(k)]
+    common = [x / sum(each) for x in each]
+    return [[(counts[a][b] + SMOOTHING * common[b]) / (sum(counts[a]) + SMOOTHING) for b in range(k)] for a in range(k)]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
