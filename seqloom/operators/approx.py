@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schemes
 from ..functions.letters import chunks, slice_of
+from ..functions.session import cut
 from .exact import exact_matches
 
 #: Longest gram used as a join key, and letters whose neighbours backtracking looks up.
@@ -53,12 +54,11 @@ def neighbourhood(strings: DataFrame, texts: DataFrame, k: int, longest: int = H
     most k letters, so an equi-join on these variants finds all; no alphabet is
     expanded and only strings that occur are looked at."""
     seeds_ = strings.select("seed").distinct()
+    least = max(1, (strings.agg(F.min(F.length("seed"))).first()[0] or 1) - k)
     grams = (texts.where(F.length("text") > 0)
              .select("text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("at"))
-             .select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest + k)), lambda n: slice_of(F.col("text"), F.col("at"), n))).alias("near"))
-             .distinct())
-    shortest = strings.agg(F.min(F.length("seed"))).first()[0]
-    grams = grams.where(F.length("near") >= max(1, (shortest or 1) - k))
+             .select(F.explode(F.transform(F.sequence(F.lit(least), F.lit(longest + k)), lambda n: slice_of(F.col("text"), F.col("at"), n))).alias("near"))
+             .distinct().where(F.length("near") >= least))
     return (deletions(seeds_, "seed", k).join(deletions(grams, "near", k), "variant").select("seed", "near").distinct()
             .where(F.levenshtein("seed", "near", k) >= 0))
 
@@ -113,7 +113,8 @@ def _ends(k: int, whole, begin, step):
 def candidates(texts: DataFrame, patterns: DataFrame, k: int, strategy: str = "pigeon", dense: bool = True) -> DataFrame:
     """(pattern, doc_id, begin, end, ed): every non-empty interval within ``k`` edits."""
     schemes.searches(strategy, k)  # checks both
-    distinct = patterns.where(F.length("pattern") > 0).select("pattern").distinct()
+    # Used several times below; patterns may be costly to make, so they are kept once.
+    distinct = cut(patterns.where(F.length("pattern") > 0).select("pattern").distinct())
     pieces, _ = schemes.seeds(strategy, k)
     short = (F.length("pattern") <= pieces * k) | (F.length("pattern") <= pieces)
     branches = [(distinct.where(~short), strategy)] if pieces > 1 else [(distinct, strategy)]

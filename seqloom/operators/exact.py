@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import SENTINEL, chunks, slice_of
+from ..functions.session import cut
 
 #: Longest gram used as a join key.
 GRAM = 32
@@ -26,11 +27,11 @@ def exact_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     full. q comes from the shortest pattern. Empty patterns are left out.
     """
     wanted = patterns.where(F.length("pattern") > 0)
-    shortest = wanted.agg(F.min(F.length("pattern"))).first()[0]
+    distinct = cut(wanted.select("pattern").distinct())
+    shortest = distinct.agg(F.min(F.length("pattern"))).first()[0]
     if shortest is None:
         return wanted.select("pattern_id").join(texts.select("doc_id"), F.lit(False)).withColumn("begin", F.lit(0).cast("long"))
     q = min(GRAM, (shortest + 1) // 2)
-    distinct = wanted.select("pattern").distinct()
     keyed = distinct.select("pattern", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(q - 1)), lambda o: slice_of(F.col("pattern"), o, q))).alias("offset", "gram"))
     places = (_anchors(texts, q).join(keyed, "gram")
