@@ -27,13 +27,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chat import default_vocabulary, tokenizer
 from .common import slices
 
 ROW = 2048
 WINDOW_PIECES, WINDOW_TOKENS = 8_192, 4_000_000
 PAD = 0
 
+_encodings: dict[str, object] = {}
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def encoding(vocabulary: str):
+    """The byte-level encoding of a rank file; built once a worker."""
+    if vocabulary not in _encodings:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _encodings[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[vocabulary]
+
 
 class RoomTree:
     """Which room sizes (0..size) have open rows; finds the least one that is big
@@ -108,26 +129,19 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, window_pieces: int =
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        t = tokenizer(vocabulary)
+        t = encoding(vocabulary)
         window, held, id_type = [], 0, pa.int64()
         for b in slices(batches):
             id_type = b.column(0).type
-            docs_, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 1_000_000):
-                    chars += len(texts[to] or "")
-                    to += 1
-                for doc, e in zip(docs_[at:to], t.encode_batch([x or "" for x in texts[at:to]], add_special_tokens=False)):
-                    ids = np.array(e.ids, "<i4")
-                    for number, start in enumerate(range(0, len(ids), row)):
-                        piece = ids[start: start + row]
-                        window.append((doc, number, piece))
-                        held += len(piece)
-                        if len(window) >= window_pieces or held >= window_tokens:
-                            yield _packed(window, row, id_type)
-                            window, held = [], 0
-                at = to
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array(t.encode_ordinary(text or ""), "<i4")
+                for number, start in enumerate(range(0, len(ids), row)):
+                    piece = ids[start: start + row]
+                    window.append((doc, number, piece))
+                    held += len(piece)
+                    if len(window) >= window_pieces or held >= window_tokens:
+                        yield _packed(window, row, id_type)
+                        window, held = [], 0
         if window:
             yield _packed(window, row, id_type)
 

@@ -323,21 +323,21 @@ def test_packing_is_best_fit_and_lossless(spark, docs, odd, none):
                 rooms.append(20 - n)
         rows = packing.best_fit_decreasing(lengths, 20)
         assert len(rows) == len(rooms) and sorted(i for x in rows for i in x) == list(range(len(lengths)))
-    t = chat.tokenizer(chat.default_vocabulary())
+    t = packing.encoding(packing.default_vocabulary())
     unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     for frame in (docs, unique):
-        packed = packing.pack(frame, chat.default_vocabulary(), row=256, window_pieces=64)
+        packed = packing.pack(frame, packing.default_vocabulary(), row=256, window_pieces=64)
         back = {x.doc_id: x.ids for x in packing.read_documents(packed).collect()}
-        want = {x.doc_id: t.encode(x.text or "", add_special_tokens=False).ids for x in frame.collect()}
+        want = {x.doc_id: t.encode_ordinary(x.text or "") for x in frame.collect()}
         assert back == {i: ids for i, ids in want.items() if ids}
         for x in packed.collect():
             ends, at = np.frombuffer(x.cu_seqlens, "<i4"), np.frombuffer(x.positions, "<i4")
             assert ends[-1] == x.n_tokens <= 256 and all((at[a:b] == np.arange(b - a)).all() for a, b in zip(ends, ends[1:]))
-    assert packing.pack(none, chat.default_vocabulary()).count() == 0
+    assert packing.pack(none, packing.default_vocabulary()).count() == 0
 
 
 def test_packed_rows_are_written(docs, tmp_path, spark):
-    packed = packing.pack(docs, chat.default_vocabulary())
+    packed = packing.pack(docs, packing.default_vocabulary())
     packing.write_packed(packed, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == packed.count()
 
