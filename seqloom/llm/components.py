@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links of a partition, so that small link tables don't become many small files.
+PARTITION_ROWS = 50_000
+
 
 def _least(links: DataFrame) -> DataFrame:
     """(u, v) with the smallest of u and its neighbours; aggregated before the
@@ -27,17 +30,23 @@ def _small_star(links: DataFrame) -> DataFrame:
             .unionByName(near.select("u", F.col("m").alias("v"))))
 
 
+def _unfinished(links: DataFrame) -> bool:
+    """Whether a node has two links down, or one down and one up: then the links
+    aren't stars around the smallest ids yet."""
+    ends = (links.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+            .unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    marks = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return marks.where("down > 1 or (down = 1 and up = 1)").limit(1).count() > 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node that has a link; ``links`` is (u, v).
     ``component`` is the smallest id that can be reached. Each pass is written to
     the shared folder; the number of passes grows with the logarithm of a chain."""
     now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        now = cut(_small_star(_large_star(now)).distinct())
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if mark == seen:
-            break
-        seen = mark
+    while _unfinished(now):
+        few = 1 + now.count() // PARTITION_ROWS
+        now = now.coalesce(few)
+        now = cut(_small_star(_large_star(now).coalesce(few)).distinct().coalesce(few))
     return (now.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
