@@ -7,13 +7,15 @@ after the pieces that greedy matching would cut off, and a precomputed count say
 how many those are. So a word is read once, left to right, and only a number is
 kept: no piece is ever built.
 
-The vocabulary closes words with an end mark; it is read as one more character, so
-first and later pieces need no second trie. A word that can't be cut into pieces
-counts as one unknown token.
+Words are read as their UTF-8 bytes and every piece of the vocabulary takes part.
+The vocabulary closes words with an end mark; the last byte of a closing piece, and
+of a word, is a letter of its own, so first and later pieces need no second trie.
+Where the vocabulary has a piece for every byte, open and closing, no word is
+unknown; otherwise a word that can't be cut counts as one unknown token.
 
 *Defined cases.* A null text is empty: 0 words, 0 tokens. Words are the runs between
 white space, lower-cased; very long words are counted like others, as the
-automaton's work is linear. U+0000 in a text reads as U+FFFD.
+automaton's work is linear.
 """
 
 from __future__ import annotations
@@ -25,19 +27,18 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import VOCABULARY_BYTES, byte_letters
+from .bpe import _END, VOCABULARY_BYTES, byte_letters
 from .common import slices
 
 #: Words whose counts a worker keeps.
 KEPT_WORDS = 250_000
-_MARK = "\x00"  # end of word; no word contains it as U+0000 is mapped below
 
 
 class LongestMatch:
     """Trie, failure links and popped-token counts as plain lists."""
 
     def __init__(self, pieces: list[str]):
-        """``pieces`` are strings that may end with the end mark."""
+        """``pieces`` are strings of any letters."""
         self.edges: list[dict[str, int]] = [{}]
         self.whole = [False]
         for piece in pieces:
@@ -91,9 +92,14 @@ class LongestMatch:
         return total
 
 
+def byte_word(raw: bytes, closes: bool = True) -> str:
+    """A letter per byte, the last one apart if it closes a word."""
+    text = raw.decode("latin-1")
+    return text[:-1] + chr(_END + raw[-1]) if closes and raw else text
+
+
 def read_pieces(path: str) -> list[str]:
-    """Pieces of a vocabulary with an end-of-word suffix, as Unicode strings;
-    pieces that aren't whole characters are left out."""
+    """All pieces of a vocabulary with an end-of-word suffix, as :func:`byte_word`."""
     if os.path.getsize(path) > VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
     with open(path, encoding="utf-8") as f:
@@ -102,11 +108,7 @@ def read_pieces(path: str) -> list[str]:
     out = []
     for text in model["vocab"]:
         closes = text.endswith(suffix) and len(text) > len(suffix)
-        try:
-            whole = bytes(as_byte[c] for c in (text[: -len(suffix)] if closes else text)).decode()
-        except UnicodeDecodeError:
-            continue
-        out.append(whole + _MARK if closes else whole)
+        out.append(byte_word(bytes(as_byte[c] for c in (text[: -len(suffix)] if closes else text)), closes))
     return out
 
 
@@ -135,7 +137,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     if k is None:
                         if len(known) > KEPT_WORDS:
                             known.clear()
-                        k = known[w] = automaton.count(w.replace(_MARK, chr(0xFFFD)) + _MARK)
+                        k = known[w] = automaton.count(byte_word(w.encode()))
                     if k < 0:
                         lost += 1
                     else:

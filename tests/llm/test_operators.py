@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -217,6 +218,29 @@ def test_token_counts(spark, docs, odd, none):
     assert token_counts.token_counts(none, v).count() == 0
 
 
+def test_token_counts_take_every_vocabulary_piece(spark, docs, odd):
+    """Greedy matching on UTF-8 bytes, straight from the vocabulary file."""
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    letter, longest = bpe.byte_letters(), max(map(len, vocab))
+
+    def count(word):
+        raw = [letter[b] for b in word.encode()]
+        raw[-1] += "</w>"
+        n = at = 0
+        while at < len(raw):
+            at = next(e for e in range(min(len(raw), at + longest), at, -1) if "".join(raw[at:e]) in vocab)
+            n += 1
+        return n
+
+    texts = ["Straße", "\u201cquoted\u201d it\u2019s", "\u03b1\u03b2\u03b3\u03b4", "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587" * 50, "a\0b \0", "\U0001f600", "ratañ"]
+    hostile = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frame in (hostile, docs, odd):
+        want = {r.doc_id: [count(w) for w in (r.text or "").lower().split()] for r in frame.collect()}
+        for x in token_counts.token_counts(frame, bpe.default_vocabulary()).collect():
+            assert (x.n_words, x.n_tokens, x.n_unknown) == (len(want[x.doc_id]), sum(want[x.doc_id]), 0)
+
+
 # 5
 
 
