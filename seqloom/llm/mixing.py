@@ -133,12 +133,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, rou
     """The mix itself: the rows of ``docs``, each as often as it is taken. The
     thresholds are applied where the rows are; no text is shuffled."""
     plan = thresholds(cut(measured(docs)), weights, max_repeat, rounds)
-    full = docs.withColumns({"__source": _source_key(), "__size": count_words(F.col("text")), "__place": _place()})
+    # The whole row is one column here, so its names can't clash with those of the plan.
+    full = docs.select(F.struct("*").alias("__row"), _source_key().alias("__source"),
+                       count_words(F.col("text")).alias("__size"), _place().alias("__place"))
     times = (F.col("copies") + _extra(rounds).cast("long")).cast("int")
-    out = (join_small(full, plan, "__source", F.col("doc_id")).withColumn("__times", times)
+    out = (join_small(full, plan, "__source", F.col("__row.doc_id")).withColumn("__times", times)
            .where(F.col("__times") > 0)
            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))))
-    return out.select(*[F.col("__own_size").alias("__size") if c == "size" else F.col(c) for c in docs.columns])
+    return out.select("__row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

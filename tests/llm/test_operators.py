@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, packing, secret_scan, token_counts, topk, toxicity
@@ -418,6 +419,21 @@ def test_mix_meets_targets(spark, docs, odd, none):
     assert made.columns == frame.columns and made.agg({"text": "count"}).first()[0] == sum(taken // size for _, size, _, _, taken in a)
 
 
+CLASHING = ["size", "target", "source_size", "copies", "lacking", "__size", "Copies2", "a.b"]
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_mixed_documents_with_clashing_columns(spark, docs, monkeypatch, broadcast_rows):
+    plain = mixing.join_small
+    monkeypatch.setattr(mixing, "join_small", lambda *a: plain(*a, broadcast_rows=broadcast_rows, salts=4))
+    extra = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHING])
+    made = mixing.mixed_documents(extra)
+    assert made.dtypes == extra.dtypes
+    got = made.collect()
+    assert got and all(tuple(r)[len(docs.columns):] == tuple(f"{c} {r.doc_id}" for c in CLASHING) for r in got)
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixing.mixed_documents(docs).collect())
+
+
 def test_mix_beyond_the_broadcast_bound(spark, docs, monkeypatch):
     from seqloom.llm import common
 

@@ -1,6 +1,7 @@
 """The pipeline: each stage on what the last one kept, against plain restatements."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -40,3 +41,18 @@ def test_odd_rows(spark):
         for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.collect()
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns named like those of a stage's own tables come through unchanged."""
+    names = ["size", "target", "source_size", "copies", "lacking"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names])
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in names)
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
