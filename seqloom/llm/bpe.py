@@ -17,7 +17,8 @@ checked, and are broadcast; a worker builds the automaton from them once and
 keeps the pieces of words it has met (a bounded table).
 
 *Defined cases.* A null text is empty: no tokens. Special token strings in a
-text become their ids. Input columns other than id and text are not read.
+text become their ids. Every row gives one row, also where rows repeat or ids are null;
+an empty table gives an empty result. Input columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from .common import slices
 
 #: Refuse to broadcast a vocabulary file beyond this size.
 VOCABULARY_BYTES = 64 << 20
-#: A worker forgets its word pieces when it holds so many words or ids.
-KEPT_WORDS, KEPT_IDS = 250_000, 2_000_000
+#: A worker forgets its word pieces when it holds so many words or ids; words of more
+#: characters than LONGEST_KEPT aren't kept.
+KEPT_WORDS, KEPT_IDS, LONGEST_KEPT = 200_000, 2_000_000, 48
 #: Tokens gathered at once when digests are made.
 STRIDE = 1 << 20
 #: Unicode white space of the tokenizer's pattern; U+001C-001F are none.
@@ -220,9 +222,11 @@ class Encoder:
                 at -= length[token]
                 shorter = shorter_of[token]
             token = shorter
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        ids = self.words[word] = tuple(out)
+        ids = tuple(out)
+        if n <= LONGEST_KEPT:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> int:
@@ -236,7 +240,9 @@ class Encoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used: self.used + len(ids)] = ids
-        k = self.chunks[chunk] = len(self.starts)
+        k = len(self.starts)
+        if len(chunk) <= LONGEST_KEPT:
+            self.chunks[chunk] = k
         self.starts.append(self.used)
         self.lengths.append(len(ids))
         self.used += len(ids)
@@ -253,7 +259,7 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         text = self._normal(text)
         found = list(filter(None, self.spaces.split(text))) if self.odd_space.search(text) else text.split()
-        if len(self.chunks) > KEPT_WORDS or self.used > KEPT_IDS:
+        if len(self.starts) > KEPT_WORDS or self.used > KEPT_IDS:
             self._empty()
         chunks = self.chunks
         at = []

@@ -6,13 +6,15 @@ sum of +1 where an assistant's content begins and -1 where it ends. A control
 string in a content is escaped (``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``),
 so it stays ordinary text and comes back exactly.
 
-A conversation is never held as a whole: rows are shuffled by conversation, sorted
-externally by turn and streamed; each turn leaves as one row of ids and mask.
-Reading back streams the same rows and keeps one running digest.
+Each turn is encoded, and read back, where its row is. A conversation is never held
+as a whole: only the digests over its turns are sequential, so reading back shuffles the
+decoded turns by conversation, sorts them externally and streams them through running
+digests.
 
 *Defined cases.* Null texts and roles are empty, null turns come first, ties in
 turn go by role, then text; repeated rows are repeated turns. Rows with a null
-conversation id form one conversation. An empty table gives an empty result.
+conversation id form one conversation. Other columns aren't read. An empty table gives
+an empty result. A text is one row's cell, however long; it is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .bpe import byte_letters
+from .common import slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -70,7 +74,7 @@ def assemble(role: list[int], content: list[int], first_free: int, newline: list
 
 
 def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """(conv_id, turn, ids, loss): one row per turn, in order within its partition."""
+    """(conv_id, turn, ids, loss): one row per turn, made where the turn is."""
 
     def run(batches):
         t = tokenizer(vocabulary)
@@ -98,30 +102,64 @@ def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
                  pa.ListArray.from_arrays(offsets, flat(masks, np.int8))], ["conv_id", "turn", "ids", "loss"])
 
     kinds = dict(rows.dtypes)
-    dealt = (rows.select("conv_id", "turn", "role", "text").repartition("conv_id")
-             .sortWithinPartitions("conv_id", "turn", "role", "text"))
-    return dealt.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss array<tinyint>")
+    return rows.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss array<tinyint>")
+
+
+_spellings: dict[str, list[bytes]] = {}
+
 
+def spellings(vocabulary: str) -> list[bytes]:
+    """The bytes of every id; text is put together from them."""
+    if vocabulary not in _spellings:
+        t, as_byte = tokenizer(vocabulary), {c: b for b, c in enumerate(byte_letters())}
+        found = t.get_vocab()
+        out = [b""] * (max(found.values()) + 1)
+        for text, i in found.items():
+            out[i] = bytes(as_byte[c] for c in text) if all(c in as_byte for c in text) else text.encode()
+        _spellings[vocabulary] = out
+    return _spellings[vocabulary]
 
-def read_turn(t, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, int]:
-    """Role, content, text under the mask and formatted characters of one turn."""
-    free = t.get_vocab_size()
+
+def read_turn(spelt: list[bytes], free: int, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str | None, int]:
+    """Role, content, text under the mask (None without any) and formatted characters of
+    one turn; ``free`` is the start id, the end id follows it."""
     if ids[0] != free:
         raise ValueError("a turn starts with the reserved start id")
     stop = int(np.flatnonzero(ids == free + 1)[0])
-    body = t.decode(ids[1:stop].tolist(), skip_special_tokens=False)
+    body = b"".join(map(spelt.__getitem__, ids[1:stop].tolist())).decode()
     role, _, content = body.partition("\n")
-    masked = t.decode(ids[loss.astype(bool)].tolist(), skip_special_tokens=False) if loss.any() else ""
-    return unescape(role), unescape(content), unescape(masked), len(START) + len(body) + len(END) + 1
+    masked = b"".join(map(spelt.__getitem__, ids[loss.astype(bool)].tolist())).decode() if loss.any() else None
+    return unescape(role), unescape(content), masked and unescape(masked), len(START) + len(body) + len(END) + 1
+
+
+def read_turns(formatted: DataFrame, vocabulary: str) -> DataFrame:
+    """(conv_id, turn, role, text, masked, same, chars): each turn read back from its ids
+    and mask alone, where its row is. A masked text equal to the content isn't repeated:
+    then ``same`` is set and ``masked`` null."""
+
+    def run(batches):
+        spelt, free = spellings(vocabulary), tokenizer(vocabulary).get_vocab_size()
+        for b in batches:
+            out = [[], [], [], [], []]
+            for ids, loss in zip(b.column(2), b.column(3)):
+                role, content, masked, chars = read_turn(
+                    spelt, free, ids.values.to_numpy(zero_copy_only=False), loss.values.to_numpy(zero_copy_only=False))
+                same = masked == content
+                for column, x in zip(out, (role, content, None if same else masked, same, chars)):
+                    column.append(x)
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))],
+                                             ["conv_id", "turn", "role", "text", "masked", "same", "chars"])
+
+    kinds = dict(formatted.dtypes)
+    return formatted.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, masked string, same boolean, chars long")
 
 
 def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
-    """Digests per conversation, from ids and masks alone; needs the rows as
-    :func:`format_conversations` leaves them, a conversation's turns together."""
+    """Digests per conversation of the rows of :func:`format_conversations`, in any order."""
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        t = tokenizer(vocabulary)
         current, state, done = None, None, []
 
         def close():
@@ -136,19 +174,19 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
             return out
 
         id_type = pa.int64()
-        for b in batches:
-            id_type = b.column(0).type
-            for conv, ids, loss in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if state is None or conv != current:
-                    close()
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, content, masked, chars = read_turn(
-                    t, ids.values.to_numpy(zero_copy_only=False), loss.values.to_numpy(zero_copy_only=False))
-                state[0] += 1
-                state[1].update(f"{role}\n{content}\n".encode())
-                state[2] += len(masked)
-                state[3].update(masked.encode())
-                state[4] += chars
+        for whole in batches:
+            id_type = whole.column(0).type
+            for b in slices([whole]):
+                for conv, _, role, content, masked, same, chars in zip(*(c.to_pylist() for c in b.columns)):
+                    if state is None or conv != current:
+                        close()
+                        current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    masked = content if same else masked or ""
+                    state[0] += 1
+                    state[1].update(f"{role}\n{content}\n".encode())
+                    state[2] += len(masked)
+                    state[3].update(masked.encode())
+                    state[4] += chars
             if done:
                 yield flush()
         close()
@@ -156,7 +194,9 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
             yield flush()
 
     kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    dealt = (read_turns(formatted, vocabulary).repartition("conv_id")
+             .sortWithinPartitions("conv_id", "turn", "role", "text"))
+    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def default_vocabulary() -> str:

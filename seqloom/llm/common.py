@@ -26,6 +26,14 @@ def lower_az(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, led by as many underscores as it takes to differ from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def count_words(text: Column) -> Column:
     """Number of words (BIGINT); null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
@@ -64,6 +72,23 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salt_by: Column,
             .join(salted, [key, "__salt"], how).drop("__salt"))
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, least: int = 1024, hot_keys: int = 100_000) -> DataFrame:
+    """Inner join of ``big`` to ``small``, which has one row a key with ``n``, the key's
+    number of rows in ``big``; no task gets a key with very many rows.
+
+    Keys with more than ``least`` rows and more than 1 / ``hot_keys`` of all rows are
+    fewer than ``hot_keys``: their part of ``small`` is bounded and broadcast, and
+    their rows stay where they are. The others are shuffled. ``small`` should be
+    cheap to read (cut it first)."""
+    found = small.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    limit = max(least, (found["rows"] or 0) // hot_keys)
+    if (found["most"] or 0) <= limit:
+        return big.join(small, key)
+    hot = F.broadcast(small.where(F.col("n") > limit))
+    rest = big.join(F.broadcast(small.where(F.col("n") > limit).select(key)), key, "left_anti")
+    return big.join(hot, key).unionByName(rest.join(small.where(F.col("n") <= limit), key))
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, as a compressed columnar table in the shared folder; for
     data of which later steps read single columns."""

@@ -7,14 +7,16 @@ neighbours, and the window operator compares neighbours in full and keeps one.
 
 *Normalised*: A-Z lower-cased, nothing else; null is the empty text.
 
-*Hot texts.* A text that holds at least one row in ``HOT_SHARE`` is dealt out
-over ``SALTS`` ranges; there are at most ``HOT_SHARE`` such texts, so the table
-of them has a proven bound and is broadcast. Their per-range winners (at most
-HOT_SHARE * SALTS rows) are compared in full once more.
+*Hot texts.* A text with more rows than ``HOT_ROWS`` and than 1 / ``HOT_TEXTS`` of the
+table is dealt out over ranges of about that many rows each. There are fewer than
+``HOT_TEXTS`` such texts, so the table of their hashes has a proven bound and is
+broadcast; the winners of their ranges (fewer than 2 * HOT_TEXTS rows) are compared in
+full once more.
 
 *Defined cases.* Rows with a null id take part and never win against a row with
 an id. Of rows that agree in id and text exactly one is kept. An empty table
-gives an empty result. Further columns pass through untouched.
+gives an empty result. The whole input row travels as one column, so further columns
+of any name come through untouched; only columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -22,62 +24,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import cut, lower_az
 
-HOT_SHARE = 1000
+HOT_TEXTS = 10_000
 HOT_ROWS = 64
-SALTS = 64
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
-                text_col: str = "text", prefix: str = "") -> DataFrame:
-    """All rows of ``docs`` plus ``keep_id``, ``group_size``, ``kept`` and
-    ``text_sha256`` (of the normalised text), their names led by ``prefix``; they
-    replace columns of the same names. ``keep`` names the id that stays of equal
-    texts: ``smallest`` or ``largest``."""
+def _ranked(docs: DataFrame, keep: str, id_col: str, text_col: str) -> DataFrame:
+    """(row, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     best = F.min if keep == "smallest" else F.max
-    ident = F.col(id_col)
-    raw = F.coalesce(F.col(text_col), F.lit(""))
+    ident = F.col("row").getField(id_col)
+    raw = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     loose = F.lower(raw)  # equal normalised texts have equal loose keys
-    keyed = docs.withColumns({"__h": F.xxhash64(loose), "__p": F.substring(loose, 1, 32)})
-
-    hot = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-           .where((F.col("__n") >= HOT_ROWS) & (F.col("__n") * HOT_SHARE >= docs.agg(F.count(F.lit(1))).scalar()))
-           .select("__h", F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(ident), F.lit(SALTS))).otherwise(F.lit(0))
-    salted = keyed.join(F.broadcast(hot), "__h", "left").withColumn("__salt", salt)
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.xxhash64(loose).alias("h"), F.substring(loose, 1, 32).alias("p"))
 
-    equal = Window.partitionBy("__p", "__h", "__salt", "__norm")
+    limit = max(HOT_ROWS, -(-docs.count() // HOT_TEXTS))
+    hot = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+              .select("h", F.ceil(F.col("n") / limit).alias("salts")))
+    equal = Window.partitionBy("p", "h", "salt", "norm")
     order = ident.asc_nulls_last() if keep == "smallest" else ident.desc_nulls_last()
 
     def sorted_groups(rows):
-        ranged = rows.repartitionByRange("__p", "__h", "__salt").withColumn("__norm", lower_az(raw))
+        ranged = rows.repartitionByRange("p", "h", "salt").withColumn("norm", lower_az(raw))
         return ranged.withColumns({
-            "__rn": F.row_number().over(equal.orderBy(order)),
-            "__best": best(ident).over(equal),
-            "__size": F.count(F.lit(1)).over(equal),
-        }).withColumn("__digest", F.sha2(F.encode("__norm", "UTF-8"), 256))
-
-    near = sorted_groups(salted)
-    # Hot texts once more, alone: what their ranges kept is compared across ranges.
-    across = (sorted_groups(salted.where(F.col("__hot")).select("__p", "__h", "__salt", id_col, text_col))
-              .where(F.col("__rn") == 1)
-              .groupBy("__h", "__norm", "__digest")
-              .agg(best("__best").alias("__all_best"), F.sum("__size").alias("__all_size"))
-              .select("__h", F.col("__digest").alias("__sha"), "__all_best", "__all_size"))
-    same = (near["__h"] == across["__h"]) & (near["__digest"] == across["__sha"])
-    out = near.join(F.broadcast(across), same, "left").drop(across["__h"])
-    keep_id = F.when(F.col("__hot"), F.col("__all_best")).otherwise(F.col("__best"))
-    added = {
-        "keep_id": keep_id,
-        "group_size": F.coalesce("__all_size", "__size").cast("long"),
-        "kept": (F.col("__rn") == 1) & ident.eqNullSafe(keep_id),
-        "text_sha256": F.col("__digest"),
-    }
-    added = {prefix + name: column for name, column in added.items()}
-    return out.select(*[F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+            "rn": F.row_number().over(equal.orderBy(order)),
+            "best": best(ident).over(equal),
+            "size": F.count(F.lit(1)).over(equal),
+        }).withColumn("digest", F.sha2(F.encode("norm", "UTF-8"), 256))
+
+    if hot.isEmpty():
+        out = sorted_groups(keyed.withColumn("salt", F.lit(0)))
+        keep_id, size = F.col("best"), F.col("size")
+    else:
+        # Which range of a hot text a row goes to depends on all that it holds.
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("salts"))).otherwise(F.lit(0))
+        salted = keyed.join(F.broadcast(hot), "h", "left").withColumn("salt", salt)
+        # Hot texts once more, alone: what their ranges kept is compared across ranges.
+        only = salted.where(F.col("salts").isNotNull())
+        narrow = only.select("h", "p", "salt", F.struct(ident.alias(id_col), F.col("row").getField(text_col).alias(text_col)).alias("row"))
+        across = (sorted_groups(narrow).where(F.col("rn") == 1).groupBy("h", "norm", "digest")
+                  .agg(best("best").alias("all_best"), F.sum("size").alias("all_size"))
+                  .select("h", "digest", "all_best", "all_size"))
+        out = sorted_groups(salted).join(F.broadcast(across), ["h", "digest"], "left")
+        keep_id = F.when(F.col("salts").isNotNull(), F.col("all_best")).otherwise(F.col("best"))
+        size = F.coalesce("all_size", "size")
+    return out.select("row", keep_id.alias("keep_id"), size.cast("long").alias("group_size"),
+                      ((F.col("rn") == 1) & ident.eqNullSafe(keep_id)).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` plus ``keep_id``, ``group_size``, ``kept`` and
+    ``text_sha256`` (of the normalised text), which replace columns of the same names.
+    ``keep`` names the id that stays of equal texts: ``smallest`` or ``largest``."""
+    added = ("keep_id", "group_size", "kept", "text_sha256")
+    ranked = _ranked(docs, keep, id_col, text_col)
+    return ranked.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
+
+
+def distinct_texts(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with the columns of ``docs``."""
+    return _ranked(docs, keep, id_col, text_col).where("kept").select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

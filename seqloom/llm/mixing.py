@@ -14,9 +14,13 @@ and share all words; a source's target stops at ``MAX_REPEAT`` times its size
 and the excess goes to the others by weight. A target of r times the source
 takes every document floor(r) times and some of them once more.
 
+The plan has one row a source; windows over all sources run in one task, so there may
+be at most ``MAX_SOURCES`` of them, which is checked.
+
 *Defined cases.* A null text has no words; documents without words have nothing
 to take. A null id has a place too. Rows with equal ids share one place and are
-taken together. An empty table gives an empty result.
+taken together. An empty table gives an empty result. The whole input row travels as one
+column, so further columns of any name come through :func:`mixed_documents` untouched.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from .common import count_words, cut, join_small
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 ROUNDS = 3
+MAX_SOURCES = 1_000_000
 _HEX, _ALL, _NONE = 3, "g", ""  # hex digits of the hash per level; thresholds above and below every hash
 
 
 def _place():
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2 * _HEX)
 
 
 def _source_key():
@@ -80,7 +85,7 @@ def _crossing(sums: DataFrame, keys: list[str], bucket: str) -> DataFrame:
 
 def _taken_in(r: int):
     fits = (F.col("__size") > 0) & (F.col("__size") <= F.col(f"__max{r}"))
-    return fits & (F.substring("__place", 1, 2 * _HEX) < F.col(f"__cut{r}"))
+    return fits & (F.col("__place") < F.col(f"__cut{r}"))
 
 
 def _extra(rounds: int):
@@ -94,6 +99,8 @@ def thresholds(sizes: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, rounds=
     """Per source the target, the copies and ``rounds`` nested thresholds.
     ``sizes`` is a cut table (doc_id, __source, __size, __place)."""
     plan = cut(targets(sizes, weights, max_repeat))
+    if plan.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     for r in range(rounds):
         top = F.lit(2**62) if r == 0 else F.col("lacking")
         plan = plan.withColumn(f"__max{r}", top.cast("long"))

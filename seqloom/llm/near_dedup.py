@@ -1,31 +1,43 @@
 """Near-duplicate groups by SetSketch registers.
 
-A document's set is its distinct 2-word shingles (A-Z lower-cased; words split at
-space and 0x09-0x0D). Each shingle is a Poisson process of points that fall on
+A document's set is its distinct shingles of ``shingle`` words (A-Z lower-cased; words
+split at space and 0x09-0x0D). Each shingle is a Poisson process of points that fall on
 random registers; a register keeps its least point, truncated to an exponential
 scale (base ``BASE``). Registers of a union are the element-wise maxima, equal
 registers are as likely as the Jaccard similarity, and both uses share one sketch:
 
-1. rows with equal words form a class; the smallest id stands for it;
-2. ``BANDS`` bands of ``ROWS`` registers are hashed; rows of a bucket are candidates;
+1. rows with equal words form a class, a node of the graph, with a number of its own;
+2. ``BANDS`` bands of ``ROWS`` registers are hashed; nodes of a bucket are candidates;
 3. candidates are estimated from the joint register likelihood and then verified on
    their full sets: a link needs 100 * intersection >= 80 * union.
 
-*No pair explosion.* First each row is tried with the smallest head of its buckets
-(one pair a row) and components are formed. Only pairs in different components can
-still change the result. Rows whose buckets hold several components make families;
-in a family, the rows outside its largest component are compared with all of it, in
-tiles of at most about ``TILE`` by ``TILE`` rows: a tile counts all intersections of its
-full sets at once as a product of 0/1 matrices and emits only the links that join
-components, fewer than it has rows. So no candidate link between different
-components is left out, and no table of pairs is ever made.
+*No pair explosion.* First each node is tried with the smallest node of a bucket
+(one pair a node) and components are formed. Only pairs in different components can
+still change the result, and all of them share a bucket that holds several components.
+The nodes of such a bucket outside its largest component meet all of its nodes, in
+tiles of at most about ``TILE`` by ``TILE``. A tile holds registers only; it looks at
+each pair in the first band that the two share, and leaves the nodes for which an
+estimate reaches the threshold. Only these come again, with their texts: a tile counts
+all intersections of their full sets at once as a product of 0/1 matrices and emits
+only the links that join components, fewer than it has nodes. So no candidate link
+between different components is left out, nodes that share no bucket never meet, and
+no table of pairs is ever made.
+
+*Hot keys.* Buckets, hubs, components and classes with very many rows are known from
+their aggregates: their (boundedly many) aggregate rows are broadcast and their own
+rows stay where they are. A bucket's nodes are tried with the smallest of ``FAN`` nodes,
+and these with the smallest of all.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**6)**45, about
 1e-6; a pair above 0.85 about 1e-10.
 
-*Defined cases.* A text without words has no shingles, no links and stays. A single
-word is one shingle. Rows with a null id get the class's component and stay only
-where no row of their class has an id. Rows that repeat an id count as one document.
+*Defined cases.* A row is a document; its doc_id only names it. A text without words
+has no shingles, no links and stays. A text with fewer words than a shingle is one
+shingle. A group is named after its smallest doc_id; rows with a null id get that
+name too and stay only where no row of their group has an id. Rows that repeat an id
+with different texts are documents of their own and take the name of their own group.
+An empty table gives an empty result. Further columns of any name come through
+:func:`distinct_texts` untouched; :func:`near_duplicates` doesn't read them.
 """
 
 from __future__ import annotations
@@ -36,8 +48,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, cut_table, slices
+from .common import cut, cut_table, join_counted, slices
 from .components import components
 
 BANDS, ROWS = 45, 6
@@ -46,9 +59,16 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SIMILARITY = 80  # per cent
 #: Estimates this far below the threshold, over six standard deviations, aren't verified.
 SLACK = 0.17
-KEPT_WORDS = 150_000
+#: Words of a shingle.
+SHINGLE = 5
+#: Word hashes a worker keeps, and the longest word it keeps, in bytes.
+KEPT_WORDS, LONGEST_KEPT = 100_000, 48
 #: Rows (and shingles, in thousands) of a block; a tile compares two blocks.
 TILE = 512
+#: Nodes of a bucket that are tried with one of them.
+FAN = 4_096
+#: Pairs whose registers are compared at once.
+PAIRS = 16_384
 #: Columns of the 0/1 matrices multiplied at once.
 COLUMNS = 4_096
 #: Shingles sketched at once.
@@ -60,8 +80,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(ws: list[bytes]) -> set:
-    return set(zip(ws, ws[1:])) if len(ws) > 1 else set(map(lambda w: (w,), ws))
+def shingles(ws: list[bytes], shingle: int = SHINGLE) -> set:
+    """Distinct runs of ``shingle`` words; all words as one run if they are fewer."""
+    if len(ws) <= shingle:
+        return {tuple(ws)} if ws else set()
+    return set(zip(*(ws[k:] for k in range(shingle))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,21 +98,26 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
 _hashes = _WordHashes()
 
 
-def shingle_hashes(ws: list[bytes]) -> np.ndarray:
+def shingle_hashes(ws: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """Distinct 64-bit hashes of a document's shingles."""
     h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    if len(h) < 2:
-        return _mix(h + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(_mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[1:])))
+    size = min(shingle, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k: k + n])
+    return np.unique(out)
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -132,20 +160,22 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return j[np.arange(len(j)), score.argmax(1)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, class key of the words, n_shingles and registers (null without words)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``row`` (all columns of ``docs``), class key of the words, n_shingles and
+    registers (key and registers are null without words)."""
+    place = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches):
             keys, sizes, rows, waiting = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(0).field(place).to_pylist():
                 ws = words(text)
                 keys.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
                 if not ws:
                     sizes.append(0)
                     rows.append(None)
                     continue
-                s = shingle_hashes(ws)
+                s = shingle_hashes(ws, shingle)
                 sizes.append(len(s))
                 rows.append(len(waiting))
                 waiting.append(s)
@@ -160,30 +190,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array([None if r is None else done[r] for r in rows], pa.binary())],
-                ["doc_id", "class", "n_shingles", "registers"])
+                ["row", "class", "n_shingles", "registers"])
         _hashes.clear()
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, class binary, n_shingles long, registers binary")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("class", T.BinaryType()),
+                           T.StructField("n_shingles", T.LongType()), T.StructField("registers", T.BinaryType())])
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def band_rows(sketches: DataFrame) -> DataFrame:
-    """(bucket, id) for every band of every sketch."""
+    """(bucket, band, id, n_shingles) for every band of every sketch."""
 
     def run(batches):
         salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
             if not b.num_rows:
                 continue
-            r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            r = _registers(b.column(2)).reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.broadcast_to(salt, r.shape[:2]).copy()
             for k in range(ROWS):
                 h = _mix(h + r[:, :, k] * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), ids], ["bucket", "id"])
+            each = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), b.column(0).take(each), b.column(1).take(each)],
+                                             ["bucket", "band", "id", "n_shingles"])
 
-    kind = dict(sketches.dtypes)["id"]
-    return sketches.select("id", "registers").mapInArrow(run, f"bucket long, id {kind}")
+    return sketches.select("id", "n_shingles", "registers").mapInArrow(run, "bucket long, band int, id long, n_shingles long")
 
 
 def _with_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -199,17 +235,16 @@ def estimated(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) -
         for b in batches:
             if not b.num_rows:
                 continue
-            reg = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("a_registers", "b_registers")]
+            reg = [_registers(b.column(c)) for c in ("a_registers", "b_registers")]
             n = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("a_n_shingles", "b_n_shingles")]
             keep = joint_similarity(*reg, *n) >= similarity / 100 - SLACK
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    kind = dict(pairs.dtypes)["a"]
     return (_with_both(pairs, rows, "registers", "n_shingles").select("a", "b", "a_registers", "b_registers", "a_n_shingles", "b_n_shingles")
-            .mapInArrow(run, f"a {kind}, b {kind}"))
+            .mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """Links (u, v): the pairs whose full sets are similar enough."""
 
     def run(batches):
@@ -218,19 +253,18 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) ->
             keep = []
             for i, a_text, b_text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if i != last or not left:
-                    last, left = i, shingles(words(a_text))
-                right = shingles(words(b_text))
+                    last, left = i, shingles(words(a_text), shingle)
+                right = shingles(words(b_text), shingle)
                 both = len(left & right)
                 keep.append(both > 0 and 100 * both >= similarity * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["a"]
-    return _with_both(pairs, rows, "text").select("a", "b", "a_text", "b_text").mapInArrow(run, f"u {kind}, v {kind}")
+    return _with_both(pairs, rows, "text").select("a", "b", "a_text", "b_text").mapInArrow(run, "u long, v long")
 
 
-def tile_links(ids: list, parts: list, sets: list[set], left: np.ndarray, right: np.ndarray, similarity: int = SIMILARITY) -> list[tuple]:
-    """Links between different components among the pairs left x right, as a spanning
-    forest: those that joined two components when taken in order."""
+def tile_links(parts: np.ndarray, sets: list[set], left: np.ndarray, right: np.ndarray, similarity: int = SIMILARITY) -> list[tuple]:
+    """Links between different components among the pairs left x right, as pairs of
+    components and as a spanning forest: those that joined two when taken in order."""
     seen: dict = {}
     for s in sets:
         for x in s:
@@ -253,9 +287,8 @@ def tile_links(ids: list, parts: list, sets: list[set], left: np.ndarray, right:
         both += block[left] @ block[right].T
     size = np.array([len(s) for s in sets], float)
     union = size[left][:, None] + size[right][None] - both
-    names = np.unique(np.array(parts, object).astype(str), return_inverse=True)[1]
-    found = np.argwhere((both > 0) & (100 * both >= similarity * union) & (names[left][:, None] != names[right][None]))
-    root = dict(enumerate(range(len(names))))
+    found = np.argwhere((both > 0) & (100 * both >= similarity * union) & (parts[left][:, None] != parts[right][None]))
+    root = {p: p for p in parts.tolist()}
 
     def find(x):
         while root[x] != x:
@@ -265,80 +298,196 @@ def tile_links(ids: list, parts: list, sets: list[set], left: np.ndarray, right:
 
     out = []
     for i, j in found.tolist():
-        a, b = find(names[left[i]]), find(names[right[j]])
+        u, v = int(parts[left[i]]), int(parts[right[j]])
+        a, b = find(u), find(v)
         if a != b:
             root[a] = b
-            out.append((ids[left[i]], ids[right[j]]))
+            out.append((u, v))
     return out
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """A row per bucket that holds several components: its largest one, its number of
+    rows ``n``, and into how many blocks its other rows and those of the largest go."""
+    sizes = (labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w")))
+    whole = sizes.groupBy("bucket").agg(F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("main"),
+                                        F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.sum("w").alias("w"))
+    share = lambda n, w: F.ceil(F.greatest(n / TILE, w / (1000.0 * TILE)))
+    return whole.where("parts > 1").select(
+        "bucket", "n", F.col("main.component").alias("main"), share(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("minors"),
+        share(F.col("main.c"), F.col("main.w")).alias("mains"))
+
+
 def _tiles(members: DataFrame) -> DataFrame:
-    """(family, lo, hi, block, id, component): members of mixed families, dealt to
-    blocks and each block to the tiles it takes part in."""
-    sizes = (members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    minor = F.col("component") != F.col("main")
-    share = lambda c: F.ceil(F.greatest(F.sum(F.when(c, F.col("n"))) / TILE, F.sum(F.when(c, F.col("w"))) / (1000.0 * TILE)))
-    blocks = (sizes.join(main, "family").groupBy("family", "main")
-              .agg(share(minor).alias("minors"), share(~minor).alias("mains")).where("minors > 0"))
-    dealt = members.join(blocks, "family").withColumn("h", F.xxhash64("id"))
-    block = F.when(minor, F.pmod(F.col("h"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.col("h"), F.col("mains")))
+    """Members of mixed buckets, dealt to blocks and each block to the tiles (bucket,
+    lo, hi) it takes part in: the rows outside the largest component meet all."""
+    minor, h = F.col("component") != F.col("main"), F.xxhash64("id")
+    block = F.when(minor, F.pmod(h, F.col("minors"))).otherwise(F.col("minors") + F.pmod(h, F.col("mains")))
     last = F.when(minor, F.col("minors") + F.col("mains")).otherwise(F.col("minors")) - 1
-    zero = F.lit(0).cast("long")
-    return (dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, last)))
-            .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component"))
-
+    return (members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                    "block", "id", "component", "band", "n_shingles", "registers"))
+
+
+_KEYS = ("bucket", "lo", "hi")
+
+
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Rows dealt and sorted by tile, streamed through ``run``."""
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "block", "id").mapInArrow(run, schema)
+
+
+def _whole_tiles(batches):
+    """(table, starts): rows of whole tiles and where each tile starts, ends included."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+        starts = _starts(t)
+        if len(starts) > 2:
+            yield t.slice(0, starts[-2]), starts[:-1]
+            t = t.slice(starts[-2])
+        held = t
+    if held is not None and held.num_rows:
+        yield held, _starts(held)
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    keys = np.stack([t.column(k).to_numpy() for k in _KEYS])
+    return np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [t.num_rows]])
+
+
+def _sides(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+
+
+def likely(tiles: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of each tile that have a partner in another component whose joint
+    estimate isn't far below the threshold, each pair looked at in its first band."""
+
+    def survivors(t: pa.Table, starts: np.ndarray) -> np.ndarray:
+        part, n, band, block, lo, hi = (t.column(c).to_numpy() for c in ("component", "n_shingles", "band", "block", "lo", "hi"))
+        reg = _registers(t.column("registers"))
+        keep = np.zeros(t.num_rows, bool)
+
+        def look(i, j):
+            i, j = np.concatenate(i), np.concatenate(j)
+            a, b = reg[i], reg[j]
+            same = (a == b).reshape(-1, BANDS, ROWS).all(2)
+            first = same.argmax(1) == band[i]
+            i, j, a, b = i[first], j[first], a[first], b[first]
+            good = joint_similarity(a, b, n[i].astype(float), n[j].astype(float)) >= similarity / 100 - SLACK
+            keep[i[good]] = keep[j[good]] = True
+
+        left, right, held = [], [], 0
+        for s, e in zip(starts, starts[1:]):
+            a, b = _sides(block[s:e], lo[s], hi[s])
+            for at in range(0, len(a), max(1, PAIRS // max(1, len(b)))):
+                some = a[at: at + max(1, PAIRS // max(1, len(b)))]
+                i, j = s + np.repeat(some, len(b)), s + np.tile(b, len(some))
+                able = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                if lo[s] == hi[s]:
+                    able &= i < j
+                if able.any():
+                    left.append(i[able])
+                    right.append(j[able])
+                    held += len(left[-1])
+                if held >= PAIRS:
+                    look(left, right)
+                    left, right, held = [], [], 0
+        if held:
+            look(left, right)
+        return keep
 
-def links_between(members: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(u, v): links that join components of a family. ``members`` is (family, id,
-    component, n_shingles), ``rows`` (id, text)."""
-    placed = _tiles(members).join(rows.select("id", "text"), "id").select("family", "lo", "hi", "block", "id", "component", "text")
-    kind = dict(members.dtypes)["id"]
+    def run(batches):
+        for t, starts in _whole_tiles(batches):
+            yield from t.select(["bucket", "lo", "hi", "block", "id", "component"]).filter(pa.array(survivors(t, starts))).to_batches()
 
-    def run(tile: pa.Table) -> pa.Table:
-        block = tile.column("block").to_numpy()
-        lo, hi = tile.column("lo")[0].as_py(), tile.column("hi")[0].as_py()
-        sets = [shingles(words(t)) for t in tile.column("text").to_pylist()]
-        found = tile_links(tile.column("id").to_pylist(), tile.column("component").to_pylist(), sets,
-                           np.flatnonzero(block == lo), np.flatnonzero(block == hi), similarity)
-        id_type = tile.column("id").type
-        return pa.table({"u": pa.array([u for u, _ in found], id_type), "v": pa.array([v for _, v in found], id_type)})
+    return _by_tile(tiles, run, "bucket long, lo long, hi long, block long, id long, component long")
 
-    return placed.groupBy("family", "lo", "hi").applyInArrow(run, f"u {kind}, v {kind}")
 
+def links_between(members: DataFrame, rows: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(u, v): pairs of components that a link joins. ``members`` is (bucket, band, id,
+    component, n_shingles and the columns of :func:`_blocks`), ``rows`` (id, text, registers)."""
+    near = cut(likely(_tiles(members.join(rows.select("id", "registers"), "id")), similarity))
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    base = cut_table(fingerprints(docs))
-    classes = cut(base.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
-    sketches = (base.where("class is not null").join(classes, (base["doc_id"] == F.col("rep")), "left_semi")
-                .select(F.col("doc_id").alias("id"), "n_shingles", "registers").dropDuplicates(["id"]))
-    sketches = cut_table(sketches)
+    def run(batches):
+        for t, starts in _whole_tiles(batches):
+            part, block, lo, hi = (t.column(c).to_numpy() for c in ("component", "block", "lo", "hi"))
+            found = []
+            for s, e in zip(starts, starts[1:]):
+                sets = [shingles(words(x), shingle) for x in t.column("text").slice(s, e - s).to_pylist()]
+                found += tile_links(part[s:e], sets, *_sides(block[s:e], lo[s], hi[s]), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return _by_tile(near.join(rows.select("id", "text"), "id"), run, "u long, v long")
+
+
+def _first_pairs(bucketed: DataFrame) -> DataFrame:
+    """(a, b): each node b with the smallest node of one of its buckets; in a bucket of
+    more than ``FAN`` nodes with the smallest of its share, and that one with the
+    smallest of all."""
+    wide = bucketed.where(F.col("n") > FAN).withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FAN)))
+    least = wide.groupBy("bucket", "share").agg(F.min("id").alias("least"))
+    near = (bucketed.where(F.col("n") <= FAN).select("id", "head")
+            .unionByName(wide.join(least, ["bucket", "share"])
+                         .select("id", F.when(F.col("id") != F.col("least"), F.col("least")).otherwise(F.col("head")).alias("head"))))
+    return near.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b")
+
+
+def _nodes(base: DataFrame, similarity: int, shingle: int) -> DataFrame:
+    """(class, n, rep, whole): each class of equal words, its number of rows, its
+    smallest doc_id and the node that stands for its group; cut."""
+    classes = cut(base.where("class is not null").groupBy("class")
+                  .agg(F.min("id").alias("id"), F.min("row.doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    sketches = cut_table(base.select("id", "n_shingles", "registers").join(classes.select("id"), "id", "left_semi"))
 
     bands = band_rows(sketches)
-    heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    bucketed = cut_table(bands.join(heads, "bucket"))
+    heads = cut(bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bucketed = cut_table(join_counted(bands, heads, "bucket"))
     wanted = bucketed.select("id").distinct()
-    rows = cut_table(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-                     .join(sketches, "id"))
-
-    first = cut(bucketed.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"))
-    parts = components(verified(cut(estimated(first, rows, similarity)), rows, similarity))
-    # Buckets that still hold several components, and the families they tie together.
-    labelled = (bucketed.join(parts, "id", "left")
-                .select("bucket", "id", "head", F.coalesce("component", "id").alias("component")))
-    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"))
-    inside = cut(labelled.join(mixed, "bucket", "left_semi").select("id", "head", "component").distinct())
-    families = components(inside.select(F.col("id").alias("u"), F.col("head").alias("v")))
-    members = (families.withColumnRenamed("component", "family").join(inside.select("id", "component").distinct(), "id")
-               .join(sketches.select("id", "n_shingles"), "id"))
-    more = links_between(cut(members), rows, similarity)
-    parts = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-
-    member = base.join(classes, "class", "left").join(parts, F.col("rep") == parts["id"], "left")
-    component = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = cut_table(base.select("id", "row.text", "n_shingles", "registers").join(wanted, "id", "left_semi"))
+
+    first = cut(_first_pairs(bucketed))
+    parts = components(verified(cut(estimated(first, rows, similarity)), rows, similarity, shingle))
+    # Buckets that still hold several components.
+    labelled = cut_table(bucketed.drop("head", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    members = join_counted(labelled, cut(_blocks(labelled)), "bucket")
+    joined = components(links_between(members, rows, similarity, shingle)).select(F.col("id").alias("part"), F.col("component").alias("whole"))
+
+    sizes = parts.groupBy(F.col("component").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    moved = join_counted(parts.withColumnRenamed("component", "part"), cut(sizes.join(joined, "part")), "part").select("id", "whole")
+    alone = joined.select(F.col("part").alias("id"), F.col("whole").alias("own"))
+    return cut(classes.join(parts, "id", "left").join(moved, "id", "left").join(alone, "id", "left")
+               .select("class", "n", "rep", F.coalesce("whole", "own", "component", "id").alias("whole")))
+
+
+def _grouped(docs: DataFrame, similarity: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as a written table that numbers them, and (id, doc_id, n_shingles,
+    component_id, kept) of each."""
+    base = cut_table(fingerprints(docs, shingle).withColumn("id", F.monotonically_increasing_id()))
+    node = _nodes(base, similarity, shingle)
+    names = cut(node.groupBy("whole").agg(F.min("rep").alias("name"), F.count(F.lit(1)).alias("n")))
+    named = cut(join_counted(node.select("class", F.col("n").alias("size"), "whole"), names, "whole")
+                .select("class", F.col("size").alias("n"), "name"))
+    rows = base.select("id", "row.doc_id", "class", "n_shingles")
+    out = join_counted(rows.where("class is not null"), named, "class").select("id", "doc_id", "n_shingles", "name")
+    out = out.unionByName(rows.where("class is null").select("id", "doc_id", "n_shingles", F.col("doc_id").alias("name")))
+    name = F.coalesce(F.col("name"), F.col("doc_id"))
+    return base, out.select("id", "doc_id", "n_shingles", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    return _grouped(docs.select("doc_id", "text"), similarity, shingle)[1].drop("id")
+
+
+def distinct_texts(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``; rows are told apart by their
+    own number, so it doesn't matter whether ids repeat."""
+    base, rows = _grouped(docs, similarity, shingle)
+    gone = cut_table(rows.where(~F.col("kept")).select("id"))
+    return base.join(gone, "id", "left_anti").select("row.*")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=2)

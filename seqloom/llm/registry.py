@@ -12,6 +12,7 @@ def queries():
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
+        "toxicity_group_gaps": toxicity.toxicity_group_gaps,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_topk": topk.op7_topk,
         "op8_packing": packing.op8_packing,

@@ -16,7 +16,10 @@ model is a table of at most 66 * 66 ratios.
 
 *Defined cases.* A null text is empty and has no spans. Positions count code
 points, ends are exclusive. A text without spans has empty lists and the digest of
-the empty string. Letters match "in either case" within A-Z only.
+the empty string. Letters match "in either case" within A-Z only. Every row gives one
+row, also where rows repeat or ids are null; an empty table gives an empty result and
+trains on nothing, so that no Markov span is found. Columns other than id and text
+aren't read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ unknown; otherwise a word that can't be cut counts as one unknown token.
 
 *Defined cases.* A null text is empty: 0 words, 0 tokens. Words are the runs between
 white space, lower-cased; very long words are counted like others, as the
-automaton's work is linear.
+automaton's work is linear. Every row gives one row, also where rows repeat or ids are
+null; an empty table gives an empty result. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from .bpe import _END, VOCABULARY_BYTES, byte_letters
 from .common import slices
 
-#: Words whose counts a worker keeps.
-KEPT_WORDS = 250_000
+#: Words whose counts a worker keeps, and the longest word it keeps.
+KEPT_WORDS, LONGEST_KEPT = 200_000, 48
 
 
 class LongestMatch:
@@ -135,9 +136,11 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                 for w in found:
                     k = known.get(w)
                     if k is None:
-                        if len(known) > KEPT_WORDS:
-                            known.clear()
-                        k = known[w] = automaton.count(byte_word(w.encode()))
+                        k = automaton.count(byte_word(w.encode()))
+                        if len(w) <= LONGEST_KEPT:
+                            if len(known) >= KEPT_WORDS:
+                                known.clear()
+                            known[w] = k
                     if k < 0:
                         lost += 1
                     else:

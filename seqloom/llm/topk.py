@@ -1,22 +1,26 @@
 """Exact top-k search by MaxScore over integer vectors.
 
 The terms of a query are the dimensions in which it isn't 0; a term's posting list
-holds the vectors to which it adds a positive amount, and its bound is the most it
-can add within a shard. Terms are ordered by bound; the longest prefix whose
-bounds together stay below the current k-th score is non-essential. Only the
-essential postings are traversed; the candidates found there are probed in the
-other terms, strongest first, and dropped as soon as the remaining bounds can't
-lift them to the k-th score. Shards keep k results per query; these are merged by
-a window. Scores are exact integers, and ties go to the smaller id.
-
-Vectors are dealt to shards by the hash of their id, queries are sent to every
-shard in blocks; the grid is sized from the row counts so that a cell holds at most
-SHARD_ROWS vectors and BLOCK_ROWS queries, but for what hashing leaves uneven.
+holds the rows to which it adds a positive amount, with these amounts' factors, and
+its bound is the most it can add within a shard. Terms are ordered by bound; the longest
+prefix whose bounds together stay below the current k-th score is non-essential. Only
+the essential postings are traversed, and only rows met there are candidates: what
+they gathered plus the non-essential bounds is the most they can reach. They are probed
+in all terms, strongest first, where what a term really adds replaces what it was
+taken for, and dropped as soon as they can't reach the k-th score. Shards keep k
+results per query; these are merged by a window. Scores are exact integers, and ties go
+to the smaller id.
+
+Vectors are dealt to shards by the hash of their id, queries are sent to every shard in
+blocks; the grid is sized from the row counts and the longest vector so that a cell
+holds about CELL_VALUES components of vectors and as many of queries.
 
 *Defined cases.* Vectors that are null, or hold null or non-finite components,
 take no part. Vectors of another length than the query's count as padded with 0.
 A row is no candidate of its own query: candidates with the query's id are left out.
-Rows that repeat an id and vector count once. Null ids take no part.
+Rows that repeat an id and vector count once. Null ids take no part. Integers beyond
+``LARGEST`` in size are set to it, so that scores fit 64 bits up to 2,048 components.
+Empty tables give an empty result; columns other than id and vector aren't read.
 """
 
 from __future__ import annotations
@@ -30,8 +34,11 @@ from .common import cut
 
 K = 10
 SCALE = 1024
-SHARD_ROWS = 4_096
-BLOCK_ROWS = 4_096
+LARGEST = 1 << 26
+#: Components of vectors, and of queries, in a cell.
+CELL_VALUES = 1 << 20
+#: Terms probed before candidates are dropped.
+PROBES = 4
 #: Vectors looked at first to get a k-th score.
 WARM_ROWS = 256
 
@@ -41,11 +48,13 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     x = F.col(vector_col)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     return (vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad)
-            .select(F.col(id_col).alias("id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long")).alias("v")))
+            .select(F.col(id_col).alias("id"), F.transform(x, lambda v: F.floor(F.least(F.greatest(
+                F.lit(float(scale)) * v.cast("double"), F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")).alias("v")))
 
 
 class Shard:
-    """Vectors of a shard, a column per term, with the bounds of its postings."""
+    """Rows of a shard by ascending id: posting lists per term and sign, and a column
+    per term to probe."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -53,13 +62,24 @@ class Shard:
         none = not len(ids)
         self.high = self.columns.max(1, initial=0) if none else self.columns.max(1)
         self.low = self.columns.min(1, initial=0) if none else self.columns.min(1)
+        self._postings: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+    def postings(self, term: int, positive: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose component has the sign, ascending, and these components."""
+        found = self._postings.get((term, positive))
+        if found is None:
+            column = self.columns[term]
+            rows = np.flatnonzero(column > 0 if positive else column < 0)
+            found = self._postings[term, positive] = rows, column[rows]
+        return found
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, best first."""
         terms = np.flatnonzero(q)
         bound = np.maximum(np.maximum(q[terms] * self.high[terms], q[terms] * self.low[terms]), 0)
-        terms = terms[order := np.argsort(bound, kind="stable")]
-        weight, upto = q[terms], np.concatenate([[0], np.cumsum(bound[order])])
+        order = np.argsort(bound, kind="stable")
+        terms, bound = terms[order], bound[order]
+        weight, upto = q[terms], np.concatenate([[0], np.cumsum(bound)])
         others = self.ids != query_id
 
         def exact(rows):
@@ -69,27 +89,27 @@ class Shard:
         best_rows, best = self._best(warm, exact(warm), k)
         if len(warm) < WARM_ROWS:  # that was all of them
             return self.ids[best_rows], best
-        rest = np.flatnonzero(others)[WARM_ROWS:]
         least = best[-1] if len(best) == k else None
-        if least is None or least <= 0:  # a vector in no posting list could still compete
-            rows = rest
-            scores = exact(rows)
+        if least is None or least <= 0:  # a row in no posting list could still compete
+            rows = np.flatnonzero(others)[WARM_ROWS:]
+            most = exact(rows)
         else:
-            cut_at = int(np.searchsorted(upto, least, "left")) - 1  # bounds below the k-th score: non-essential
-            essential = terms[cut_at:]
-            touched = np.zeros(len(self.ids), bool)
-            scores = np.zeros(len(self.ids), np.int64)
-            for t, w in zip(essential, weight[cut_at:]):
-                add = w * self.columns[t]
-                touched |= add > 0
-                scores += add
-            rows = rest[touched[rest]]
-            scores = scores[rows]
-            for j in range(cut_at - 1, -1, -1):
-                keep = scores + upto[j + 1] >= least
-                rows, scores = rows[keep], scores[keep]
-                scores = scores + weight[j] * self.columns[terms[j]][rows]
-        rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, scores])
+            first = int(np.searchsorted(upto, least, "left")) - 1  # terms before it are non-essential
+            gathered = np.zeros(len(self.ids), np.int64)
+            for t, w in zip(terms[first:], weight[first:]):
+                rows, values = self.postings(t, w > 0)
+                gathered[rows] += w * values
+            gathered[~others] = 0
+            gathered[warm] = 0
+            rows = np.flatnonzero((gathered > 0) & (gathered + upto[first] >= least))
+            most = gathered[rows] + upto[first]
+            for n, j in enumerate(range(len(terms) - 1, -1, -1), 1):
+                adds = weight[j] * self.columns[terms[j]][rows]
+                most += np.minimum(adds, 0) if j >= first else adds - bound[j]
+                if n % PROBES == 0:
+                    keep = most >= least
+                    rows, most = rows[keep], most[keep]
+        rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, most])
         best_rows, best = self._best(rows, scores, k)
         return self.ids[best_rows], best
 
@@ -101,11 +121,11 @@ class Shard:
         return rows[order], scores[order]
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """The lists as rows, padded with 0."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), width), np.int64)
+    out[np.arange(width)[None] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -113,11 +133,15 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["id", "v"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_values: int = CELL_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs are (id, v array<long>)."""
     vectors, queries = _once(vectors), _once(queries)
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
+
+    def parts(rows):
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+        return max(1, -(-found["n"] * max(1, found["width"] or 1) // cell_values))
+
+    shards, blocks = parts(vectors), parts(queries)
     left = (vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False)))
     right = (queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))

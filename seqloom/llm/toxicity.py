@@ -7,16 +7,23 @@ group, a counterfactual copy has the term swapped for another of its set, and
 the loss adds ``PENALTY * (logit - logit of the copy)**2``: the score has to rest
 on what is said, not on who is mentioned.
 
-*Training* uses a bounded sample of labelled rows, the ``TRAIN_ROWS`` with the
-smallest hash of their id; features are counted by Spark over the sample, the
+*Groups.* The sets of terms are a parameter: ``IDENTITY`` by default, or a table (set,
+term) read by :func:`group_sets`. A text that names no group has no counterfactual copy.
+:func:`group_gaps` shows what the penalty does: it plants a correlation between groups
+and labels in labelled sentences and measures how far scores move when terms are swapped.
+
+*Training* uses a bounded sample of labelled documents, the ``TRAIN_ROWS`` ids with the
+smallest hash, one text each; features are counted by Spark over the sample, the
 ``VOCABULARY`` most telling ones go into the model, and the fit runs on the
 driver over at most TRAIN_ROWS * VOCABULARY bits. *Scoring* reads every text in
 full, where it is, without a shuffle.
 
 *Defined cases.* A null text is empty and gets the score of a text without known
 features. Without labels of both kinds every score is 0. Conflicting labels of
-one id count as toxic; null labels don't count. Labels, lang, source and ids are
-never features.
+one id count as toxic; null labels don't count. Of a labelled id with several texts the
+first in code point order is learnt from; repeated rows count once. Ties between
+features go by name. An empty table gives an empty result. Labels, lang, source and ids
+are never features; further columns come through untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, slices
+from .common import cut, fresh, slices
 
 TRAIN_ROWS = 16_384
 VOCABULARY = 1_024
@@ -41,8 +48,10 @@ RIDGE = 5e-5
 SPARSE = 5e-5
 STEPS = 1_000
 PREFIXES = (3, 4, 5, 6)
-#: Word lookups a worker keeps.
-KEPT_WORDS = 150_000
+#: Word lookups a worker keeps, and the longest word it keeps.
+KEPT_WORDS, LONGEST_KEPT = 100_000, 48
+#: Most terms of a table of groups.
+MAX_TERMS = 10_000
 
 #: Identity terms; terms of one set can stand for each other.
 IDENTITY = (
@@ -72,13 +81,26 @@ def text_features(text: str | None, identity: frozenset) -> set[str]:
     return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w, identity)}
 
 
+def group_sets(groups: DataFrame) -> tuple:
+    """Sets of terms from a table (set, term) of at most ``MAX_TERMS`` rows; terms are
+    lower-cased, sets of fewer than two terms have nothing to swap."""
+    rows = groups.where("set is not null and term is not null").select("set", F.lower("term").alias("term")).distinct().limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    sets: dict = {}
+    for r in sorted(rows):
+        sets.setdefault(r["set"], []).append(r["term"])
+    return tuple(tuple(t) for t in sets.values() if len(t) > 1)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of at most ``rows`` labelled documents, chosen by hash; cut."""
+    """text and toxic of at most ``rows`` labelled documents, chosen by hash; one row an
+    id, however many rows have it; cut."""
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-               .select("text", F.col("__toxic").cast("int").alias("toxic")))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").cast("int").alias("toxic")).drop("doc_id"))
 
 
 def _counts(sample: DataFrame, identity: frozenset) -> DataFrame:
@@ -177,8 +199,12 @@ def fit_weights(rows: list[tuple[np.ndarray, int]], size: int, index: dict[str,
 def train(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, rows: int = TRAIN_ROWS, sets=IDENTITY) -> dict | None:
     """The model: feature weights and bias. ``labels`` (doc_id, toxic) has only
     rows that may be learnt from. None without labels of both kinds."""
+    return train_on(training_sample(docs, labels, rows), penalty, sets)
+
+
+def train_on(sample: DataFrame, penalty: float = PENALTY, sets=IDENTITY) -> dict | None:
+    """The model of a bounded, cut table (text, toxic)."""
     identity = frozenset(t for s in sets for t in s)
-    sample = training_sample(docs, labels, rows)
     kinds = {r["toxic"] > 0: r["count"] for r in sample.where("toxic is not null").groupBy(F.expr("int(toxic > 0) as toxic")).count().collect()}
     if len(kinds) < 2:
         return None
@@ -211,9 +237,11 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
                 for word in set(_WORD.findall(text.lower())) if text else ():
                     hits = known.get(word)
                     if hits is None:
-                        if len(known) > KEPT_WORDS:
-                            known.clear()
-                        hits = known[word] = tuple((f, weights[f]) for f in word_features(word, identity) if f in weights)
+                        hits = tuple((f, weights[f]) for f in word_features(word, identity) if f in weights)
+                        if len(word) <= LONGEST_KEPT:
+                            if len(known) >= KEPT_WORDS:
+                                known.clear()
+                            known[word] = hits
                     if hits:
                         found.update(hits)
                 z = bias + sum(found[f] for f in sorted(found))
@@ -223,6 +251,56 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
     return source.mapInArrow(run, StructType([*source.schema.fields, StructField(name, DoubleType())]))
 
 
+def harmless(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
+    """The rows that score below ``threshold``, with the columns of ``docs``."""
+    name = fresh("__score", docs.columns)
+    return score(docs, model, name).where(F.col(name) < threshold).drop(name)
+
+
+#: Of ten toxic sentences so many name the first group of a set in :func:`group_gaps`; of harmless ones the rest.
+BIAS = 9
+
+
+def named_groups(sample: DataFrame, sets=IDENTITY) -> DataFrame:
+    """Labelled sentences (text, toxic) led by a group term: a set by hash, in it the first
+    term for ``BIAS`` in ten toxic and the others for ``BIAS`` in ten harmless texts."""
+    lists = F.array(*[F.array(*[F.lit(t) for t in s]) for s in sets])
+    h = F.xxhash64("text")
+    terms = F.element_at(lists, (F.pmod(h, F.lit(len(sets))) + 1).cast("int"))
+    first = (F.pmod(F.shiftright(h, 20), F.lit(10)) < BIAS) == (F.col("toxic") > 0)
+    other = (F.pmod(F.shiftright(h, 40), F.size(terms) - 1) + 2).cast("int")
+    return sample.select(F.concat_ws(" ", F.element_at(terms, F.when(first, 1).otherwise(other)), "text").alias("text"), "toxic")
+
+
+def group_gaps(sample: DataFrame, model: dict | None, sets=IDENTITY) -> DataFrame:
+    """(term, n, gap): how far, on average over the sentences of ``sample``, the score
+    moves when "term sentence" has the term swapped for the next of its set. A batch
+    gives a row per term, so no table of counterfactuals is made."""
+    weights, bias, identity = (model["weights"], model["bias"], model["identity"]) if model else ({}, 0.0, frozenset())
+    swaps = [(t, weights.get(t, 0.0), weights.get(s[(k + 1) % len(s)], 0.0)) for s in sets for k, t in enumerate(s)]
+
+    def run(batches):
+        for b in slices(batches, 4_096):
+            z = np.array([bias + sum(weights.get(f, 0.0) for f in text_features(t, identity) if f not in identity) for t in b.column(0).to_pylist()])
+            p = lambda w: 1 / (1 + np.exp(-np.clip(z + w, -30, 30)))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in swaps]), pa.array([len(z)] * len(swaps), pa.int64()),
+                                              pa.array([float(np.abs(p(u) - p(v)).sum()) for _, u, v in swaps])], ["term", "n", "sum"])
+
+    return (sample.select("text").mapInArrow(run, "term string, n long, sum double").groupBy("term")
+            .agg(F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("gap")))
+
+
+def toxicity_group_gaps(spark, sf_dir: str) -> DataFrame:
+    """Per group term the gap without and with the penalty, learnt from labelled texts in
+    which groups and labels were made to go together."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    sample = training_sample(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    biased = cut(named_groups(sample))
+    plain, fair = (group_gaps(sample, train_on(biased, penalty)) for penalty in (0.0, PENALTY))
+    return (plain.withColumnRenamed("gap", "plain_gap")
+            .join(fair.select("term", F.col("gap").alias("regularised_gap")), "term"))
+
+
 def fold(doc_id):
     """crc32 of the id's text, mod 5; 0 is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(-1))

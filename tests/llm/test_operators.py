@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seqloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, packing, secret_scan, token_counts, topk, toxicity
+from seqloom.llm import components as linking
 from seqloom.llm.components import components
 
 from ..conftest import SF, canonical
@@ -71,13 +72,31 @@ def test_exact_dedup_odd_rows(odd, none, keep):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+CLASHING = ["row", "h", "p", "norm", "rn", "best", "size", "salt", "salts", "digest", "all_best", "__score", "score", "class", "registers",
+            "n_shingles", "id", "target", "source_size", "copies", "lacking", "__size", "__source", "Copies2", "a.b"]
+
+
+def with_clashes(frame):
+    """``frame`` with columns named like those of the operators' own plans."""
+    return frame.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+
+
+def unchanged(frame, rows, before):
+    assert frame.columns == [*before, *CLASHING]
+    return all(tuple(r)[len(before):] == tuple(f"{c} {'-' if r.doc_id is None else r.doc_id}" for c in CLASHING) for r in rows)
+
+
 def test_exact_dedup_hot_text_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HOT_ROWS", 4)
-    data = [(i, "HOT" if i % 3 else f"t{i}", "x") for i in range(3000)]
-    df = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id long, text string, kept string"), "largest", prefix="__")
-    got = {r.doc_id: r for r in df.collect()}
-    assert [i for i, r in got.items() if r["__kept"] and r.text == "HOT"] == [2999]
-    assert {r["__group_size"] for r in got.values() if r.text == "HOT"} == {2000} and got[5].kept == "x"
+    data = [(i if i % 5 else None, "HOT" if i % 3 else f"t{i}", "x") for i in range(3000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, kept string")
+    got = exact_dedup.exact_dedup(frame, "largest").collect()
+    hot = [r for r in got if r.text == "HOT"]
+    assert [r.doc_id for r in hot if r.kept] == [2999] and {r.group_size for r in hot} == {2000} and {r.keep_id for r in hot} == {2999}
+    assert sum(r.kept for r in got) == 1001 and len(got) == 3000
+    left = exact_dedup.distinct_texts(with_clashes(frame), "largest")
+    rows = left.collect()
+    assert len(rows) == 1001 and unchanged(left, rows, frame.columns) and {r.kept for r in rows} == {"x"}
 
 
 # 2
@@ -121,8 +140,8 @@ def test_bpe_encode_and_decode_frames(spark, odd):
 # 3
 
 
-def brute_components(texts):
-    sets = {i: near_dedup.shingles(near_dedup.words(t)) for i, t in texts.items()}
+def brute_components(texts, shingle=2):
+    sets = {i: near_dedup.shingles(near_dedup.words(t), shingle) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -140,6 +159,13 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_shingles():
+    assert near_dedup.shingles(b"a b a b".split(), 2) == {(b"a", b"b"), (b"b", b"a")}
+    assert near_dedup.shingles(b"a b".split(), 5) == {(b"a", b"b")} and near_dedup.shingles([], 5) == set()
+    for text, n in (("a b c d e f", 2), ("a a a a a a", 1), ("a", 1)):
+        assert len(near_dedup.shingle_hashes(near_dedup.words(text), 5)) == n
+
+
 def family(r, base, n, changes):
     out = []
     for _ in range(n):
@@ -150,19 +176,49 @@ def family(r, base, n, changes):
     return out
 
 
-def test_near_dedup_equals_brute_force(spark, monkeypatch):
-    """Families whose members are partly above and partly below the threshold."""
-    monkeypatch.setattr(near_dedup, "TILE", 16)
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, shingle):
+    """Families whose members are partly above and partly below the threshold; small
+    limits, so that buckets are shared out, keys are hot and tiles are many."""
+    for name, value in (("TILE", 16), ("FAN", 7), ("PAIRS", 50)):
+        monkeypatch.setattr(near_dedup, name, value)
+    plain = near_dedup.join_counted
+    monkeypatch.setattr(near_dedup, "join_counted", lambda *a: plain(*a, least=3, hot_keys=10**9))
     r = random.Random(3)
     texts = [t for size, changes in ((60, 12), (40, 5), (5, 3)) for t in family(r, [f"w{r.randrange(500)}" for _ in range(80)], size, changes)]
-    texts += [" ".join(f"w{r.randrange(300)}" for _ in range(r.randint(1, 60))) for _ in range(40)] + texts[:5] + ["one", "One", "", "  \t"]
+    texts += [" ".join(f"w{r.randrange(300)}" for _ in range(r.randint(1, 60))) for _ in range(40)] + texts[:5] + ["one", "One", "", "  \t", "o" * 300_000]
     r.shuffle(texts)
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    want = brute_components(dict(enumerate(texts)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=shingle).collect()
+    want = brute_components(dict(enumerate(texts)), shingle)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_near_dedup_recall_on_a_table(spark):
+    """All links of the 1,000 documents at sf0.01, by an inverted list of shingles."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    sets, lists, root = {i: near_dedup.shingles(near_dedup.words(t), 2) for i, t in texts.items()}, {}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        common = {}
+        for x in sets[i]:
+            for j in lists.setdefault(x, []):
+                common[j] = common.get(j, 0) + 1
+            lists[x].append(i)
+        for j, both in common.items():
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = near_dedup.op3_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
 def test_near_dedup_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and near_dedup.near_duplicates(none).count() == 0
@@ -170,6 +226,21 @@ def test_near_dedup_odd_rows(odd, none):
     assert all(x.kept and x.n_shingles == 0 for x in got if x.doc_id in (1, 2))
 
 
+def test_near_dedup_rows_that_repeat_an_id(spark):
+    """A row is a document: what is like either text of an id is found, and rows are dropped one by one."""
+    a, b = ([f"{p}{i}" for i in range(30)] for p in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "x"])), (3, "something else"),
+            (None, " ".join([*b, "y"])), (None, "lost row"), (None, "lost row"), (9, None)]
+    frame = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in near_dedup.near_duplicates(frame, shingle=2).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (None, 1, False),
+                          (None, None, True), (None, None, True), (9, 9, True)], key=str)
+    left = near_dedup.distinct_texts(frame, shingle=2)
+    found = left.collect()
+    assert unchanged(left, found, ["doc_id", "text"])
+    assert sorted(((x.doc_id, x.text) for x in found), key=str) == sorted([rows[0], rows[1], rows[4], *rows[6:]], key=str)
+
+
 def test_registers_estimate_and_merge():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 5, 1000)]
@@ -179,8 +250,12 @@ def test_registers_estimate_and_merge():
     assert abs(near_dedup.joint_similarity(x[:1], x[1:2], np.array([1000.0]), np.array([1000.0]))[0] - 900 / 1100) < 0.1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("partition_rows", [50_000, 10])
+def test_components(spark, monkeypatch, partition_rows):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
+    monkeypatch.setattr(linking, "PARTITION_ROWS", partition_rows)
+    plain = linking.join_counted
+    monkeypatch.setattr(linking, "join_counted", lambda *a: plain(*a, least=3, hot_keys=10**9))
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and all(got[200 + i] == 200 for i in range(30))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
@@ -213,9 +288,8 @@ def test_token_counts(spark, docs, odd, none):
     for frame in (docs, odd):
         texts = {r.doc_id: r.text or "" for r in frame.collect()}
         for x in token_counts.token_counts(frame, v).collect():
-            counts = [greedy(w + "\0", pieces, longest) for w in texts[x.doc_id].lower().split()] if len(texts[x.doc_id]) < 30000 else None
-            if counts is not None:
-                assert (x.n_words, x.n_tokens, x.n_unknown) == (len(counts), sum(abs(c) for c in counts), sum(c < 0 for c in counts))
+            counts = [greedy(token_counts.byte_word(w.encode()), pieces, longest) for w in texts[x.doc_id].lower().split()]
+            assert (x.n_words, x.n_tokens, x.n_unknown) == (len(counts), sum(abs(c) for c in counts), sum(c < 0 for c in counts))
     assert token_counts.token_counts(none, v).count() == 0
 
 
@@ -234,7 +308,7 @@ def test_token_counts_take_every_vocabulary_piece(spark, docs, odd):
             n += 1
         return n
 
-    texts = ["Straße", "\u201cquoted\u201d it\u2019s", "\u03b1\u03b2\u03b3\u03b4", "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587" * 50, "a\0b \0", "\U0001f600", "ratañ"]
+    texts = ["Straße", "\u201cquoted\u201d it\u2019s", "\u03b1\u03b2\u03b3\u03b4", "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587" * 50, "a\0b \0", "\U0001f600", "ratañ", "aeinrst" * 30_000]
     hostile = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for frame in (hostile, docs, odd):
         want = {r.doc_id: [count(w) for w in (r.text or "").lower().split()] for r in frame.collect()}
@@ -320,18 +394,33 @@ def test_top_k_odd_vectors_and_ties(spark):
     rows += [(i, [0.5] * 6, 0) for i in range(900, 1000)]  # one common vector
     rows += [(2000, None, 0), (2100, [float("nan")] * 6, 0), (2200, [float("inf")] + [0.0] * 5, 0), (2300, [None] * 6, 0), (None, [1.0] * 6, 0)]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
-    got = sorted(tuple(x) for x in topk.top_k(v, v.where("id % 100 = 0"), shard_rows=300, block_rows=4).collect())
+    got = sorted(tuple(x) for x in topk.top_k(v, v.where("id % 100 = 0"), cell_values=1500).collect())
     whole = {i: np.floor(1024 * np.array(x, np.float64)).astype(int) for i, x, _ in rows[:1000]}
     want = []
     for q in range(0, 1000, 100):
         best = sorted((-int(whole[q] @ whole[i]), i) for i in whole if i != q)[:10]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
+    far = topk.quantised(spark.createDataFrame([(0, [3e38, -1.0], 0), (1, [3e38, 5.0], 0), (2, [-3e38, 0.0], 0)], "vec_id long, embedding array<float>, label int"))
+    assert [(x.vec_id, x.score) for x in topk.top_k(far, far.where("id = 0")).orderBy("rank").collect()] == \
+        [(1, topk.LARGEST ** 2 - 1024 * 5120), (2, -topk.LARGEST ** 2)]
     few = v.where("id in (0, 1, 2)")
     assert topk.top_k(few, few.where("id = 0")).count() == 2
     assert topk.top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_top_k_skips_and_stays_exact():
+    """Sparse non-negative rows, where whole postings are non-essential."""
+    r = np.random.default_rng(5)
+    m = np.where(r.random((3000, 40)) < 0.15, r.integers(1, 500, (3000, 40)), 0)
+    m[:, 0] = 1  # a term that all rows have and that says little
+    shard = topk.Shard(np.arange(3000), m)
+    for q in range(0, 3000, 100):
+        found, scores = shard.search(q, m[q], 10)
+        want = sorted((-int(m[q] @ m[i]), i) for i in range(3000) if i != q)[:10]
+        assert [(-int(s), int(i)) for i, s in zip(found, scores)] == want
+
+
 # 8
 
 
@@ -349,12 +438,12 @@ def test_packing_is_best_fit_and_lossless(spark, docs, odd, none):
         rows = packing.best_fit_decreasing(lengths, 20)
         assert len(rows) == len(rooms) and sorted(i for x in rows for i in x) == list(range(len(lengths)))
     t = packing.encoding(packing.default_vocabulary())
-    unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    for frame in (docs, unique):
-        packed = packing.pack(frame, packing.default_vocabulary(), row=256, window_pieces=64)
-        back = {x.doc_id: x.ids for x in packing.read_documents(packed).collect()}
-        want = {x.doc_id: t.encode_ordinary(x.text or "") for x in frame.collect()}
-        assert back == {i: ids for i, ids in want.items() if ids}
+    twice = spark.createDataFrame([(1, "one text of an id"), (1, "another text " * 400), (None, "no id"), (None, "no id either " * 300)], "doc_id long, text string")
+    for frame in (docs, odd, twice):
+        packed = packing.pack(with_clashes(frame), packing.default_vocabulary(), row=256, window_pieces=64)
+        back = sorted(((x.doc_id, x.ids) for x in packing.read_documents(packed).collect()), key=str)
+        want = [(x.doc_id, t.encode_ordinary(x.text or "")) for x in frame.collect()]
+        assert back == sorted(((i, ids) for i, ids in want if ids), key=str)
         for x in packed.collect():
             ends, at = np.frombuffer(x.cu_seqlens, "<i4"), np.frombuffer(x.positions, "<i4")
             assert ends[-1] == x.n_tokens <= 256 and all((at[a:b] == np.arange(b - a)).all() for a, b in zip(ends, ends[1:]))
@@ -419,18 +508,13 @@ def test_mix_meets_targets(spark, docs, odd, none):
     assert made.columns == frame.columns and made.agg({"text": "count"}).first()[0] == sum(taken // size for _, size, _, _, taken in a)
 
 
-CLASHING = ["size", "target", "source_size", "copies", "lacking", "__size", "Copies2", "a.b"]
-
-
 @pytest.mark.parametrize("broadcast_rows", [100_000, 0])
 def test_mixed_documents_with_clashing_columns(spark, docs, monkeypatch, broadcast_rows):
     plain = mixing.join_small
     monkeypatch.setattr(mixing, "join_small", lambda *a: plain(*a, broadcast_rows=broadcast_rows, salts=4))
-    extra = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHING])
-    made = mixing.mixed_documents(extra)
-    assert made.dtypes == extra.dtypes
+    made = mixing.mixed_documents(with_clashes(docs))
     got = made.collect()
-    assert got and all(tuple(r)[len(docs.columns):] == tuple(f"{c} {r.doc_id}" for c in CLASHING) for r in got)
+    assert got and unchanged(made, got, docs.columns)
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixing.mixed_documents(docs).collect())
 
 
