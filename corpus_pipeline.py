@@ -10,6 +10,10 @@ stage's input. All stages but the last return the columns of ``documents``.
 4. mixing: each document is dropped, kept or repeated, so that sources meet their
    target weights
 5. bpe: one row per document left, with its number of tokens and digests
+
+*Defined cases.* A null text counts as empty; rows with a null id take part. A document is
+a row: rows that repeat an id with different texts are judged one by one. Empty tables
+pass through all stages. Further columns of any name come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from seqloom.llm.common import checkpoint_dir, table
@@ -25,19 +28,18 @@ from seqloom.llm.common import checkpoint_dir, table
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of documents that are still here and drops what scores
-    0.5 or more. Columns named like the score come back untouched."""
+    0.5 or more."""
     model = toxicity.train(docs.select("doc_id", "text"), toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, "__score").where(F.col("__score") < 0.5).select(*docs.columns)
+    return toxicity.harmless(docs, model)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs, keep="largest", prefix="__").where("__kept").select(*docs.columns)
+    return exact_dedup.distinct_texts(docs, keep="largest")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id can't be told apart by id: they stay as a group stays."""
-    gone = (near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Shingles of five words; a similarity of 0.8."""
+    return near_dedup.distinct_texts(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
