@@ -77,23 +77,6 @@ def searches(strategy: str, k: int) -> list[tuple]:
     return found
 
 
-def seeds(strategy: str, k: int) -> tuple[int, tuple[int, ...]]:
-    """Number of pieces, and the pieces of which one is free of errors in every
-    match: the first pieces of the searches if all of these start exactly, else all."""
-    found = searches(strategy, k)
-    if not found:
-        return 1, (0,)
-    pieces = len(found[0][0])
-    if any(upper[0] > 0 for _, _, upper in found):
-        return pieces, tuple(range(pieces))
-    return pieces, tuple(sorted({order[0] for order, _, _ in found}))
-
-
-def directions(order) -> list[str]:
-    """The direction in which each piece extends the part matched before."""
-    return ["forward", *("forward" if b > a else "backward" for a, b in zip(order, order[1:]))]
-
-
 def accepts(search: tuple, errors) -> bool:
     """Whether a search admits ``errors`` (one count per piece, in text order)."""
     order, lower, upper = search
@@ -110,3 +93,35 @@ def uncovered(strategy: str, k: int) -> list[tuple[int, ...]]:
     found = searches(strategy, k)
     pieces = len(found[0][0])
     return [e for e in product(range(k + 1), repeat=pieces) if sum(e) <= k and not any(accepts(s, e) for s in found)]
+
+
+def plan(strategy: str, k: int) -> tuple[int, dict[int, frozenset]]:
+    """Number of pieces and, per piece that is looked up, the numbers of errors left and
+    right of it that have to be tried.
+
+    A match has at most k errors, spread over the pieces in some way. Each search that
+    accepts the spread and starts with an error-free piece finds the match there, with
+    the errors that the spread has on both sides; its bounds rule all others out. A spread
+    that only searches with an erroneous start accept is found by its first error-free
+    piece. The backtracking strategies go through the pattern from its start (naive) or
+    from its end (improved): a match is found by its first, or last, error-free piece."""
+    found = searches(strategy, k)
+    pieces = len(found[0][0]) if found else k + 1
+    out: dict[int, set] = {}
+    for errors in product(range(k + 1), repeat=pieces):
+        if sum(errors) > k:
+            continue
+        free = [i for i, e in enumerate(errors) if e == 0]
+        if found:
+            starts = {order[0] for order, lower, upper in found if upper[0] == 0 and accepts((order, lower, upper), errors)} or {free[0]}
+        else:
+            starts = {free[-1] if strategy == "improved" else free[0]}
+        for i in starts:
+            out.setdefault(i, set()).add((sum(errors[:i]), sum(errors[i + 1:])))
+    return pieces, {i: frozenset(out[i]) for i in sorted(out)}
+
+
+def seeds(strategy: str, k: int) -> tuple[int, tuple[int, ...]]:
+    """Number of pieces, and the pieces of which one is free of errors in every match."""
+    pieces, tried = plan(strategy, k)
+    return pieces, tuple(tried)

@@ -1,41 +1,76 @@
-"""Batch jobs for spark-submit: build an index, or search reads in texts.
+"""Batch jobs for spark-submit: build an index, store texts for searches, search reads.
 
     search.py index TEXTS OUT
-    search.py match TEXTS READS OUT [--max-ed K] [--strategy NAME]
+    search.py store TEXTS OUT [--longest N]
+    search.py match TEXTS READS OUT [--stored] [--max-ed K] [--strategy NAME]
+    search.py compare TEXTS READS.csv OUT [--stored] [--max-ed K] [--read-positions-incorrect]
 
-TEXTS is Parquet with doc_id and text, READS Parquet with pattern_id and pattern.
+TEXTS is Parquet with doc_id and text, or what ``store`` has written (``--stored``);
+READS is Parquet with pattern_id and pattern. ``compare`` takes a reads file (id,
+position, a read for each of 0 to 4 errors), runs every strategy on the reads with K
+errors and writes OUT/matches, OUT/report (figures and seconds per strategy) and
+OUT/missed (reads without a match, or without one where they were planted).
 """
 
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.schemes import STRATEGIES
-from ..operators import approx, index
+from ..functions.schemes import MAX_K, STRATEGIES
+from ..operators import approx, grams, index, report
+from ..sources import corpus
+
+
+def compare(spark: SparkSession, texts, reads_path: str, out: str, k: int, check_places: bool = True, strategies=STRATEGIES, depth_first: bool = False) -> None:
+    """Runs the strategies one after the other; each one's matches are written before the
+    next starts, so its seconds are its own."""
+    reads = (corpus.reads_csv(spark, reads_path)
+             .select(F.col("id").alias("pattern_id"), F.col(f"ed{k}").alias("pattern"), F.col("position").alias("planted_at"))
+             .withColumn("planted_doc", F.lit(None).cast(grams.source_of(texts).id_type)))
+    n = reads.count()
+    for name in strategies:
+        began = time.time()
+        approx.match(texts, reads.select("pattern_id", "pattern"), k, name, depth_first).write.parquet(f"{out}/matches/strategy={name}")
+        seconds = time.time() - began
+        found = spark.read.parquet(f"{out}/matches/strategy={name}")
+        (report.planted_recall(found, reads, k)
+         .withColumns({"n_matches": F.lit(found.count()), "seconds": F.lit(seconds), "seconds_a_read": F.lit(seconds / max(n, 1))})
+         .write.parquet(f"{out}/report/strategy={name}"))
+        report.missed_reads(found, reads, k, texts, check_places).write.parquet(f"{out}/missed/strategy={name}")
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(dest="job", required=True)
-    one = jobs.add_parser("index")
-    one.add_argument("texts")
-    one.add_argument("out")
-    two = jobs.add_parser("match")
-    for name in ("texts", "reads", "out"):
-        two.add_argument(name)
-    two.add_argument("--max-ed", type=int, default=2)
-    two.add_argument("--strategy", choices=STRATEGIES, default="pigeon")
-    two.add_argument("--depth-first", action="store_true")
+    for job, names in (("index", ("texts", "out")), ("store", ("texts", "out")), ("match", ("texts", "reads", "out")), ("compare", ("texts", "reads", "out"))):
+        one = jobs.add_parser(job)
+        for name in names:
+            one.add_argument(name)
+        if job == "store":
+            one.add_argument("--longest", type=int, default=250)
+        if job in ("match", "compare"):
+            one.add_argument("--stored", action="store_true")
+            one.add_argument("-e", "--max-ed", type=int, default=2, choices=range(MAX_K + 1))
+            one.add_argument("-d", "--depth-first", action="store_true")
+        if job == "match":
+            one.add_argument("--strategy", choices=STRATEGIES, default="pigeon")
+        if job == "compare":
+            one.add_argument("-ri", "--read-positions-incorrect", action="store_true")
     chosen = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"seqloom-{chosen.job}").getOrCreate()
-    texts = spark.read.parquet(chosen.texts)
+    texts = grams.StoredTexts(spark, chosen.texts) if getattr(chosen, "stored", False) else spark.read.parquet(chosen.texts)
     if chosen.job == "index":
         index.build_index(texts, chosen.out)
+    elif chosen.job == "store":
+        grams.store(texts, chosen.out, chosen.longest)
+    elif chosen.job == "match":
+        approx.match(texts, spark.read.parquet(chosen.reads), chosen.max_ed, chosen.strategy, chosen.depth_first).write.parquet(chosen.out)
     else:
-        reads = spark.read.parquet(chosen.reads)
-        approx.match(texts, reads, chosen.max_ed, chosen.strategy, chosen.depth_first, dense=False).write.parquet(chosen.out)
+        compare(spark, texts, chosen.reads, chosen.out, chosen.max_ed, not chosen.read_positions_incorrect, depth_first=chosen.depth_first)
 
 
 if __name__ == "__main__":

@@ -1,16 +1,17 @@
 """All places of a text within k edits of a pattern, without redundant neighbours.
 
-A condition "edit distance <= k" has no join key. Each strategy therefore names
-seeds: parts of the pattern of which one must occur in every match, exactly or with
-few edits. Seeds are joined to the grams of the texts; what stands left and right of
-a seed is compared separately, with a threshold, and the distances add up:
+A condition "edit distance <= k" has no join key. Each strategy therefore cuts the
+pattern into pieces of which one is free of errors in every match, and names the pieces
+to look up and the errors that may stand left and right of each. Pieces are joined to
+the grams of the texts; what stands left and right is compared separately, with a
+threshold, and the distances add up:
 
-    distance = left part + seed + right part, least over the seeds
+    distance = left part + right part, least over the pieces
 
-Every optimal alignment is split by one of its seeds in that way, so the least sum is
+Every optimal alignment is split by one of its pieces in that way, so the least sum is
 the edit distance and no place is missed.
 
-The results of all strategies are equal; they differ in pieces, seeds and work.
+The results of all strategies are equal; they differ in pieces and work.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schemes
-from ..functions.letters import chunks, slice_of
+from ..functions.letters import slice_of
 from ..functions.session import cut
 from .exact import exact_matches
-
-#: Longest gram used as a join key, and letters whose neighbours backtracking looks up.
-GRAM, HEAD = 24, 12
+from .grams import class_of, occurrences, source_of
 
 
 def pattern_pieces(patterns: DataFrame, pieces: int) -> DataFrame:
@@ -36,107 +35,87 @@ def pattern_pieces(patterns: DataFrame, pieces: int) -> DataFrame:
                                          F.when(F.col("piece") == pieces - 1, F.length("pattern") - F.col("offset")).otherwise(size))))
 
 
-def deletions(strings: DataFrame, column: str, k: int) -> DataFrame:
-    """(column, variant): every string with up to ``k`` of its letters taken out."""
-    out = strings.select(column, F.col(column).alias("variant"))
-    for _ in range(k):
-        v = F.col("variant")
-        fewer = F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))),
-                            lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
-        out = out.select(column, F.explode(F.array_union(F.array(v), fewer)).alias("variant")).distinct()
-    return out
-
-
-def neighbourhood(strings: DataFrame, texts: DataFrame, k: int, longest: int = HEAD) -> DataFrame:
-    """(seed, near): for each seed the substrings of the texts within ``k`` edits.
-
-    Strings within k edits have a common string that both turn into by taking out at
-    most k letters, so an equi-join on these variants finds all; no alphabet is
-    expanded and only strings that occur are looked at."""
-    seeds_ = strings.select("seed").distinct()
-    least = max(1, (strings.agg(F.min(F.length("seed"))).first()[0] or 1) - k)
-    grams = (texts.where(F.length("text") > 0)
-             .select("text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("at"))
-             .select(F.explode(F.transform(F.sequence(F.lit(least), F.lit(longest + k)), lambda n: slice_of(F.col("text"), F.col("at"), n))).alias("near"))
-             .distinct().where(F.length("near") >= least))
-    return (deletions(seeds_, "seed", k).join(deletions(grams, "near", k), "variant").select("seed", "near").distinct()
-            .where(F.levenshtein("seed", "near", k) >= 0))
-
-
-def seeds(patterns: DataFrame, k: int, strategy: str, texts: DataFrame | None = None) -> DataFrame:
-    """(pattern, offset, part, near): ``near`` has to occur; it stands for the ``part``
-    letters of the pattern from ``offset``. The backtracking strategies look up in the
-    texts what is near the pattern's first (naive) or last (improved) letters."""
-    if strategy in ("naive", "improved"):
-        part = F.least(F.length("pattern"), F.lit(HEAD))
-        offset = F.lit(0) if strategy == "naive" else F.length("pattern") - part
-        parts = patterns.withColumns({"offset": offset, "part": part}).withColumn("seed", slice_of(F.col("pattern"), F.col("offset"), F.col("part")))
-        return (parts.join(neighbourhood(parts, texts, k), "seed")
-                .select("pattern", "offset", "part", "near"))
+def seeds(patterns: DataFrame, k: int, strategy: str) -> DataFrame:
+    """(pattern, piece, offset, near): the pieces of each pattern that are looked up, for
+    patterns with at least one letter a piece."""
     pieces, used = schemes.seeds(strategy, k)
-    return (pattern_pieces(patterns, pieces).where(F.col("piece").isin(*used))
-            .select("pattern", "offset", F.length("seed").alias("part"), F.col("seed").alias("near")).distinct())
-
-
-def _occurrences(texts: DataFrame, seeded: DataFrame, dense: bool) -> DataFrame:
-    """Where the seeds occur: the seeds' columns, doc_id, text and ``at``.
-
-    Dense: every position of the texts is a row (texts much smaller than patterns).
-    Otherwise texts are cut every q letters and the seeds give a row per offset."""
-    least = seeded.agg(F.min(F.length("near"))).first()[0]
-    if least is None:
-        return seeded.join(texts, F.lit(False)).withColumn("at", F.lit(0))
-    if dense:
-        q = min(GRAM, least)
-        positions = F.sequence(F.lit(0), F.length("text") - q)
-        grams = (texts.where(F.length("text") >= q).select("doc_id", "text", F.explode(positions).alias("at"))
-                 .withColumn("gram", slice_of(F.col("text"), F.col("at"), q)))
-        hits = grams.join(seeded.withColumn("gram", slice_of(F.col("near"), F.lit(0), q)), "gram")
-    else:
-        q = min(GRAM, (least + 1) // 2)
-        grams = (texts.select("doc_id", F.posexplode(chunks(F.col("text"), q)).alias("n", "gram")).withColumn("start", F.col("n") * q))
-        keyed = seeded.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda o: slice_of(F.col("near"), o, q))).alias("o", "gram"))
-        hits = (grams.join(keyed, "gram").withColumn("at", F.col("start") - F.col("o")).where("at >= 0")
-                .drop("n", "start", "o").join(texts, "doc_id"))
-    return hits.where(slice_of(F.col("text"), F.col("at"), F.length("near")) == F.col("near"))
-
-
-def _ends(k: int, whole, begin, step):
+    return (pattern_pieces(patterns.where(F.length("pattern") >= pieces), pieces).where(F.col("piece").isin(*used))
+            .select("pattern", "piece", "offset", F.col("seed").alias("near")))
+
+
+#: Second figure of the codes below: pieces of the strategy, of the fallback, no piece.
+_OWN, _FALLBACK, _ANYWHERE = 0, 1, 2
+
+
+def _code(how, piece, left, right):
+    return ((how * 10 + piece) * 10 + left) * 10 + right
+
+
+def _seeded(patterns: DataFrame, k: int, strategy: str) -> tuple[DataFrame, list[int]]:
+    """What is looked up for each pattern, and the codes of what may stand around it.
+
+    Patterns with fewer letters than the strategy has pieces fall back to k + 1 pieces;
+    patterns of at most k letters are within k edits of something at every place."""
+    pieces, tried = schemes.plan(strategy, k)
+    parts = [seeds(patterns, k, strategy).withColumn("how", F.lit(_OWN))]
+    codes = [_code(_OWN, i, a, b) for i, pairs in tried.items() for a, b in pairs]
+    if pieces > k + 1:
+        _, fewer = schemes.plan("naive", k)
+        between = patterns.where((F.length("pattern") > k) & (F.length("pattern") < pieces))
+        parts.append(seeds(between, k, "naive").withColumn("how", F.lit(_FALLBACK)))
+        codes += [_code(_FALLBACK, i, a, b) for i, pairs in fewer.items() for a, b in pairs]
+    tiny = patterns.where(F.length("pattern") <= k)
+    parts.append(tiny.select("pattern", F.lit(0).alias("piece"), F.lit(0).alias("offset"), F.lit("").alias("near"), F.lit(_ANYWHERE).alias("how")))
+    codes += [_code(_ANYWHERE, 0, 0, b) for b in range(k + 1)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, codes
+
+
+def _ends(k: int, whole, begin, step, key, allowed: list[int]):
     """Distances of the pattern's part ``whole`` to the pieces of the text that end, or
-    start, beside the seed, for each length that k edits allow."""
+    start, beside the seed, for each length that k edits allow; those that ``allowed``
+    names with ``key``."""
     n = F.length(whole)
     lengths = F.sequence(F.greatest(n - k, F.lit(0)), n + k)
     tried = F.transform(lengths, lambda a: F.struct(step(a).alias("edge"), F.levenshtein(slice_of(F.col("text"), begin(a), a), whole, k).alias("ed")))
-    return F.filter(tried, lambda x: (x["ed"] >= 0) & (x["edge"] >= 0) & (x["edge"] <= F.length("text")))
+    return F.filter(tried, lambda x: (x["ed"] >= 0) & (x["edge"] >= 0) & (x["edge"] <= F.length("text")) & (key + x["ed"]).isin(allowed))
+
+
+def _allowed(codes: list[int], side: str) -> list[int]:
+    """The codes (how, piece, errors) of one side."""
+    return sorted({c // 100 * 10 + (c // 10 % 10 if side == "left" else c % 10) for c in codes})
 
 
-def candidates(texts: DataFrame, patterns: DataFrame, k: int, strategy: str = "pigeon", dense: bool = True) -> DataFrame:
-    """(pattern, doc_id, begin, end, ed): every non-empty interval within ``k`` edits."""
+def candidates(texts, patterns: DataFrame, k: int, strategy: str = "pigeon") -> DataFrame:
+    """(pattern, doc_id, begin, end, ed): every non-empty interval within ``k`` edits.
+    ``texts`` is (doc_id, text) or stored texts; k is between 1 and 4."""
     schemes.searches(strategy, k)  # checks both
+    source = source_of(texts)
     # Used several times below; patterns may be costly to make, so they are kept once.
     distinct = cut(patterns.where(F.length("pattern") > 0).select("pattern").distinct())
-    pieces, _ = schemes.seeds(strategy, k)
-    short = (F.length("pattern") <= pieces * k) | (F.length("pattern") <= pieces)
-    branches = [(distinct.where(~short), strategy)] if pieces > 1 else [(distinct, strategy)]
-    if pieces > 1 and distinct.where(short).limit(1).count():  # too short for pieces: expand them whole
-        branches.append((distinct.where(short), "naive"))
-    out = None
-    for chosen, how in branches:
-        at, stop = F.col("at"), F.col("at") + F.length("near")
-        hits = _occurrences(texts, seeds(chosen, k, how, texts), dense or how in ("naive", "improved"))
-        left = slice_of(F.col("pattern"), F.lit(0), F.col("offset"))
-        right = slice_of(F.col("pattern"), F.col("offset") + F.col("part"), F.length("pattern"))
-        own = F.levenshtein(F.col("near"), slice_of(F.col("pattern"), F.col("offset"), F.col("part")))
-        found = (hits.withColumn("own", own)
-                 .withColumn("lefts", _ends(k, left, lambda a: F.greatest(at - a, F.lit(0)), lambda a: at - a)).where("size(lefts) > 0")
-                 .withColumn("rights", _ends(k, right, lambda a: stop, lambda a: stop + a)).where("size(rights) > 0")
-                 .select("pattern", "doc_id", "own", F.explode("lefts").alias("l"), "rights")
-                 .select("pattern", "doc_id", F.col("l.edge").alias("begin"), (F.col("own") + F.col("l.ed")).alias("e"), F.explode("rights").alias("r"))
-                 .select("pattern", "doc_id", F.col("begin").cast("long").alias("begin"), F.col("r.edge").cast("long").alias("end"),
-                         (F.col("e") + F.col("r.ed")).cast("long").alias("ed"))
-                 .where((F.col("ed") <= k) & (F.col("end") > F.col("begin"))))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("pattern", "doc_id", "begin", "end").agg(F.min("ed").alias("ed"))
+    looked_up, codes = _seeded(distinct, k, strategy)
+    looked_up = looked_up.withColumn("cls", class_of(F.length("near"), source.classes()))
+    about = looked_up.agg(F.sort_array(F.collect_set("cls")).alias("classes"), F.max(F.length("pattern")).alias("longest")).first()
+    hits = occurrences(source, looked_up, about["classes"], (about["longest"] or 1) + k)
+
+    at, stop = F.col("at"), F.col("at") + F.length("near")
+    left = slice_of(F.col("pattern"), F.lit(0), F.col("offset"))
+    right = slice_of(F.col("pattern"), F.col("offset") + F.length("near"), F.length("pattern"))
+    key = (F.col("how") * 10 + F.col("piece")) * 10
+
+    # The outer explodes keep the optimiser from computing the lists a second time to test their sizes.
+    found = (hits.select("pattern", "doc_id", "shift", "text", "at", "offset", "near", key.alias("key"),
+                         F.explode_outer(_ends(k, left, lambda a: F.greatest(at - a, F.lit(0)), lambda a: at - a, key, _allowed(codes, "left"))).alias("l"))
+             .where(F.col("l").isNotNull())
+             .select("pattern", "doc_id", "shift", "key", "l",
+                     F.explode_outer(_ends(k, right, lambda a: stop, lambda a: stop + a, F.col("key"), _allowed(codes, "right"))).alias("r"))
+             .where((F.col("l.ed") + F.col("r.ed") <= k) & (F.col("r.edge") > F.col("l.edge"))
+                    & (F.col("key") * 10 + F.col("l.ed") * 10 + F.col("r.ed")).isin(codes))
+             .select("pattern", "doc_id", (F.col("l.edge") + F.col("shift")).alias("begin"), (F.col("r.edge") + F.col("shift")).alias("end"),
+                     (F.col("l.ed") + F.col("r.ed")).cast("long").alias("ed")))
+    return found.groupBy("pattern", "doc_id", "begin", "end").agg(F.min("ed").alias("ed"))
 
 
 def best_per_start(found: DataFrame) -> DataFrame:
@@ -164,15 +143,16 @@ def drop_neighbours(best: DataFrame, k: int) -> DataFrame:
             .select("pattern", "doc_id", "x.begin", "end", "x.ed"))
 
 
-def match(texts: DataFrame, patterns: DataFrame, k: int, strategy: str = "pigeon", depth_first: bool = False, dense: bool = True) -> DataFrame:
+def match(texts, patterns: DataFrame, k: int, strategy: str = "pigeon", depth_first: bool = False) -> DataFrame:
     """(pattern_id, doc_id, begin, end, ed): the places of each pattern.
 
-    ``texts`` is (doc_id, text), ``patterns`` (pattern_id, pattern). ``depth_first``
-    is accepted for its name's sake: the order of a search doesn't change a relation.
-    Equal patterns are searched once. k = 0 gives all exact occurrences."""
+    ``texts`` is (doc_id, text) or :class:`grams.StoredTexts`, ``patterns`` (pattern_id,
+    pattern). ``depth_first`` is accepted for its name's sake: the order of a search
+    doesn't change a relation. Equal patterns are searched once; empty ones and empty
+    texts give nothing. k = 0 gives all exact occurrences."""
     schemes.searches(strategy, k)
     if k == 0:
         return (exact_matches(texts, patterns).join(patterns, "pattern_id")
                 .select("pattern_id", "doc_id", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("ed")))
-    places = drop_neighbours(best_per_start(candidates(texts, patterns, k, strategy, dense)), k)
+    places = drop_neighbours(best_per_start(candidates(texts, patterns, k, strategy)), k)
     return places.join(patterns, "pattern").select("pattern_id", "doc_id", "begin", "end", "ed")

@@ -5,56 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.letters import SENTINEL, chunks, slice_of
+from ..functions.letters import SENTINEL, slice_of
 from ..functions.session import cut
+from .grams import class_of, occurrences, source_of
 
-#: Longest gram used as a join key.
-GRAM = 32
 
-
-def _anchors(texts: DataFrame, q: int) -> DataFrame:
-    """(doc_id, at, gram): consecutive grams of the texts; one pass, n / q rows."""
-    return (texts.select("doc_id", F.posexplode(chunks(F.col("text"), q)).alias("n", "gram"))
-            .select("doc_id", (F.col("n") * q).alias("at"), "gram"))
-
-
-def exact_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def exact_matches(texts, patterns: DataFrame) -> DataFrame:
     """(pattern_id, doc_id, begin) of every occurrence, overlapping ones included.
-
-    Any occurrence of a pattern of m >= 2q - 1 letters covers one whole gram of a text
-    cut every q letters. So texts give n / q rows, patterns one row for each of their
-    first q gram offsets, and the join on the gram leaves few places to compare in
-    full. q comes from the shortest pattern. Empty patterns are left out.
-    """
+    ``texts`` is (doc_id, text) or stored texts. Empty patterns are left out."""
+    source = source_of(texts)
     wanted = patterns.where(F.length("pattern") > 0)
-    distinct = cut(wanted.select("pattern").distinct())
-    shortest = distinct.agg(F.min(F.length("pattern"))).first()[0]
-    if shortest is None:
-        return wanted.select("pattern_id").join(texts.select("doc_id"), F.lit(False)).withColumn("begin", F.lit(0).cast("long"))
-    q = min(GRAM, (shortest + 1) // 2)
-    keyed = distinct.select("pattern", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(q - 1)), lambda o: slice_of(F.col("pattern"), o, q))).alias("offset", "gram"))
-    places = (_anchors(texts, q).join(keyed, "gram")
-              .select("doc_id", "pattern", (F.col("at") - F.col("offset")).alias("begin")).where("begin >= 0"))
-    found = (places.join(texts, "doc_id")
-             .where(slice_of(F.col("text"), F.col("begin"), F.length("pattern")) == F.col("pattern"))
-             .select("pattern", "doc_id", F.col("begin").cast("long")))
-    return found.distinct().join(wanted, "pattern").select("pattern_id", "doc_id", "begin")
-
-
-def suffix_heads(suffixes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row, sa, head, next): each suffix's first ``size`` letters and the one after."""
-    at = F.col("sa").cast("int")
+    distinct = cut(wanted.select("pattern").distinct()
+                   .select(F.col("pattern").alias("near"), class_of(F.length("pattern"), source.classes()).alias("cls")))
+    about = distinct.agg(F.sort_array(F.collect_set("cls")).alias("classes"), F.max(F.length("near")).alias("longest")).first()
+    found = occurrences(source, distinct, about["classes"], about["longest"] or 1)
+    return (found.select(F.col("near").alias("pattern"), "doc_id", (F.col("at") + F.col("shift")).alias("begin"))
+            .join(wanted, "pattern").select("pattern_id", "doc_id", "begin"))
+
+
+def suffix_heads(suffixes: DataFrame, texts: DataFrame, lengths) -> DataFrame:
+    """(doc_id, row, sa, head, next): each suffix's first letters, for each of ``lengths``
+    that it has, and the letter after them."""
+    at, size = F.col("sa").cast("int"), F.col("size")
     after = slice_of(F.col("text"), at + size, 1)
-    return (suffixes.join(texts, "doc_id")
+    return (suffixes.join(texts, "doc_id").withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths])))
             .select("doc_id", "row", "sa", slice_of(F.col("text"), at, size).alias("head"),
-                    F.when(after == "", SENTINEL).otherwise(after).alias("next"))
-            .where(F.length("head") == size))
+                    F.when(after == "", SENTINEL).otherwise(after).alias("next"), "size")
+            .where(F.length("head") == size).drop("size"))
 
 
 def backward_search(patterns: DataFrame, heads: DataFrame) -> DataFrame:
-    """(pattern, doc_id, lo, hi): the rows whose suffixes start with a pattern of the
-    heads' length. Patterns with a letter that no text has find nothing."""
+    """(pattern, doc_id, lo, hi): the rows whose suffixes start with a pattern of one of
+    the heads' lengths. Patterns with a letter that no text has find nothing."""
     return (patterns.select("pattern").distinct().join(heads, F.col("pattern") == F.col("head"))
             .groupBy("pattern", "doc_id").agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi")))
 

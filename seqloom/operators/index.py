@@ -118,10 +118,20 @@ def lookup_by_sample(mapped: DataFrame, sample: DataFrame, every: int) -> DataFr
             .select("doc_id", "row", ((F.col("sa") + F.col("steps")) % F.col("n")).alias("sa")))
 
 
+def sample_rates(suffixes: DataFrame) -> DataFrame:
+    """Rows with ``rate``, the largest power of two up to 256 that divides the row: the
+    sample of rate f is ``rate >= f``, so one table holds all nine samples."""
+    rate = F.lit(1)
+    for n in range(1, 9):
+        rate = F.when(F.col("row") % (1 << n) == 0, 1 << n).otherwise(rate)
+    return suffixes.select("doc_id", "row", "sa", rate.alias("rate"))
+
+
 def build_index(texts: DataFrame, path: str) -> None:
-    """Writes ``suffix_index``, ``c_table`` and ``reverse_index`` under ``path``."""
-    for name, source in (("suffix_index", texts), ("reverse_index", reversed_texts(texts))):
-        counts = c_table(char_histogram(source))
-        lf_mapping(bwt(source, suffix_array_doubling(source)), counts).write.parquet(f"{path}/{name}")
-        if name == "suffix_index":
-            counts.write.parquet(f"{path}/c_table")
+    """Writes, for the texts and for the reversed texts, the suffixes with transform and
+    LF mapping, the counts, and the samples of all rates under ``path``."""
+    for side, source in (("", texts), ("reverse_", reversed_texts(texts))):
+        suffixes, counts = cut(suffix_array_doubling(source)), c_table(char_histogram(source))
+        lf_mapping(bwt(source, suffixes), counts).write.parquet(f"{path}/{side or 'suffix_'}index")
+        counts.write.parquet(f"{path}/{side}c_table")
+        sample_rates(suffixes).write.partitionBy("rate").parquet(f"{path}/{side}samples")

@@ -1,4 +1,5 @@
-"""Reports on matches: the matched strings, planted positions, figures per strategy."""
+"""Reports on matches: the matched strings, planted positions, reads that were missed,
+figures per strategy."""
 
 from __future__ import annotations
 
@@ -12,23 +13,45 @@ from . import approx
 
 
 def match_report(matches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Matches with the string of the text that they cover."""
+    """Matches with the string of the text that they cover, in order of read, text and
+    place. Places are sorted for reading only; searches don't rely on it."""
     begin, size = F.col("begin").cast("int"), (F.col("end") - F.col("begin")).cast("int")
     return (matches.join(texts, "doc_id")
-            .select("pattern_id", "doc_id", "begin", "ed", slice_of(F.col("text"), begin, size).alias("matched")))
+            .select("pattern_id", "doc_id", "begin", "ed", slice_of(F.col("text"), begin, size).alias("matched"))
+            .orderBy("pattern_id", "doc_id", "begin"))
+
+
+def _seen(matches: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """Per read: its number of matches and whether one is at most k + 2 from where it was
+    planted; without a ``planted_doc`` any text will do."""
+    near = (F.coalesce(F.col("doc_id") == F.col("planted_doc"), F.lit(True))
+            & (F.abs(F.col("begin") - F.col("planted_at")) <= k + 2))
+    return (reads.join(matches, "pattern_id", "left").groupBy("pattern_id")
+            .agg(F.count("doc_id").alias("n_matches"), F.max(F.coalesce(near, F.lit(False)).cast("long")).alias("planted")))
 
 
 def planted_recall(matches: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Per k: reads, reads with a match, reads with one at most k + 2 from where they
     were planted. ``reads`` is (pattern_id, planted_doc, planted_at)."""
-    near = (F.col("doc_id") == F.col("planted_doc")) & (F.abs(F.col("begin") - F.col("planted_at")) <= k + 2)
-    seen = (reads.join(matches, "pattern_id", "left").groupBy("pattern_id")
-            .agg(F.max(F.col("doc_id").isNotNull().cast("long")).alias("any"), F.max(F.coalesce(near, F.lit(False)).cast("long")).alias("planted")))
-    return seen.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("n_reads"),
-                    F.coalesce(F.sum("any"), F.lit(0)).alias("n_matched"), F.coalesce(F.sum("planted"), F.lit(0)).alias("n_planted"))
+    any_ = F.sum((F.col("n_matches") > 0).cast("long"))
+    return _seen(matches, reads, k).agg(
+        F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("n_reads"),
+        F.coalesce(any_, F.lit(0)).alias("n_matched"), F.coalesce(F.sum("planted"), F.lit(0)).alias("n_planted"))
+
 
+def missed_reads(matches: DataFrame, reads: DataFrame, k: int, texts, check_places: bool = True) -> DataFrame:
+    """(pattern_id, reason, n_matches, n_exhaustive): the reads without a match (``none``)
+    and, where places are checked, those without one at the planted place (``elsewhere``),
+    with the number of places that the plainest strategy finds for them."""
+    wrong = (F.col("n_matches") == 0) | (F.lit(check_places) & (F.col("planted") == 0))
+    missed = _seen(matches, reads, k).where(wrong)
+    again = approx.match(texts, reads.join(missed, "pattern_id", "left_semi").select("pattern_id", "pattern"), k, "naive")
+    return (missed.join(again.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")), "pattern_id", "left")
+            .select("pattern_id", F.when(F.col("n_matches") == 0, "none").otherwise("elsewhere").alias("reason"),
+                    "n_matches", F.coalesce("n", F.lit(0)).alias("n_exhaustive")))
 
-def strategy_metrics(texts: DataFrame, patterns: DataFrame, k: int, strategies) -> DataFrame:
+
+def strategy_metrics(texts, patterns: DataFrame, k: int, strategies) -> DataFrame:
     """Per strategy: mean number of unique matches and of candidates per pattern."""
     total = patterns.agg(F.count(F.lit(1)).alias("n_reads"))
 
@@ -43,3 +66,12 @@ def strategy_metrics(texts: DataFrame, patterns: DataFrame, k: int, strategies)
             F.lit(strategy).alias("strategy"), "n_reads", mean("u").alias("avg_matches"), mean("c").alias("avg_candidates"))
 
     return reduce(DataFrame.unionByName, [one(s) for s in strategies])
+
+
+def strategy_report(texts, reads: DataFrame, k: int, strategies) -> DataFrame:
+    """Per strategy: reads, reads with a match, reads found where they were planted, and
+    the mean numbers of :func:`strategy_metrics`."""
+    means = strategy_metrics(texts, reads.select("pattern_id", "pattern"), k, strategies)
+    found = reduce(DataFrame.unionByName, [
+        planted_recall(approx.match(texts, reads.select("pattern_id", "pattern"), k, s), reads, k).withColumn("strategy", F.lit(s)) for s in strategies])
+    return found.join(means.drop("n_reads"), "strategy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .functions import schemes
 from .functions.letters import _FROM, _TO
-from .queries import BACKTRACKING_K, SAMPLE, SHORT, STRATEGY_K
+from .queries import HEAD, HEAD_K, SAMPLE, SHORT, STRATEGY_K
 from .sources.corpus import READ
 
 _LETTERS = f"translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_FROM}', '{_TO}')"
@@ -15,8 +15,9 @@ REF = f"ref AS MATERIALIZED (SELECT item_id AS doc_id, {_LETTERS} AS text FROM b
 
 def _tiles(name, source, size):
     return f"""{name} AS MATERIALIZED (
-  SELECT doc_id || ':' || (g * {size}) AS pattern_id, doc_id, (g * {size})::BIGINT AS position, substr(text, (g * {size} + 1)::BIGINT, {size}) AS pattern
-  FROM {source}, unnest(range(length(text) // {size})) AS u(g))"""
+  SELECT doc_id || ':' || g AS pattern_id, doc_id, g::BIGINT AS position, substr(text, (g + 1)::BIGINT, {size}) AS pattern
+  FROM (SELECT * FROM {source} WHERE text <> ''),
+       unnest(list_distinct(list_append(range(0, greatest(length(text) - {size}, 0) + 1, {size}), greatest(length(text) - {size}, 0)))) AS u(g))"""
 
 
 def _with(*parts):
@@ -47,17 +48,18 @@ _OCC = """o AS (
   WINDOW w AS (PARTITION BY b.doc_id, s.ch ORDER BY b.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def _candidates(k, texts="ref", patterns="p", size=READ):
-    """Needs a table ``patterns`` (pattern) of distinct patterns of one size."""
-    part = size // (k + 1)
-    return f"""grams AS MATERIALIZED (
-  SELECT doc_id, pos, substr(text, pos + 1, {part}) AS gram FROM {texts}, unnest(range(length(text) - {part} + 1)) AS u(pos)),
-pieces AS MATERIALIZED (SELECT pattern, i * {part} AS off, substr(pattern, i * {part} + 1, {part}) AS gram FROM {patterns}, unnest(range({k + 1})) AS u(i)),
+def _candidates(k, texts="ref", patterns="p"):
+    """Needs a table ``patterns`` (pattern) of distinct patterns."""
+    return f"""cutup AS MATERIALIZED (SELECT pattern, (length(pattern) // {k + 1})::BIGINT AS part FROM {patterns} WHERE length(pattern) > {k}),
+grams AS MATERIALIZED (
+  SELECT doc_id, pos, part, substr(text, pos + 1, part) AS gram FROM {texts}, (SELECT DISTINCT part FROM cutup), unnest(range(length(text) - part + 1)) AS u(pos)),
+pieces AS MATERIALIZED (SELECT pattern, part, i * part AS off, substr(pattern, i * part + 1, part) AS gram FROM cutup, unnest(range({k + 1})) AS u(i)),
 starts AS MATERIALIZED (
-  SELECT DISTINCT pattern, doc_id, pos - off + d AS begin FROM grams JOIN pieces USING (gram), unnest(range(-{k}, {k + 1})) AS u(d) WHERE pos - off + d >= 0),
+  SELECT DISTINCT pattern, doc_id, pos - off + d AS begin FROM grams JOIN pieces USING (part, gram), unnest(range(-{k}, {k + 1})) AS u(d) WHERE pos - off + d >= 0
+  UNION ALL SELECT pattern, doc_id, pos AS begin FROM {patterns}, {texts}, unnest(range(length(text))) AS u(pos) WHERE length(pattern) <= {k}),
 cand AS MATERIALIZED (
   SELECT pattern, doc_id, begin, begin + len AS "end", levenshtein(substr(text, begin + 1, len), pattern)::BIGINT AS ed
-  FROM starts JOIN {texts} USING (doc_id), unnest(range({size - k}, {size + k + 1})) AS u(len)
+  FROM starts JOIN {texts} USING (doc_id), unnest(range(greatest(length(pattern) - {k}, 1), length(pattern) + {k + 1})) AS u(len)
   WHERE begin + len <= length(text) AND levenshtein(substr(text, begin + 1, len), pattern) <= {k})"""
 
 
@@ -101,15 +103,18 @@ _LONG = "SELECT doc_id, position, k::BIGINT AS k, pattern FROM (" + " UNION ALL
     f"SELECT doc_id, position, {k} AS k, ed{k} AS pattern FROM reads" for k in range(5)) + ")"
 
 
-def _read_matches(level, k):
+_EXACT = """SELECT {id}, doc_id, pos::BIGINT AS begin{more} FROM (
+  SELECT doc_id, pos, substr(text, pos + 1, size) AS pattern FROM {texts}, (SELECT DISTINCT length(pattern) AS size FROM {patterns}), unnest(range(length(text) - size + 1)) AS u(pos))
+JOIN (SELECT {id}, pattern FROM {patterns}) USING (pattern)"""
+
+
+def _read_matches(level, k, texts="ref"):
     """Matches ``m`` of the reads of one level."""
-    size = READ + {0: 0, 1: 0, 2: -1, 3: 0, 4: 0}[level]
+    some = f"given AS MATERIALIZED (SELECT pattern_id, ed{level} AS pattern FROM reads)"
     if k == 0:
-        return f"""m AS (SELECT pattern_id, doc_id, pos AS begin, pos + {size} AS "end", 0 AS ed
-  FROM (SELECT doc_id, pos, substr(text, pos + 1, {size}) AS pattern FROM ref, unnest(range(length(text) - {size} + 1)) AS u(pos))
-  JOIN (SELECT pattern_id, ed{level} AS pattern FROM reads) USING (pattern))"""
-    return f"""p AS MATERIALIZED (SELECT DISTINCT ed{level} AS pattern FROM reads), {_candidates(k, size=size)}, {_BEST}, {_kept(k)},
-m AS (SELECT pattern_id, kept.doc_id, begin, "end", ed FROM kept JOIN (SELECT pattern_id, ed{level} AS pattern FROM reads) t USING (pattern))"""
+        return some + ", m AS (" + _EXACT.format(id="pattern_id", texts=texts, patterns="given", more=', pos + length(pattern) AS "end", 0 AS ed') + ")"
+    return f"""{some}, p AS MATERIALIZED (SELECT DISTINCT pattern FROM given), {_candidates(k, texts)}, {_BEST}, {_kept(k)},
+m AS (SELECT pattern_id, kept.doc_id, begin, "end", ed FROM kept JOIN given USING (pattern))"""
 
 
 def _recall():
@@ -123,14 +128,21 @@ SELECT {k}::BIGINT AS k, count(*) AS n_reads, sum(hit)::BIGINT AS n_matched, sum
     return "\nUNION ALL\n".join(parts)
 
 
-def _metrics():
-    k = BACKTRACKING_K
-    names = ", ".join(f"('{s}')" for s in schemes.STRATEGIES)
-    return _with(REF, _READS, f"p AS MATERIALIZED (SELECT DISTINCT ed0 AS pattern FROM reads), {_candidates(k)}, {_BEST}, {_kept(k)}") + f"""
-SELECT strategy, n_reads, u / n_reads AS avg_matches, c / n_reads AS avg_candidates FROM (VALUES {names}) s(strategy), (
-  SELECT (SELECT count(*) FROM reads) AS n_reads,
-         (SELECT count(*) FROM cand JOIN (SELECT ed0 AS pattern FROM reads) USING (pattern)) AS c,
-         (SELECT count(*) FROM kept JOIN (SELECT ed0 AS pattern FROM reads) USING (pattern)) AS u)"""
+def _seen(k):
+    return f"""seen AS MATERIALIZED (
+  SELECT reads.pattern_id, count(m.doc_id) AS n_matches,
+         max(coalesce(m.doc_id = reads.doc_id AND abs(m.begin - reads.position) <= {k + 2}, false)::BIGINT) AS planted
+  FROM reads LEFT JOIN m USING (pattern_id) GROUP BY reads.pattern_id)"""
+
+
+def _means(level, k):
+    """Parts of a query that ends in ``mean``: one row of figures of the reads of one level."""
+    return (REF, _READS, _read_matches(level, k), """mean AS (
+  SELECT n_reads, u / n_reads AS avg_matches, c / n_reads AS avg_candidates FROM (
+    SELECT (SELECT count(*) FROM reads) AS n_reads, (SELECT count(*) FROM m) AS u, (SELECT count(*) FROM cand JOIN given USING (pattern)) AS c))""")
+
+
+_NAMES = "(VALUES " + ", ".join(f"('{s}')" for s in schemes.STRATEGIES) + ") s(strategy)"
 
 
 def _scheme_seeds():
@@ -140,24 +152,24 @@ def _scheme_seeds():
             pieces, used = schemes.seeds(s, k)
             rows += [f"('{s}', {k}, {pieces}, {i})" for i in used]
     return _with(REF, _tiles("tiles", "ref", READ), _P) + f"""
-SELECT DISTINCT strategy, k::BIGINT AS k, pattern, (i * ({READ} // n))::BIGINT AS "offset",
-       CASE WHEN i = n - 1 THEN substr(pattern, i * ({READ} // n) + 1) ELSE substr(pattern, i * ({READ} // n) + 1, {READ} // n) END AS seed
-FROM p, (VALUES {', '.join(rows)}) v(strategy, k, n, i)"""
+SELECT DISTINCT strategy, k::BIGINT AS k, pattern, (i * (length(pattern) // n))::BIGINT AS "offset",
+       CASE WHEN i = n - 1 THEN substr(pattern, i * (length(pattern) // n) + 1) ELSE substr(pattern, i * (length(pattern) // n) + 1, length(pattern) // n) END AS seed
+FROM p, (VALUES {', '.join(rows)}) v(strategy, k, n, i) WHERE length(pattern) >= n"""
 
 
 def oracle_sql():
-    short = [DOCS, REF, _tiles("tiles", "docs", SHORT), _P, _sa()]
-    hits = f"hit AS MATERIALIZED (SELECT pattern, doc_id, row, sa, text FROM p JOIN sa ON substr(text, sa + 1, {SHORT}) = pattern)"
-    rhits = f"rhit AS (SELECT pattern, doc_id, row FROM p JOIN rsa ON substr(text, sa + 1, {SHORT}) = reverse(pattern))"
+    short = [DOCS, REF, _tiles("tiles", "docs", SHORT), _P, _sa(), "sizes AS (SELECT DISTINCT length(pattern) AS size FROM p)"]
+    hits = """hit AS MATERIALIZED (SELECT pattern, doc_id, row, sa, text, size FROM p JOIN (
+  SELECT *, substr(text, sa + 1, size) AS pattern FROM sa, sizes) USING (pattern))"""
+    rhits = """rhit AS (SELECT pattern, doc_id, row FROM p JOIN (
+  SELECT *, reverse(substr(text, sa + 1, size)) AS pattern FROM rsa, sizes) USING (pattern))"""
     lf = ("m AS (SELECT b.doc_id, row, sa, bwt, (c + row_number() OVER (PARTITION BY b.doc_id, bwt ORDER BY row) - 1)::BIGINT AS lf "
           "FROM b JOIN ct ON b.doc_id = ct.doc_id AND b.bwt = ct.ch)")
     segments = f"""seg AS MATERIALIZED (
   SELECT doc_id || ':' || (i - 1) AS doc_id, {_LETTERS.replace('coalesce(text', 'coalesce(part')} AS text FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))"""
     raw = "raw AS (SELECT item_id AS doc_id, text FROM benchmark)"
-    exact = f"""SELECT pattern_id, doc_id, pos::BIGINT AS begin FROM (
-  SELECT doc_id, pos, substr(text, pos + 1, {READ}) AS pattern FROM ref, unnest(range(length(text) - {READ} + 1)) AS u(pos))
-JOIN (SELECT pattern_id, pattern FROM tiles) USING (pattern)"""
+    exact = _EXACT.format(id="pattern_id", texts="ref", patterns="tiles", more="")
     found = {
         "text_source": _with(DOCS) + "SELECT doc_id, text FROM docs",
         "alphabet": _with(DOCS, _HIST.format(src="docs")) + "SELECT ch, dense_rank() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT ch FROM hist)",
@@ -178,36 +190,45 @@ JOIN (SELECT pattern_id, pattern FROM tiles) USING (pattern)"""
         "bidirectional_range": _with(*short, hits, _REV, _sa("rsa", "rev"), rhits) + """
 SELECT * FROM (SELECT pattern, doc_id, min(row) AS lo, max(row) + 1 AS hi FROM hit GROUP BY pattern, doc_id)
 JOIN (SELECT pattern, doc_id, min(row) AS rlo, max(row) + 1 AS rhi FROM rhit GROUP BY pattern, doc_id) USING (pattern, doc_id)""",
-        "char_extensions": _with(*short, hits) + f"""
+        "char_extensions": _with(*short, hits) + """
 SELECT pattern, doc_id, side, ch, count(*) AS n FROM (
   SELECT pattern, doc_id, 'left' AS side, CASE WHEN sa = 0 THEN '$' ELSE substr(text, sa, 1) END AS ch FROM hit
   UNION ALL
-  SELECT pattern, doc_id, 'right', CASE WHEN sa + {SHORT} >= length(text) THEN '$' ELSE substr(text, sa + {SHORT} + 1, 1) END FROM hit)
+  SELECT pattern, doc_id, 'right', CASE WHEN sa + size >= length(text) THEN '$' ELSE substr(text, sa + size + 1, 1) END FROM hit)
 GROUP BY pattern, doc_id, side, ch""",
         "exact_match": _with(DOCS, REF, _tiles("tiles", "docs", READ)) + exact,
-        "exact_match_docs": _with(raw, _tiles("tiles", "raw", 40), """words AS (
-  SELECT doc_id, pos, substr(text, pos + 1, 40) AS pattern FROM documents, unnest(range(length(text) - 39)) AS u(pos))""") + """
-SELECT pattern_id, words.doc_id, pos::BIGINT AS begin FROM words JOIN (SELECT pattern_id, pattern FROM tiles) USING (pattern)""",
+        "exact_match_docs": _with(raw, _tiles("tiles", "raw", 40)) + _EXACT.format(id="pattern_id", texts="documents", patterns="tiles", more=""),
         "edit_distance": _with(REF, _READS, f"long AS ({_LONG})") + """
 SELECT doc_id, position, k, levenshtein(ed0, long.pattern)::BIGINT AS ed FROM long JOIN reads USING (doc_id, position)""",
         "approx_candidates": _with(DOCS, REF, _tiles("tiles", "docs", READ), _P, _candidates(2)) + "SELECT * FROM cand",
         "approx_best_per_start": _with(DOCS, REF, _tiles("tiles", "docs", READ), _P, _candidates(2), _BEST) + "SELECT * FROM best",
-        "approx_k0": f'SELECT pattern_id, doc_id, begin, begin + {READ} AS "end", 0::BIGINT AS ed FROM (' + _with(DOCS, REF, _tiles("tiles", "docs", READ)) + exact + ")",
+        "approx_k0": _with(DOCS, REF, _tiles("tiles", "docs", READ)) +
+        _EXACT.format(id="pattern_id", texts="ref", patterns="tiles", more=', pos + length(pattern) AS "end", 0::BIGINT AS ed'),
         **{f"approx_canonical_k{k}": _canonical(k) for k in range(1, 5)},
-        **{f"strategy_{s}": _canonical(BACKTRACKING_K if s in ("improved", "naive") else STRATEGY_K) for s in schemes.STRATEGIES},
+        **{f"strategy_{s}": _canonical(STRATEGY_K) for s in schemes.STRATEGIES},
+        **{f"strategy_{s}_k{k}": _canonical(k) for s in schemes.STRATEGIES for k in (3, 4)},
         "approx_depth_first": _canonical(STRATEGY_K),
-        "approx_short_pattern": _with(DOCS, REF, _tiles("tiles", "docs", 2), _P, _brute(1), _BEST, _kept(1)) +
+        "approx_short_pattern": _with(REF, _tiles("tiles", "ref", READ), f"p AS MATERIALIZED (SELECT DISTINCT substr(pattern, 1, {HEAD}) AS pattern FROM tiles)",
+                                      _brute(HEAD_K), _BEST, _kept(HEAD_K)) + 'SELECT pattern AS pattern_id, doc_id, begin, "end", ed FROM kept',
+        "approx_tiny_pattern": _with(DOCS, REF, _tiles("tiles", "docs", 2), _P, _brute(1), _BEST, _kept(1)) +
         'SELECT pattern AS pattern_id, doc_id, begin, "end", ed FROM kept',
         "approx_segments": _with(segments, REF, _tiles("tiles", "ref", READ), _P, _candidates(1, texts="seg"), _BEST, _kept(1)) +
         _MATCH.format(t="(SELECT pattern_id, pattern FROM tiles) t"),
-        "pattern_pieces": _with(DOCS, _tiles("tiles", "docs", READ), _P) + f"""
-SELECT pattern, i::BIGINT AS piece, (i * {READ // 3})::BIGINT AS "offset", substr(pattern, i * {READ // 3} + 1, {READ // 3}) AS seed
+        "pattern_pieces": _with(DOCS, _tiles("tiles", "docs", READ), _P) + """
+SELECT pattern, i::BIGINT AS piece, (i * (length(pattern) // 3))::BIGINT AS "offset",
+       CASE WHEN i = 2 THEN substr(pattern, i * (length(pattern) // 3) + 1) ELSE substr(pattern, i * (length(pattern) // 3) + 1, length(pattern) // 3) END AS seed
 FROM p, unnest(range(3)) AS u(i)""",
         "scheme_seeds": _scheme_seeds(),
         "reads_long": _with(REF, _READS) + _LONG,
         "match_report": _with(REF, _READS, _read_matches(1, 2)) + """
 SELECT pattern_id, m.doc_id, begin, ed, substr(text, begin + 1, "end" - begin) AS matched FROM m JOIN ref USING (doc_id)""",
         "planted_recall": _recall(),
-        "strategy_metrics": _metrics(),
+        "strategy_metrics": _with(*_means(0, STRATEGY_K)) + f" SELECT strategy, n_reads, avg_matches, avg_candidates FROM {_NAMES}, mean",
+        "strategy_report": _with(*_means(STRATEGY_K, STRATEGY_K), _seen(STRATEGY_K)) + f"""
+SELECT strategy, {STRATEGY_K}::BIGINT AS k, n_reads, n_matched, n_planted, avg_matches, avg_candidates FROM {_NAMES}, mean,
+  (SELECT sum((n_matches > 0)::BIGINT)::BIGINT AS n_matched, sum(planted)::BIGINT AS n_planted FROM seen)""",
+        "missed_reads": _with(REF, _READS, _read_matches(STRATEGY_K + 1, STRATEGY_K), _seen(STRATEGY_K)) + """
+SELECT pattern_id, CASE WHEN n_matches = 0 THEN 'none' ELSE 'elsewhere' END AS reason, n_matches, n_matches AS n_exhaustive FROM seen WHERE planted = 0""",
+        "match_stored_index": _with(DOCS, REF, _READS, _read_matches(1, STRATEGY_K, "docs")) + "SELECT * FROM m",
     }
     return {name: sql.replace(")SELECT", ")\nSELECT") for name, sql in found.items()}

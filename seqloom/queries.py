@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import schemes
 from .functions.letters import letters
-from .operators import approx, exact, index, report
+from .functions.session import shared_folder
+from .operators import approx, exact, grams, index, report
 from .sources import corpus
 
 #: Letters of the patterns for suffix ranges, rows between samples, k of the strategies.
 SHORT, SAMPLE, STRATEGY_K = 8, 8, 2
-BACKTRACKING_K = 1
+#: Letters and k of the patterns that are too short for pieces.
+HEAD, HEAD_K = 12, 4
 
 
 def read_tiles(spark, sf_dir, size=corpus.READ) -> DataFrame:
@@ -52,7 +55,7 @@ def _sparse_lookup(texts):
 
 
 def _heads(texts):
-    return exact.suffix_heads(index.suffix_array(texts), texts, SHORT)
+    return exact.suffix_heads(index.suffix_array(texts), texts, range(1, SHORT + 1))
 
 
 def backward_search_range(spark, sf_dir):
@@ -98,7 +101,15 @@ def canonical(k, strategy="pigeon", depth_first=False):
 
 
 def short_pattern(spark, sf_dir):
-    """Patterns of two letters with one error: too short for pieces."""
+    """The first letters of the reads of the reference texts, with so many errors that
+    they are too short for pieces."""
+    reads = corpus.tiles(corpus.reference_texts(spark, sf_dir))
+    patterns = reads.select(F.substring("pattern", 1, HEAD).alias("pattern")).distinct()
+    return approx.match(corpus.reference_texts(spark, sf_dir), patterns.select(F.col("pattern").alias("pattern_id"), "pattern"), HEAD_K)
+
+
+def tiny_pattern(spark, sf_dir):
+    """Patterns of two letters with one error."""
     patterns = read_tiles(spark, sf_dir, 2).select("pattern").distinct().select(F.col("pattern").alias("pattern_id"), "pattern")
     return approx.match(corpus.reference_texts(spark, sf_dir), patterns, 1)
 
@@ -108,7 +119,7 @@ def segment_match(spark, sf_dir):
     lines = corpus.segments(corpus.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     texts = lines.select(F.concat_ws(":", "doc_id", "segment").alias("doc_id"), letters(F.col("text")).alias("text"))
     reads = corpus.tiles(corpus.reference_texts(spark, sf_dir))
-    return approx.match(texts, reads.select(F.concat_ws(":", "doc_id", "position").alias("pattern_id"), "pattern"), 1, dense=False)
+    return approx.match(texts, reads.select(F.concat_ws(":", "doc_id", "position").alias("pattern_id"), "pattern"), 1)
 
 
 def pattern_pieces(spark, sf_dir):
@@ -120,7 +131,7 @@ def scheme_seeds(spark, sf_dir):
     """The seeds of each strategy and k on the reads of the reference texts."""
     reads = corpus.tiles(corpus.reference_texts(spark, sf_dir)).select("pattern").distinct()
     parts = [approx.seeds(reads, k, s).select(F.lit(s).alias("strategy"), F.lit(k).cast("long").alias("k"), "pattern",
-                                              F.col("offset").cast("long"), F.col("near").alias("seed"))
+                                              F.col("offset").cast("long"), F.col("near").alias("seed")).distinct()
              for s in schemes.STRATEGIES[:6] for k in range(1, 5)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -142,7 +153,26 @@ def planted_recall(spark, sf_dir):
 
 def strategy_metrics(spark, sf_dir):
     reads = planted(spark, sf_dir, 0).select("pattern_id", "pattern")
-    return report.strategy_metrics(corpus.reference_texts(spark, sf_dir), reads, BACKTRACKING_K, schemes.STRATEGIES)
+    return report.strategy_metrics(corpus.reference_texts(spark, sf_dir), reads, STRATEGY_K, schemes.STRATEGIES)
+
+
+def strategy_report(spark, sf_dir):
+    return report.strategy_report(corpus.reference_texts(spark, sf_dir), planted(spark, sf_dir, STRATEGY_K), STRATEGY_K, schemes.STRATEGIES)
+
+
+def missed_reads(spark, sf_dir):
+    """Reads with one error more than is allowed for."""
+    texts, reads = corpus.reference_texts(spark, sf_dir), planted(spark, sf_dir, STRATEGY_K + 1)
+    found = approx.match(texts, reads.select("pattern_id", "pattern"), STRATEGY_K, "kianfar")
+    return report.missed_reads(found, reads, STRATEGY_K, texts)
+
+
+def match_stored_index(spark, sf_dir):
+    """Grams and blocks of the letters of all documents are written once; the reads of
+    the reference texts are searched in what was written."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
+    grams.store(corpus.document_texts(spark, sf_dir), path)
+    return approx.match(grams.StoredTexts(spark, path), planted(spark, sf_dir, 1).select("pattern_id", "pattern"), STRATEGY_K)
 
 
 def queries():
@@ -172,9 +202,11 @@ def queries():
         "approx_best_per_start": best_per_start,
         "approx_k0": canonical(0),
         **{f"approx_canonical_k{k}": canonical(k) for k in range(1, 5)},
-        **{f"strategy_{s}": canonical(BACKTRACKING_K if s in ("improved", "naive") else STRATEGY_K, s) for s in schemes.STRATEGIES},
+        **{f"strategy_{s}": canonical(STRATEGY_K, s) for s in schemes.STRATEGIES},
+        **{f"strategy_{s}_k{k}": canonical(k, s) for s in schemes.STRATEGIES for k in (3, 4)},
         "approx_depth_first": canonical(STRATEGY_K, "kplus1", depth_first=True),
         "approx_short_pattern": short_pattern,
+        "approx_tiny_pattern": tiny_pattern,
         "approx_segments": segment_match,
         "pattern_pieces": pattern_pieces,
         "scheme_seeds": scheme_seeds,
@@ -182,6 +214,9 @@ def queries():
         "match_report": match_report,
         "planted_recall": planted_recall,
         "strategy_metrics": strategy_metrics,
+        "strategy_report": strategy_report,
+        "missed_reads": missed_reads,
+        "match_stored_index": match_stored_index,
     }
 
 

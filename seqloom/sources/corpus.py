@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.letters import chunks, letters
+from ..functions.letters import letters, tiles_of
 
 READ = 60
 READS_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("position", T.LongType()),
@@ -34,9 +34,10 @@ def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(texts: DataFrame, size: int = READ) -> DataFrame:
-    """(doc_id, position, pattern): every text cut into patterns of ``size``."""
-    return (texts.select("doc_id", F.posexplode(chunks(F.col("text"), size)).alias("n", "pattern"))
-            .select("doc_id", (F.col("n").cast("long") * size).alias("position"), "pattern"))
+    """(doc_id, position, pattern): every text cut into patterns of ``size``, all letters
+    of it: the last one ends where the text ends and overlaps the one before it, and a
+    shorter text is one pattern. Empty texts give none."""
+    return tiles_of(texts, size)
 
 
 def segments(texts: DataFrame, delimiter: str = "\n") -> DataFrame:
@@ -67,5 +68,6 @@ def long_reads(reads: DataFrame, keys=("doc_id", "position")) -> DataFrame:
 
 
 def reads_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A reads file: header, id, planted position, a read for each of 0-4 errors."""
+    """A reads file: header, id, planted position, a read for each of 0-4 errors. Column
+    names in the file don't matter, their order does."""
     return spark.read.csv(path, header=True, schema=READS_SCHEMA, enforceSchema=True)

@@ -1,5 +1,5 @@
 """Search over a stream of patterns: each micro-batch is matched against the same
-texts and appended, with its batch number, to a Parquet table."""
+texts, or stored texts, and appended, with its batch number, to a Parquet table."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.approx import match
 
 
-def search_stream(patterns: DataFrame, texts: DataFrame, k: int, path: str, checkpoint: str,
+def search_stream(patterns: DataFrame, texts, k: int, path: str, checkpoint: str,
                   strategy: str = "pigeon", available_now: bool = True) -> StreamingQuery:
     """Starts the query. A batch that is repeated after a failure replaces its own
     part of the table, so each match is there once."""

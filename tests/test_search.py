@@ -1,11 +1,12 @@
 """Invariants, edge cases and brute force on small texts."""
 
 import random
+from itertools import product
 
 import pytest
 
 from seqloom.functions import schemes
-from seqloom.operators import approx, exact, index
+from seqloom.operators import approx, exact, grams, index
 from seqloom.sources import corpus
 
 
@@ -64,25 +65,60 @@ def small():
 
 
 @pytest.mark.parametrize("strategy", schemes.STRATEGIES)
-@pytest.mark.parametrize("k", [1, 2])
+@pytest.mark.parametrize("k", [1, 2, 4])
 def test_strategies_equal_brute_force(spark, small, strategy, k):
     texts, patterns = small
     found = approx.match(texts_of(spark, *texts), patterns_of(spark, *patterns), k, strategy)
     assert rows(found) == brute(texts, patterns, k)
 
 
-@pytest.mark.parametrize("strategy", ["pigeon", "kianfar", "manbest", "kplus2"])
-def test_more_errors(spark, small, strategy):
+def test_stored_texts_find_the_same(spark, small, tmp_path):
     texts, patterns = small
-    for k in (3, 4):
-        assert rows(approx.match(texts_of(spark, *texts), patterns_of(spark, *patterns), k, strategy)) == brute(texts, patterns, k)
-
-
-def test_sparse_text_grams_find_the_same(spark, small):
-    texts, patterns = small
-    for k in (1, 2):
-        found = approx.match(texts_of(spark, *texts), patterns_of(spark, *patterns), k, dense=False)
-        assert rows(found) == brute(texts, patterns, k)
+    frame, path = texts_of(spark, *texts), str(tmp_path / "stored")
+    grams.store(frame, path, longest=60, classes=(4, 8))
+    stored, wanted = grams.StoredTexts(spark, path), patterns_of(spark, *patterns, "AC", "A")
+    for k in (0, 2):
+        assert rows(approx.match(stored, wanted, k)) == rows(approx.match(frame, wanted, k)) != []
+    assert rows(approx.match(stored, patterns_of(spark, "ACGT" * 20), 1)) == []  # longer than what the blocks were made for
+    with pytest.raises(ValueError):
+        grams.store(frame, str(tmp_path / "no"), classes=(1, 8))
+
+
+def test_long_text_with_short_and_long_patterns(spark):
+    """Places only, whatever the text's length: 5 million letters in one row."""
+    r = random.Random(11)
+    text = "".join(r.choices("ACGT", k=5_000_000))
+    at = [0, 255, 256, 1_000_003, 4_999_940]
+    patterns = [*(text[i: i + 60] for i in at), "AC", text[777:777 + 400]]
+    found = rows(exact.exact_matches(texts_of(spark, text), patterns_of(spark, *patterns)))
+    want = [i for i in range(len(text) - 1) if text.startswith("AC", i)]
+    assert [x for x in found if x[0] == 5] == [(5, 0, i) for i in want]
+    assert [x for x in found if x[0] != 5] == [*((n, 0, i) for n, i in enumerate(at)), (6, 0, 777)]
+    changed = [p[:20] + "ACGT"["ACGT".index(p[20]) - 1] + p[21:40] + p[41:] for p in patterns[:5]]
+    near = rows(approx.match(texts_of(spark, text), patterns_of(spark, *changed), 2))
+    assert [x[:2] for x in near] == [(n, 0) for n in range(5)] and all(abs(x[2] - i) <= 2 for x, i in zip(near, at))
+
+
+def test_grams_meet_each_occurrence_once(spark):
+    r = random.Random(12)
+    text = "".join(r.choices("AC", k=700))
+    source = grams.Texts(texts_of(spark, text, ""))
+    for n in range(1, 40):
+        cls = max(c for c in grams.CLASSES if c <= n)
+        assert grams.stride_of(cls) + grams.gram_of(cls) - 1 <= n
+        some = spark.createDataFrame([(text[i: i + n], cls) for i in (0, 250, 700 - n)], "near string, cls int").distinct()
+        found = grams.occurrences(source, some, [cls], 40)
+        got = sorted((x.near, x.at + x.shift) for x in found.collect())
+        assert got == sorted((s, i) for s in {text[i: i + n] for i in (0, 250, 700 - n)} for i in range(700) if text.startswith(s, i))
+
+
+def test_tiles_hold_every_letter(spark):
+    texts = ["", "A", "ACGT", "ACGTACG", "ACGTACGT", "ACGTACGTA"]
+    got = {}
+    for d, at, p in rows(corpus.tiles(texts_of(spark, *texts), 4)):
+        assert texts[d][at: at + len(p)] == p
+        got.setdefault(d, []).append((at, len(p)))
+    assert got == {1: [(0, 1)], 2: [(0, 4)], 3: [(0, 4), (3, 4)], 4: [(0, 4), (4, 4)], 5: [(0, 4), (4, 4), (5, 4)]}
 
 
 def test_errors_in_pieces_that_no_search_starts_with(spark):
@@ -103,9 +139,27 @@ def test_schemes_cover_all_error_distributions(strategy, k):
 
 def test_short_patterns(spark):
     texts, patterns = ["ACGTACGTTT"], ["AC", "TT", "G", "ACGT"]
-    for k in (1, 2):
-        found = approx.match(texts_of(spark, *texts), patterns_of(spark, *patterns), k)
-        assert rows(found) == brute(texts, patterns, k)
+    for strategy in ("pigeon", "kplus2", "improved"):
+        for k in (1, 2, 4):
+            found = approx.match(texts_of(spark, *texts), patterns_of(spark, *patterns), k, strategy)
+            assert rows(found) == brute(texts, patterns, k)
+
+
+@pytest.mark.parametrize("strategy", schemes.STRATEGIES)
+def test_plans_follow_the_searches(strategy):
+    """Every spread of errors is tried at one of its error-free pieces, and nothing is
+    tried that no search accepts."""
+    for k in range(1, 5):
+        pieces, tried = schemes.plan(strategy, k)
+        found = schemes.searches(strategy, k)
+        spreads = [e for e in product(range(k + 1), repeat=pieces) if sum(e) <= k]
+        for e in spreads:
+            assert any(e[i] == 0 and (sum(e[:i]), sum(e[i + 1:])) in pairs for i, pairs in tried.items())
+        for i, pairs in tried.items():
+            for a, b in pairs:
+                mine = [e for e in spreads if e[i] == 0 and (sum(e[:i]), sum(e[i + 1:])) == (a, b)]
+                assert any(not found or any(schemes.accepts(s, e) for s in found) for e in mine)
+    assert sum(map(len, schemes.plan("kianfar", 4)[1].values())) < sum(map(len, schemes.plan("pigeon", 4)[1].values()))
 
 
 def test_edges(spark):
@@ -138,8 +192,8 @@ def test_index_invariants(spark):
         assert by_row[d, r.lf].sa == (r.sa - 1) % sizes[d]
     assert rows(index.lookup_by_sample(mapped, index.sparse_suffix_array(sa, 4), 4)) == rows(sa)
     patterns = patterns_of(spark, "AC", "AA", "GT")
-    both = exact.bidirectional_search(patterns, exact.suffix_heads(sa, texts, 2),
-                                      exact.suffix_heads(index.suffix_array(index.reversed_texts(texts)), index.reversed_texts(texts), 2))
+    both = exact.bidirectional_search(patterns, exact.suffix_heads(sa, texts, [2]),
+                                      exact.suffix_heads(index.suffix_array(index.reversed_texts(texts)), index.reversed_texts(texts), [2]))
     assert all(r.hi - r.lo == r.rhi - r.rlo for r in both.collect()) and both.count() == 4
 
 
@@ -147,7 +201,12 @@ def test_index_is_written_and_read(spark, tmp_path):
     texts = texts_of(spark, "ACGTACGTAACC")
     index.build_index(texts, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i/suffix_index")).count() == 13
-    assert spark.read.parquet(str(tmp_path / "i/c_table")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "i/c_table")).count() == 5 == spark.read.parquet(str(tmp_path / "i/reverse_c_table")).count()
+    for side, source in (("", texts), ("reverse_", index.reversed_texts(texts))):
+        samples = spark.read.parquet(str(tmp_path / f"i/{side}samples"))
+        for every in (1, 4, 256):
+            want = rows(index.sparse_suffix_array(index.suffix_array(source), every))
+            assert rows(samples.where(f"rate >= {every}").select("doc_id", "row", "sa")) == want
 
 
 def test_reads_file(spark, tmp_path):
@@ -161,6 +220,35 @@ def test_reads_file(spark, tmp_path):
         corpus.text_files(spark, str(tmp_path / "none"))
 
 
+def test_jobs(spark, tmp_path):
+    """A reads file through every strategy, with what was stored before."""
+    from seqloom.jobs import search
+
+    r = random.Random(13)
+    text = "".join(r.choices("ACGT", k=900))
+    texts_of(spark, text).write.parquet(str(tmp_path / "texts"))
+    lines = ["id,position,a,b,c,d,e"]
+    for i, at in enumerate((100, 500, 840)):
+        read = text[at: at + 40]
+        lines.append(f"{i},{at},{read},{read[:9] + read[10:]},{read},{read},{read}")
+    lines.append(f"7,10,{'A' * 40},{'A' * 40},A,A,A")
+    lines.append(f"8,10,{text[300:340]},{text[300:340]},A,A,A")
+    (tmp_path / "reads.csv").write_text("\n".join(lines))
+    search.main(["store", str(tmp_path / "texts"), str(tmp_path / "stored"), "--longest", "50"])
+    common = [str(tmp_path / "stored"), str(tmp_path / "reads.csv")]
+    search.main(["compare", *common, str(tmp_path / "out"), "--stored", "--max-ed", "1"])
+    report = spark.read.parquet(str(tmp_path / "out/report")).collect()
+    assert {x.strategy for x in report} == set(schemes.STRATEGIES)
+    assert {(x.k, x.n_reads, x.n_matched, x.n_planted, x.n_matches) for x in report} == {(1, 5, 4, 3, 4)} and all(x.seconds > 0 for x in report)
+    missed = spark.read.parquet(str(tmp_path / "out/missed"))
+    assert {tuple(x) for x in missed.drop("strategy").collect()} == {(7, "none", 0, 0), (8, "elsewhere", 1, 1)}
+    search.main(["compare", *common, str(tmp_path / "free"), "--stored", "--max-ed", "1", "--read-positions-incorrect"])
+    assert {x.pattern_id for x in spark.read.parquet(str(tmp_path / "free/missed")).collect()} == {7}
+    patterns_of(spark, text[5:45]).write.parquet(str(tmp_path / "reads"))
+    search.main(["match", str(tmp_path / "texts"), str(tmp_path / "reads"), str(tmp_path / "found")])
+    assert spark.read.parquet(str(tmp_path / "found")).first().begin == 5
+
+
 def test_stream_gives_the_same(spark, tmp_path):
     from seqloom.streaming.search_stream import search_stream
 
