@@ -64,7 +64,7 @@ SHINGLE = 5
 #: Word hashes a worker keeps, and the longest word it keeps, in bytes.
 KEPT_WORDS, LONGEST_KEPT = 100_000, 48
 #: Rows (and shingles, in thousands) of a block; a tile compares two blocks.
-TILE = 512
+TILE = 256
 #: Nodes of a bucket that are tried with one of them.
 FAN = 4_096
 #: Pairs whose registers are compared at once.
@@ -405,10 +405,11 @@ def likely(tiles: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return _by_tile(tiles, run, "bucket long, lo long, hi long, block long, id long, component long")
 
 
-def links_between(members: DataFrame, rows: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def links_between(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(u, v): pairs of components that a link joins. ``members`` is (bucket, band, id,
-    component, n_shingles and the columns of :func:`_blocks`), ``rows`` (id, text, registers)."""
-    near = cut(likely(_tiles(members.join(rows.select("id", "registers"), "id")), similarity))
+    component, n_shingles and the columns of :func:`_blocks`), ``sketches`` has id and
+    registers, ``texts`` id and text."""
+    near = cut(likely(_tiles(members.join(sketches.select("id", "registers"), "id")), similarity))
 
     def run(batches):
         for t, starts in _whole_tiles(batches):
@@ -419,7 +420,7 @@ def links_between(members: DataFrame, rows: DataFrame, similarity: int = SIMILAR
                 found += tile_links(part[s:e], sets, *_sides(block[s:e], lo[s], hi[s]), similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return _by_tile(near.join(rows.select("id", "text"), "id"), run, "u long, v long")
+    return _by_tile(near.join(texts, "id"), run, "u long, v long")
 
 
 def _first_pairs(bucketed: DataFrame) -> DataFrame:
@@ -445,14 +446,14 @@ def _nodes(base: DataFrame, similarity: int, shingle: int) -> DataFrame:
     heads = cut(bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     bucketed = cut_table(join_counted(bands, heads, "bucket"))
     wanted = bucketed.select("id").distinct()
-    rows = cut_table(base.select("id", "row.text", "n_shingles", "registers").join(wanted, "id", "left_semi"))
+    texts = cut_table(base.select("id", "row.text").join(wanted, "id", "left_semi"))
 
     first = cut(_first_pairs(bucketed))
-    parts = components(verified(cut(estimated(first, rows, similarity)), rows, similarity, shingle))
+    parts = components(verified(cut(estimated(first, sketches, similarity)), texts, similarity, shingle))
     # Buckets that still hold several components.
     labelled = cut_table(bucketed.drop("head", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
     members = join_counted(labelled, cut(_blocks(labelled)), "bucket")
-    joined = components(links_between(members, rows, similarity, shingle)).select(F.col("id").alias("part"), F.col("component").alias("whole"))
+    joined = components(links_between(members, sketches, texts, similarity, shingle)).select(F.col("id").alias("part"), F.col("component").alias("whole"))
 
     sizes = parts.groupBy(F.col("component").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     moved = join_counted(parts.withColumnRenamed("component", "part"), cut(sizes.join(joined, "part")), "part").select("id", "whole")

@@ -221,12 +221,11 @@ def train_on(sample: DataFrame, penalty: float = PENALTY, sets=IDENTITY) -> dict
 def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score in [0, 1] as ``name``, which replaces a
     column of that name; no shuffle."""
-    columns = [c for c in docs.columns if c != name]
+    source = docs.drop(name)
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias(name))
+        return source.withColumn(name, F.lit(0.0))
     weights, bias, identity = model["weights"], model["bias"], model["identity"]
-    source = docs.select(*columns)
-    place = columns.index("text")
+    place = source.columns.index("text")
 
     def run(batches):
         known: dict[str, tuple] = {}
