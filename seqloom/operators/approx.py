@@ -105,12 +105,13 @@ def candidates(texts, patterns: DataFrame, k: int, strategy: str = "pigeon") ->
     right = slice_of(F.col("pattern"), F.col("offset") + F.length("near"), F.length("pattern"))
     key = (F.col("how") * 10 + F.col("piece")) * 10
 
-    # The outer explodes keep the optimiser from computing the lists a second time to test their sizes.
-    found = (hits.select("pattern", "doc_id", "shift", "text", "at", "offset", "near", key.alias("key"),
-                         F.explode_outer(_ends(k, left, lambda a: F.greatest(at - a, F.lit(0)), lambda a: at - a, key, _allowed(codes, "left"))).alias("l"))
-             .where(F.col("l").isNotNull())
-             .select("pattern", "doc_id", "shift", "key", "l",
-                     F.explode_outer(_ends(k, right, lambda a: stop, lambda a: stop + a, F.col("key"), _allowed(codes, "right"))).alias("r"))
+    # Both lists are made once a hit, the second only if the first has something; the outer
+    # explodes keep the optimiser from making them again to test their sizes.
+    lefts = _ends(k, left, lambda a: F.greatest(at - a, F.lit(0)), lambda a: at - a, key, _allowed(codes, "left"))
+    rights = _ends(k, right, lambda a: stop, lambda a: stop + a, key, _allowed(codes, "right"))
+    found = (hits.withColumn("lefts", lefts).withColumn("rights", F.when(F.size("lefts") > 0, rights))
+             .select("pattern", "doc_id", "shift", key.alias("key"), "rights", F.explode_outer("lefts").alias("l")).where(F.col("l").isNotNull())
+             .select("pattern", "doc_id", "shift", "key", "l", F.explode_outer("rights").alias("r"))
              .where((F.col("l.ed") + F.col("r.ed") <= k) & (F.col("r.edge") > F.col("l.edge"))
                     & (F.col("key") * 10 + F.col("l.ed") * 10 + F.col("r.ed")).isin(codes))
              .select("pattern", "doc_id", (F.col("l.edge") + F.col("shift")).alias("begin"), (F.col("r.edge") + F.col("shift")).alias("end"),

@@ -112,7 +112,7 @@ class StoredTexts(Texts):
         return (*[c for c in CLASSES if _salts(c) > 1], *self.about["classes"])
 
 
-def store(texts: DataFrame, path: str, longest: int = 250, classes=(4, 8, 16, 32)) -> None:
+def store(texts: DataFrame, path: str, longest: int = 250, classes=(8, 16, 32)) -> None:
     """Writes what searches need under ``path``, once for many of them: texts, blocks for
     patterns of up to ``longest`` letters with 4 errors, and the grams of ``classes``,
     sorted by gram so that a reader skips what it doesn't look for."""

@@ -7,39 +7,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.letters import ALPHABET, SENTINEL
+from ..functions.letters import ALPHABET, SENTINEL, pieces_of, slice_of
 from ..functions.session import cut
 
 SYMBOLS = SENTINEL + ALPHABET
 
 
-def _suffix_starts(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("sa"))
+#: Letters of a text that are taken apart together.
+CHUNK = 256
+
+
+def _places(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, sa, key): every place of the texts with the ``size`` letters from there,
+    and the end of each text."""
+    cut_ = pieces_of(texts, CHUNK, 0, size)
+    inner = (cut_.select("doc_id", "piece", "text", F.explode(F.sequence(F.lit(0), F.col("core") - 1)).alias("i"))
+             .select("doc_id", (F.col("piece").cast("long") * CHUNK + F.col("i")).alias("sa"), slice_of(F.col("text"), F.col("i"), size).alias("key")))
+    return inner.unionByName(texts.select("doc_id", F.length("text").cast("long").alias("sa"), F.lit("").alias("key")))
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
     """(doc_id, row, sa) by sorting the suffixes themselves; for short texts, as the
     suffixes of a text take quadratic room."""
     order = Window.partitionBy("doc_id").orderBy("suffix")
-    return (_suffix_starts(texts).select("doc_id", "sa", F.expr("substring(text, int(sa) + 1)").alias("suffix"))
+    starts = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("sa"))
+    return (starts.select("doc_id", "sa", F.expr("substring(text, int(sa) + 1)").alias("suffix"))
             .select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("row"), "sa"))
 
 
+def _ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """(doc_id, sa, rank): how many rows have smaller keys, and whether keys are shared.
+
+    Distinct keys are counted, sorted over ranges and summed up: within a range by a
+    window, over the ranges by one row each. So no task gets a whole text."""
+    by = ["doc_id", *keys]
+    counts = cut(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(*by)
+                 .select(*by, "n", F.spark_partition_id().alias("part")))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (counts.groupBy("part").agg(F.sum("n").alias("n"))
+             .select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("ahead")))  # a row per partition
+    within = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy(*by)), F.lit(0))
+    ranks = counts.join(F.broadcast(ahead), "part").select(*by, (F.col("ahead") + within).alias("r"))
+    return rows.join(ranks, by).select("doc_id", "sa", F.col("r").alias("rank")), counts.where("n > 1").limit(1).count() > 0
+
+
 def suffix_array_doubling(texts: DataFrame, first: int = 8) -> DataFrame:
     """The same relation by prefix doubling: ranks by the first ``first`` letters,
-    then by pairs of ranks twice as far apart, until all ranks of a text differ. No
-    suffix is stored; each pass is written to the shared folder."""
-    key = F.expr(f"substring(text, int(sa) + 1, {first})")
-    by_key, by_place = Window.partitionBy("doc_id").orderBy("key"), Window.partitionBy("doc_id").orderBy("sa")
-    now = cut(_suffix_starts(texts).select("doc_id", "sa", key.alias("key"))
-              .select("doc_id", "sa", F.dense_rank().over(by_key).cast("long").alias("rank")))
+    then by pairs of ranks twice as far apart, until all ranks differ. No suffix is
+    stored, and long texts are sorted over many tasks; each pass is written to the
+    shared folder."""
+    now, shared = _ranked(_places(texts, first), ["key"])
     step = first
-    while now.groupBy("doc_id").agg(F.max("rank").alias("ranks"), F.count(F.lit(1)).alias("n")).where("ranks < n").limit(1).count():
-        then = F.coalesce(F.lead("rank", step).over(by_place), F.lit(0))
-        by_pair = Window.partitionBy("doc_id").orderBy("rank", "then")
-        now = cut(now.withColumn("then", then).select("doc_id", "sa", F.dense_rank().over(by_pair).cast("long").alias("rank")))
+    while shared:
+        now = cut(now)
+        later = now.select("doc_id", (F.col("sa") - step).alias("sa"), F.col("rank").alias("then"))
+        pairs = now.join(later, ["doc_id", "sa"], "left").withColumn("then", F.coalesce("then", F.lit(-1)))
+        now, shared = _ranked(pairs, ["rank", "then"])
         step *= 2
-    return now.select("doc_id", (F.col("rank") - 1).alias("row"), "sa")
+    now = cut(now)
+    least = now.groupBy("doc_id").agg(F.min("rank").alias("least"))
+    return now.join(least, "doc_id").select("doc_id", (F.col("rank") - F.col("least")).alias("row"), "sa")
 
 
 def reversed_texts(texts: DataFrame) -> DataFrame:
@@ -47,9 +74,11 @@ def reversed_texts(texts: DataFrame) -> DataFrame:
 
 
 def bwt(texts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """(doc_id, row, sa, bwt): the letter before each suffix, the sentinel before the first."""
-    return (suffixes.join(texts, "doc_id")
-            .select("doc_id", "row", "sa", F.when(F.col("sa") == 0, SENTINEL).otherwise(F.expr("substring(text, int(sa), 1)")).alias("bwt")))
+    """(doc_id, row, sa, bwt): the letter before each suffix, the sentinel before the
+    first. Letters are joined by their place, so no row carries a text."""
+    before = _places(texts, 1).where("key <> ''").select("doc_id", (F.col("sa") + 1).alias("sa"), F.col("key").alias("bwt"))
+    return (suffixes.join(before, ["doc_id", "sa"], "left")
+            .select("doc_id", "row", "sa", F.coalesce("bwt", F.lit(SENTINEL)).alias("bwt")))
 
 
 def bwt_string(transformed: DataFrame) -> DataFrame:
