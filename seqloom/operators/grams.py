@@ -108,8 +108,9 @@ class StoredTexts(Texts):
         return self.about["size"], self.spark.read.parquet(f"{self.path}/blocks")
 
     def classes(self) -> tuple:
-        """Short strings have classes of their own; of the others those that are stored."""
-        return (*[c for c in CLASSES if _salts(c) > 1], *self.about["classes"])
+        """The stored classes, and all for strings that are too short for these."""
+        stored = self.about["classes"]
+        return (*[c for c in CLASSES if c < min(stored)], *stored)
 
 
 def store(texts: DataFrame, path: str, longest: int = 250, classes=(8, 16, 32)) -> None:
