@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
         known: dict[str, tuple] = {}
         for b in slices(batches):
             scores = []
-            for text in b.column(place).to_pylist():
+            for text in b.column(0).field(place).to_pylist():
                 found: dict[str, float] = {}
                 for word in set(_WORD.findall(text.lower())) if text else ():
                     hits = known.get(word)
@@ -245,9 +245,12 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
                         found.update(hits)
                 z = bias + sum(found[f] for f in sorted(found))
                 scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(name, DoubleType())]))
+    # The whole row is one column on its way, whatever its columns are called.
+    scored = source.select(F.struct("*").alias("row")).mapInArrow(
+        run, StructType([StructField("row", source.schema), StructField("score", DoubleType())]))
+    return scored.select("row.*", F.col("score").alias(name))
 
 
 def harmless(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
