@@ -31,34 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_level import default_vocabulary, encode, encoding
 from .common import slices
 
 ROW = 2048
 WINDOW_PIECES, WINDOW_TOKENS = 8_192, 4_000_000
 PAD = 0
 
-_encodings: dict[str, object] = {}
-
-
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-def encoding(vocabulary: str):
-    """The byte-level encoding of a rank file; built once a worker."""
-    if vocabulary not in _encodings:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encodings[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[vocabulary]
-
 
 class RoomTree:
     """Which room sizes (0..size) have open rows; finds the least one that is big
@@ -141,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, row: int = ROW, window_pieces: int =
             id_type = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at += 1
-                ids = np.array(t.encode_ordinary(text or ""), "<i4")
+                ids = np.array(encode(t, text or ""), "<i4")
                 for number, start in enumerate(range(0, len(ids), row)):
                     piece = ids[start: start + row]
                     window.append((doc, at, number, piece))
