@@ -18,23 +18,27 @@ holds about CELL_VALUES components of vectors and as many of queries.
 *Defined cases.* Vectors that are null, or hold null or non-finite components,
 take no part. Vectors of another length than the query's count as padded with 0.
 A row is no candidate of its own query: candidates with the query's id are left out.
-Rows that repeat an id and vector count once. Null ids take no part. Integers beyond
-``LARGEST`` in size are set to it, so that scores fit 64 bits up to 2,048 components.
-Empty tables give an empty result; columns other than id and vector aren't read.
+Rows that repeat an id and vector are candidates of their own, so they take as many
+ranks; a query that is repeated counts once. Null ids take no part. Integers are kept as
+they are: where products could pass 64 bits a cell is computed with whole numbers of any
+size. An integer beyond ``LARGEST``, or a score beyond 64 bits among the best, raises an
+error. Vectors may be as long as a row can be: a cell holds at least one. Empty tables
+give an empty result; columns other than id and vector aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 K = 10
 SCALE = 1024
-LARGEST = 1 << 26
+#: Largest size of an integer; beyond, an error names the row.
+LARGEST = 1 << 62
 #: Components of vectors, and of queries, in a cell.
 CELL_VALUES = 1 << 20
 #: Terms probed before candidates are dropped.
@@ -48,8 +52,12 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     x = F.col(vector_col)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     return (vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad)
-            .select(F.col(id_col).alias("id"), F.transform(x, lambda v: F.floor(F.least(F.greatest(
-                F.lit(float(scale)) * v.cast("double"), F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")).alias("v")))
+            .select(F.col(id_col).alias("id"), F.transform(x, lambda v: _whole(F.lit(float(scale)) * v.cast("double"), F.col(id_col))).alias("v")))
+
+
+def _whole(x: Column, name: Column) -> Column:
+    too_large = F.raise_error(F.concat(F.lit("a component is too large in vector "), name.cast("string"))).cast("long")
+    return F.when(F.abs(x) < LARGEST, F.floor(x).cast("long")).otherwise(too_large)
 
 
 class Shard:
@@ -83,7 +91,7 @@ class Shard:
         others = self.ids != query_id
 
         def exact(rows):
-            return weight @ self.columns[np.ix_(terms, rows)] if len(terms) else np.zeros(len(rows), np.int64)
+            return weight @ self.columns[np.ix_(terms, rows)] if len(terms) else np.zeros(len(rows), q.dtype)
 
         warm = np.flatnonzero(others)[:WARM_ROWS]
         best_rows, best = self._best(warm, exact(warm), k)
@@ -95,7 +103,7 @@ class Shard:
             most = exact(rows)
         else:
             first = int(np.searchsorted(upto, least, "left")) - 1  # terms before it are non-essential
-            gathered = np.zeros(len(self.ids), np.int64)
+            gathered = np.zeros(len(self.ids), q.dtype)
             for t, w in zip(terms[first:], weight[first:]):
                 rows, values = self.postings(t, w > 0)
                 gathered[rows] += w * values
@@ -114,6 +122,9 @@ class Shard:
         return self.ids[best_rows], best
 
     def _best(self, rows: np.ndarray, scores: np.ndarray, k: int):
+        if scores.dtype == object:  # numpy can't sort these by several keys
+            order = np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]], rows[i]))[:k], int)
+            return rows[order], scores[order]
         if len(rows) > 4 * k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             rows, scores = rows[scores >= least], scores[scores >= least]
@@ -121,7 +132,7 @@ class Shard:
         return rows[order], scores[order]
 
 
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     """The lists as rows, padded with 0."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(lengths), width), np.int64)
@@ -129,20 +140,25 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    return rows.dropDuplicates(["id", "v"])
+def _exact(rows: np.ndarray, is_query: np.ndarray) -> np.ndarray:
+    """The rows as they are, or as Python's integers where a sum of products, or one of
+    bounds, could pass 64 bits."""
+    size = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (rows[is_query], rows[~is_query])]
+    return rows if 2 * size[0] * size[1] * rows.shape[1] < 1 << 63 else rows.astype(object)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_values: int = CELL_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs are (id, v array<long>)."""
-    vectors, queries = _once(vectors), _once(queries)
+    # Numbered, so that many equal rows don't share a shard.
+    vectors = cut(vectors.withColumn("row", F.monotonically_increasing_id()))
+    queries = cut(queries.dropDuplicates(["id", "v"]))
 
     def parts(rows):
         found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
         return max(1, -(-found["n"] * max(1, found["width"] or 1) // cell_values))
 
     shards, blocks = parts(vectors), parts(queries)
-    left = (vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)))
+    left = (vectors.select("id", "v", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False)))
     right = (queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("query", F.lit(True)))
@@ -154,7 +170,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_values: int =
         ids = cell.column("id").to_numpy()
         v = cell.column("v").combine_chunks()
         width = int(max([0, *(v.value_lengths().to_numpy(zero_copy_only=False))]))
-        all_rows = _matrix(v, width)
+        all_rows = _exact(matrix(v, width), is_query)
         shard = Shard(ids[~is_query], all_rows[~is_query])
         out = {"query_id": [], "vec_id": [], "score": []}
         for i, q in zip(ids[is_query], all_rows[is_query]):
@@ -171,7 +187,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_values: int =
 
 
 def op7_topk(spark, sf_dir: str) -> DataFrame:
-    vectors = cut(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.where(F.col("id") % 100 == 0))
 
 
@@ -180,10 +196,12 @@ WITH e AS (
   SELECT vec_id, embedding FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM e),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM e),
+q AS (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 100 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+  SELECT q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1]::HUGEINT * p[2], 0))), 0)::BIGINT AS score
+  FROM q JOIN v c ON c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 WHERE rank <= 10
