@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, packing, secret_scan, token_counts, topk, toxicity, whitening
+from . import bpe, chat, exact_dedup, mixing, near_dedup, packing, periodic_runs, secret_scan, token_counts, topk, toxicity, whitening
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_chat": chat.op9_chat,
         "op10_mixing": mixing.op10_mixing,
         "op12_whitening": whitening.op12_whitening,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
