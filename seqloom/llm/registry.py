@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, packing, periodic_runs, secret_scan, token_counts, topk, toxicity, whitening
+from . import bpe, chat, exact_dedup, mixing, near_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, topk, toxicity, whitening
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_packing": packing.op8_packing,
         "op9_chat": chat.op9_chat,
         "op10_mixing": mixing.op10_mixing,
+        "op11_substring_dedup": substring_dedup.op11_substring_dedup,
         "op12_whitening": whitening.op12_whitening,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
