@@ -200,9 +200,9 @@ v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)
 q AS (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 100 = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1]::HUGEINT * p[2], 0))), 0)::BIGINT AS score
+         coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1]::HUGEINT * p[2], 0))), 0) AS score
   FROM q JOIN v c ON c.vec_id <> q.vec_id)
-SELECT query_id, rank, vec_id, score FROM (
+SELECT query_id, rank, vec_id, score::BIGINT AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 WHERE rank <= 10
 """

@@ -491,14 +491,34 @@ def test_top_k_odd_vectors_and_ties(spark):
         best = sorted((-int(whole[q] @ whole[i]), i) for i in whole if i != q)[:10]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
-    far = topk.quantised(spark.createDataFrame([(0, [3e38, -1.0], 0), (1, [3e38, 5.0], 0), (2, [-3e38, 0.0], 0)], "vec_id long, embedding array<float>, label int"))
-    assert [(x.vec_id, x.score) for x in topk.top_k(far, far.where("id = 0")).orderBy("rank").collect()] == \
-        [(1, topk.LARGEST ** 2 - 1024 * 5120), (2, -topk.LARGEST ** 2)]
+    with pytest.raises(Exception, match="too large in vector 1"):
+        topk.quantised(spark.createDataFrame([(1, [3e38], 0)], "vec_id long, embedding array<float>, label int")).collect()
     few = v.where("id in (0, 1, 2)")
     assert topk.top_k(few, few.where("id = 0")).count() == 2
     assert topk.top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_top_k_query_equals_sql_with_huge_values_and_repeated_rows(spark, tmp_path):
+    """Integers whose products pass 64 bits in places, equal rows, also of a query."""
+    import duckdb
+
+    r = random.Random(9)
+    rows = [(i, [float(r.randrange(-9, 9)) for _ in range(5)]) for i in range(3, 300, 3)]
+    rows += [(0, [1.0, 2.0, 0.0, 0.0, 0.0]), (11, [70000.0, 0.0, 0.0, 0.0, 0.0]), (12, [-3e14, 2.5, 0.0, 0.0, 0.0])]
+    rows += [(7, [2e11, 1.0, 1.0, 1.0, 1.0])] * 3 + [(200, [5.0, -1.0, 0.0, 0.5, 0.0])] * 2 + [(300, [-0.02, 0.0, 0.0, 0.0, 0.0]), (8, [3.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = topk.op7_topk(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = c.execute(topk.SQL)
+    assert canonical(got.columns, [tuple(x) for x in got.collect()]) == canonical([x[0] for x in found.description], found.fetchall())
+    best = got.where("query_id = 0").orderBy("rank").collect()
+    assert [x.vec_id for x in best[:3]] == [7, 7, 7]
+    # The score of [1, 2] and [70000, 0].
+    two = topk.quantised(spark.createDataFrame([(0, [1.0, 2.0]), (1, [70000.0, 0.0])], "vec_id long, embedding array<double>"))
+    assert topk.top_k(two, two.where("id = 0")).first().score == 73_400_320_000
+
+
 def test_top_k_skips_and_stays_exact():
     """Sparse non-negative rows, where whole postings are non-essential."""
     r = np.random.default_rng(5)
