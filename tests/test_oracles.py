@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from seqloom import queries
 
 from .conftest import SF, canonical
 
-CORE = {k: v for k, v in entry.oracle_sql().items() if k != "pipeline" and not k.startswith("op")}
+CORE = {k: v for k, v in entry.oracle_sql().items() if k in queries.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
@@ -24,4 +25,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_core_query_has_sql():
-    assert set(CORE) == {n for n in entry.queries() if n != "pipeline" and not n.startswith("op")}
+    assert set(CORE) == set(queries.queries()) <= set(entry.queries())
