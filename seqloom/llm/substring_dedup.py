@@ -27,7 +27,8 @@ when no anchor of an open window is in two documents. Every result is so decided
 *Equal documents* (same words) are taken once, the one with the smallest id: the others
 lose all words if they have a window. *Hot shards*, known from the counts of anchors, are
 copied to several tasks, among which their stretches are dealt; the table of these shards
-is bounded. No text goes through a join but those of documents that share an anchor.
+is bounded. Only documents that share an anchor send their text through a shuffle: a bitmap
+of their hashed ids, of a fixed size, is broadcast before it.
 
 *Defined cases.* Null texts have no words. A null id counts as larger than all ids. Rows
 with equal ids are documents of their own, and neither is smaller than the other. Texts
@@ -52,7 +53,9 @@ GRAMS = (25, 44, LENGTH)
 #: Places of a document that make one reference shard, and windows of a stretch.
 BLOCK = 2_048
 #: Anchors of a shard's documents that one task gets, if they are more than 1 / HOT of all.
-PART, HOT = 1_024, 10_000
+PART, HOT = 256, 10_000
+#: Bits of the bitmap of ids, in groups of those of Spark's bitmaps.
+BITS, GROUP = 1 << 25, 1 << 15
 _REFERENCE, _STRETCH, _OPEN = 0, 1, 2
 _hashes = _WordHashes()
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -287,6 +290,18 @@ def compared(dealt: DataFrame, after: tuple[int, int]) -> DataFrame:
             .mapInArrow(run, "id long, key long, at int, stop int, mark long"))
 
 
+def _texts_of(base: DataFrame, listed: DataFrame) -> DataFrame:
+    """The texts of the documents in ``listed``, joined to it. The bitmap lets few others
+    pass before the shuffle; once there are more documents than bits, it lets all pass."""
+    h = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    bits = listed.groupBy(F.floor(h / GROUP).alias("group")).agg(F.bitmap_construct_agg(h % GROUP).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("h") % GROUP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = byte.bitwiseAND(F.expr("shiftleft(1, cast(h % 8 as int))")) != 0
+    some = (base.select("id", "key", "text", h.alias("h")).withColumn("group", F.floor(F.col("h") / GROUP))
+            .join(F.broadcast(cut(bits)), "group").where(here).select("id", "key", "text"))  # at most BITS / GROUP rows
+    return some.join(listed, "id")
+
+
 def _pass(base: DataFrame, grams: DataFrame, shared: DataFrame, gram: int, seed: int, after: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Words that go, (id, at, stop), and the next pass's anchors (mark, key, id, at)."""
     places = join_counted(grams, shared, "mark").select("id", "at", F.col("first.key").alias("key"), F.col("first.id").alias("first"), F.col("first.at").alias("place"))
@@ -296,7 +311,7 @@ def _pass(base: DataFrame, grams: DataFrame, shared: DataFrame, gram: int, seed:
     most = max(PART, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.broadcast(counts.where(F.col("n") > most).select("shard", "block", F.ceil(F.col("n") / most).cast("int").alias("parts")))  # fewer than HOT rows
 
-    made = cut_table(spans(base.select("id", "key", "text").join(listed, "id"), gram, seed, after))
+    made = cut_table(spans(_texts_of(base, listed), gram, seed, after))
     parts = F.coalesce("parts", F.lit(1))
     of = F.when(F.col("kind") == _REFERENCE, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "at"), parts).cast("int")))
     dealt = made.where(F.col("kind") != _OPEN).join(hot, ["shard", "block"], "left").withColumn("part", F.explode(of))
@@ -340,7 +355,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(stay)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["id", "n_removed", "kept_sha256"])
 
-    done = cut(base.select("id", "text").join(listed, "id").select("id", "text", "gone").mapInArrow(run, "id long, n_removed long, kept_sha256 string"))
+    done = cut(_texts_of(base, cut(listed)).select("id", "text", "gone").mapInArrow(run, "id long, n_removed long, kept_sha256 string"))
     later = copies.where("later").select("id", F.lit(None).cast("long").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"))
     same = copies.where("not later").select("id", "rep")
     reps = cut(same.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(done.withColumnRenamed("id", "rep"), "rep"))
