@@ -26,6 +26,25 @@ def slice_of(text: Column, begin, length) -> Column:
     return F.substring(text, begin + 1, length)
 
 
+#: Bytes of a character in the form of fixed width.
+WIDTH = 4
+
+
+def fixed(text: Column) -> Column:
+    """A text as bytes of which each character takes WIDTH, so that a slice costs what it
+    is long; a slice of a string costs what the string is long."""
+    return F.encode(text, "UTF-32")
+
+
+def fixed_slice(letters, begin, length) -> Column:
+    """:func:`slice_of` of a text of fixed width, of the same form."""
+    return F.substring(letters, begin * WIDTH + 1, length * WIDTH)
+
+
+def unfixed(letters) -> Column:
+    return F.decode(letters, "UTF-32")
+
+
 def _cut(texts: DataFrame, size: int, make) -> DataFrame:
     """doc_id and the fields of ``make(own, last, next, number)`` of every ``size``
     characters of the texts. They are made within the array and exploded, so later steps

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schemes
-from ..functions.letters import slice_of
+from ..functions.letters import fixed_slice, slice_of, unfixed
 from ..functions.session import cut
-from .exact import exact_matches
-from .grams import class_of, occurrences, source_of
+from .exact import exact_matches, lengths_of
+from .grams import occurrences, source_of
 
 
 def pattern_pieces(patterns: DataFrame, pieces: int) -> DataFrame:
@@ -43,8 +43,8 @@ def seeds(patterns: DataFrame, k: int, strategy: str) -> DataFrame:
             .select("pattern", "piece", "offset", F.col("seed").alias("near")))
 
 
-#: Second figure of the codes below: pieces of the strategy, of the fallback, no piece.
-_OWN, _FALLBACK, _ANYWHERE = 0, 1, 2
+#: Second figure of the codes below: pieces of the strategy, no piece.
+_OWN, _ANYWHERE = 0, 1
 
 
 def _code(how, piece, left, right):
@@ -54,33 +54,47 @@ def _code(how, piece, left, right):
 def _seeded(patterns: DataFrame, k: int, strategy: str) -> tuple[DataFrame, list[int]]:
     """What is looked up for each pattern, and the codes of what may stand around it.
 
-    Patterns with fewer letters than the strategy has pieces fall back to k + 1 pieces;
-    patterns of at most k letters are within k edits of something at every place."""
+    A pattern with less than two letters for each of k + 1 pieces is tried at every place:
+    its pieces are at more places than there are, and a large part of these are matches."""
     pieces, tried = schemes.plan(strategy, k)
-    parts = [seeds(patterns, k, strategy).withColumn("how", F.lit(_OWN))]
-    codes = [_code(_OWN, i, a, b) for i, pairs in tried.items() for a, b in pairs]
-    if pieces > k + 1:
-        _, fewer = schemes.plan("naive", k)
-        between = patterns.where((F.length("pattern") > k) & (F.length("pattern") < pieces))
-        parts.append(seeds(between, k, "naive").withColumn("how", F.lit(_FALLBACK)))
-        codes += [_code(_FALLBACK, i, a, b) for i, pairs in fewer.items() for a, b in pairs]
-    tiny = patterns.where(F.length("pattern") <= k)
-    parts.append(tiny.select("pattern", F.lit(0).alias("piece"), F.lit(0).alias("offset"), F.lit("").alias("near"), F.lit(_ANYWHERE).alias("how")))
-    codes += [_code(_ANYWHERE, 0, 0, b) for b in range(k + 1)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, codes
-
-
-def _ends(k: int, whole, begin, step, key, allowed: list[int]):
-    """Distances of the pattern's part ``whole`` to the pieces of the text that end, or
-    start, beside the seed, for each length that k edits allow; those that ``allowed``
-    names with ``key``."""
+    long = F.length("pattern") >= 2 * (k + 1)
+    own = seeds(patterns.where(long), k, strategy).withColumn("how", F.lit(_OWN))
+    codes = [_code(_OWN, i, a, b) for i, pairs in tried.items() for a, b in pairs] + [_code(_ANYWHERE, 0, 0, b) for b in range(k + 1)]
+    return own.unionByName(patterns.where(~long).select("pattern", F.lit(0).alias("piece"), F.lit(0).alias("offset"), F.lit("").alias("near"),
+                                                        F.lit(_ANYWHERE).alias("how"))), codes
+
+
+def _piece_lengths(lengths: dict[int, int], k: int, strategy: str) -> dict[int, int]:
+    """How many strings of each length are looked up, from the patterns of each length."""
+    pieces, used = schemes.seeds(strategy, k)
+    out: dict[int, int] = {}
+    for length, n in lengths.items():
+        size = length // pieces
+        for i in used if length >= 2 * (k + 1) else ():
+            mine = size if i < pieces - 1 else length - i * size
+            out[mine] = out.get(mine, 0) + n
+        if length < 2 * (k + 1):
+            out[0] = out.get(0, 0) + n
+    return out
+
+
+def _ends(k: int, whole, part, edge, key, allowed: list[int]):
+    """Distances of the pattern's part ``whole`` to the letters ``part(a)`` beside the seed,
+    for each number of letters a that k edits allow; those that ``allowed`` names with ``key``."""
     n = F.length(whole)
     lengths = F.sequence(F.greatest(n - k, F.lit(0)), n + k)
-    tried = F.transform(lengths, lambda a: F.struct(step(a).alias("edge"), F.levenshtein(slice_of(F.col("text"), begin(a), a), whole, k).alias("ed")))
-    return F.filter(tried, lambda x: (x["ed"] >= 0) & (x["edge"] >= 0) & (x["edge"] <= F.length("text")) & (key + x["ed"]).isin(allowed))
+    tried = F.transform(lengths, lambda a: F.struct(edge(a).alias("edge"), F.when(F.length(part(a)) == a, F.levenshtein(part(a), whole, k)).alias("ed")))
+    return F.filter(tried, lambda x: (x["ed"] >= 0) & (key + x["ed"]).isin(allowed))
+
+
+def _may_match(before, after, left, right, k: int):
+    """Whether a hit can be part of a match, by one distance a side. A side that matches
+    with e errors has at most e letters more or less than the pattern's part, so as many
+    letters as that part has, or as there are, are at most 2e away from it. This lets
+    nearly none of the pieces pass that are in a text by chance."""
+    before = F.levenshtein(F.right(before, F.length(left)), left, 2 * k)
+    after = F.levenshtein(F.left(after, F.length(right)), right, 2 * k)
+    return (before >= 0) & (after >= 0) & (F.ceil(before / 2) + F.ceil(after / 2) <= k)
 
 
 def _allowed(codes: list[int], side: str) -> list[int]:
@@ -96,19 +110,24 @@ def candidates(texts, patterns: DataFrame, k: int, strategy: str = "pigeon") ->
     # Used several times below; patterns may be costly to make, so they are kept once.
     distinct = cut(patterns.where(F.length("pattern") > 0).select("pattern").distinct())
     looked_up, codes = _seeded(distinct, k, strategy)
-    looked_up = looked_up.withColumn("cls", class_of(F.length("near"), source.classes()))
-    about = looked_up.agg(F.sort_array(F.collect_set("cls")).alias("classes"), F.max(F.length("pattern")).alias("longest")).first()
-    hits = occurrences(source, looked_up, about["classes"], (about["longest"] or 1) + k)
+    lengths = lengths_of(distinct)
+    hits = occurrences(source, looked_up, _piece_lengths(lengths, k, strategy), max(lengths, default=1) + k)
 
     at, stop = F.col("at"), F.col("at") + F.length("near")
     left = slice_of(F.col("pattern"), F.lit(0), F.col("offset"))
     right = slice_of(F.col("pattern"), F.col("offset") + F.length("near"), F.length("pattern"))
     key = (F.col("how") * 10 + F.col("piece")) * 10
 
-    # Both lists are made once a hit, the second only if the first has something; the outer
-    # explodes keep the optimiser from making them again to test their sizes.
-    lefts = _ends(k, left, lambda a: F.greatest(at - a, F.lit(0)), lambda a: at - a, key, _allowed(codes, "left"))
-    rights = _ends(k, right, lambda a: stop, lambda a: stop + a, key, _allowed(codes, "right"))
+    # The letters around a hit, taken from the block once: at most k more than are compared.
+    # Explodes keep the optimiser from taking them, or the lists below, once a use.
+    start = F.greatest(at - F.length(left) - k, F.lit(0))
+    around = F.struct(unfixed(fixed_slice(F.col("letters"), start, at - start)).alias("before"),
+                      unfixed(fixed_slice(F.col("letters"), stop, F.length(right) + k)).alias("after"))
+    hits = (hits.select("pattern", "doc_id", "shift", "how", "piece", "offset", "near", "at", F.explode(F.array(around)).alias("x"))
+            .select("*", "x.before", "x.after").drop("x").where(_may_match(F.col("before"), F.col("after"), left, right, k)))
+    # The second list is made only if the first has something.
+    lefts = _ends(k, left, lambda a: F.right(F.col("before"), a), lambda a: at - a, key, _allowed(codes, "left"))
+    rights = _ends(k, right, lambda a: F.left(F.col("after"), a), lambda a: stop + a, key, _allowed(codes, "right"))
     found = (hits.withColumn("lefts", lefts).withColumn("rights", F.when(F.size("lefts") > 0, rights))
              .select("pattern", "doc_id", "shift", key.alias("key"), "rights", F.explode_outer("lefts").alias("l")).where(F.col("l").isNotNull())
              .select("pattern", "doc_id", "shift", "key", "l", F.explode_outer("rights").alias("r"))
@@ -152,6 +171,7 @@ def match(texts, patterns: DataFrame, k: int, strategy: str = "pigeon", depth_fi
     doesn't change a relation. Equal patterns are searched once; empty ones and empty
     texts give nothing. k = 0 gives all exact occurrences."""
     schemes.searches(strategy, k)
+    patterns = cut(patterns.select("pattern_id", "pattern"))  # read twice
     if k == 0:
         return (exact_matches(texts, patterns).join(patterns, "pattern_id")
                 .select("pattern_id", "doc_id", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("ed")))

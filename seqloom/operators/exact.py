@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.letters import SENTINEL, slice_of
 from ..functions.session import cut
-from .grams import class_of, occurrences, source_of
+from .grams import occurrences, source_of
+
+
+def lengths_of(patterns: DataFrame) -> dict[int, int]:
+    """How many patterns there are of each length; as many rows as lengths."""
+    return {r["size"]: r["n"] for r in patterns.groupBy(F.length("pattern").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def exact_matches(texts, patterns: DataFrame) -> DataFrame:
     """(pattern_id, doc_id, begin) of every occurrence, overlapping ones included.
     ``texts`` is (doc_id, text) or stored texts. Empty patterns are left out."""
-    source = source_of(texts)
-    wanted = patterns.where(F.length("pattern") > 0)
-    distinct = cut(wanted.select("pattern").distinct()
-                   .select(F.col("pattern").alias("near"), class_of(F.length("pattern"), source.classes()).alias("cls")))
-    about = distinct.agg(F.sort_array(F.collect_set("cls")).alias("classes"), F.max(F.length("near")).alias("longest")).first()
-    found = occurrences(source, distinct, about["classes"], about["longest"] or 1)
+    wanted = cut(patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern"))
+    distinct = wanted.select(F.col("pattern").alias("near")).distinct()
+    lengths = lengths_of(distinct.select(F.col("near").alias("pattern")))
+    found = occurrences(source_of(texts), distinct, lengths, max(lengths, default=1))
     return (found.select(F.col("near").alias("pattern"), "doc_id", (F.col("at") + F.col("shift")).alias("begin"))
             .join(wanted, "pattern").select("pattern_id", "doc_id", "begin"))
 

@@ -1,39 +1,83 @@
 """Where short strings occur in texts, by equi-joins on grams.
 
-A text gives a gram every ``stride`` letters. A string of at least stride + gram - 1
-letters covers exactly one of them at one of its first ``stride`` offsets, so texts give
-n / stride rows, strings ``stride`` rows, and each occurrence is met once. Strings are
-put into classes by length, each with a stride and a gram of its own: one short string
-doesn't shorten the grams of the others. All classes go through one join.
-
-Only places pass through that join. What stands around them comes from the texts cut
-into blocks with margins, joined by block; a text of any length is never carried whole.
+Texts are cut once, into blocks with margins. A block gives a gram every ``stride``
+letters; a string of at least stride + gram - 1 letters covers exactly one of them at one
+of its first ``stride`` offsets, so a text gives n / stride rows, a string ``stride`` rows,
+and each occurrence is met once. Strings are put into classes by length.
+
+*Costs decide.* From the number of letters and the strings of each length :func:`layout`
+picks the classes that are used and their strides: many strings in a short text take a
+stride of 1, few strings in a long one the largest. :func:`occurrences` then has three ways,
+by sizes that were counted, not guessed:
+
+* few strings: they are broadcast, and the blocks stream past them; what stands around a
+  place is in the row where it was found. Nothing is shuffled.
+* many strings, short texts: the grams of the texts are broadcast, and then the blocks.
+* many of both: a shuffle by gram, of distinct strings and of places only. Grams that are
+  common are dealt over ``SALTS`` tasks. Places come back to the strings that share them,
+  and to the blocks that were hit.
+
+:class:`StoredTexts` has grams sorted by hash and blocks sorted by text, both in short
+pages. A search with few strings names the hashes it wants in the filter of the scan, which
+then skips all pages but theirs; blocks are read in the same way once hits are known.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.letters import pieces_of, slice_of
+from ..functions.letters import fixed, fixed_slice, pieces_of
+from ..functions.session import cut, cut_table
 
 #: Longest gram used as a join key.
 GRAM = 24
-#: Least lengths of the classes; 0 stands for strings that may be anywhere.
-CLASSES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-#: Letters of a text whose grams are made together, and least letters of a block.
-CHUNK, BLOCK = 256, 256
-#: Grams of few letters have few keys; their rows are dealt over this many tasks.
-SALTS = 64
-
-
-def stride_of(cls: int) -> int:
-    """A power of two, about a quarter of the class's least length."""
-    return max(1, 1 << max(0, (cls // 4).bit_length() - 1))
-
-
-def gram_of(cls: int) -> int:
-    return min(GRAM, cls - stride_of(cls) + 1) if cls else 0
+#: Least lengths of the classes that a layout may use; 0 stands for strings that may be anywhere.
+CLASSES = (0, 1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 64)
+#: Largest stride, and least letters of a block.
+STRIDE, BLOCK = 32, 256
+#: Rows that may be broadcast; all are of bounded width.
+BROADCAST_ROWS = 400_000
+#: Common grams are dealt over so many tasks; a gram is common with more than this many
+#: rows and more than 1 / HOT of all, counted on about SAMPLE blocks.
+SALTS, COMMON, HOT, SAMPLE = 64, 4_096, 10_000, 100_000
+#: Letters that a gram is taken to be drawn from when its chance hits are estimated.
+LETTERS = 4
+#: Values that a filter names one by one, and rows of a page in stored tables.
+NAMED, PAGE_ROWS = 256, 2_048
+
+
+def gram_of(cls: int, stride: int) -> int:
+    return min(GRAM, cls - stride + 1) if cls else 0
+
+
+def strides(cls: int) -> list[int]:
+    """The strides a class may have: powers of two that leave half of it to the gram."""
+    return [1 << n for n in range(STRIDE.bit_length()) if n == 0 or 2 * ((1 << n) - 1) <= cls]
+
+
+def cost(cls: int, stride: int, strings: int, places: int) -> float:
+    """Rows on both sides, and chance hits that have to be looked at."""
+    return places / stride + strings * stride + places / stride * strings * stride / float(LETTERS) ** gram_of(cls, stride)
+
+
+def layout(counts: dict[int, int], places: int, fixed: dict[int, int] | None = None) -> dict[int, int]:
+    """{class: stride} for ``counts`` strings per class and ``places`` letters, least in
+    cost: strings whose class isn't used take the next shorter one. ``fixed`` names the
+    only classes and strides that there are."""
+    known = sorted(fixed or CLASSES, reverse=True)
+    best: list[tuple[float, dict[int, int]]] = [(0.0, {})]  # after the classes so far: all strings placed
+    for i, cls in enumerate(known):
+        options = []
+        for j in range(i + 1):  # strings of the classes from j to i go to this one
+            n = sum(v for c, v in counts.items() if c >= cls and (j == 0 or c < known[j - 1]))
+            price, stride = min((cost(cls, s, n, places), s) for s in ([fixed[cls]] if fixed else strides(cls))) if n else (0.0, 0)
+            options.append((best[j][0] + price, best[j][1] | ({cls: stride} if n else {})))
+        best.append(min(options, key=lambda x: x[0]))
+    return best[-1][1]
 
 
 def class_of(length, classes=CLASSES):
@@ -44,17 +88,28 @@ def class_of(length, classes=CLASSES):
     return out
 
 
-def _salts(cls: int) -> int:
-    return max(1, SALTS >> (2 * gram_of(cls)))
+def gram_rows(blocks: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """(doc_id, block, lead, letters, cls, at, gram): a row per class and stride-th letter
+    of the blocks; ``at`` is its place among the block's letters."""
+    described = F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(s).alias("stride"), F.lit(gram_of(c, s)).alias("size")) for c, s in chosen.items()])
+    at = F.col("lead") + F.col("p")
+    return (blocks.select("doc_id", "block", "lead", "core", F.length("text").alias("n"), fixed(F.col("text")).alias("letters"), F.explode(described).alias("c"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("core") - 1, F.col("c.stride"))).alias("p")).where(at + F.col("c.size") <= F.col("n"))
+            .select("doc_id", "block", "lead", "letters", "c.cls", at.alias("at"), F.xxhash64(fixed_slice(F.col("letters"), at, F.col("c.size"))).alias("gram")))
 
 
-def _described(classes) -> F.Column:
-    return F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(stride_of(c)).alias("stride"), F.lit(gram_of(c)).alias("size"), F.lit(_salts(c)).alias("salts"))
-                     for c in classes])
+def keyed(strings: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """The strings with ``cls``, and a row (o, gram) for each offset that a gram of the
+    texts may be met at."""
+    sizes = F.element_at(F.create_map(*[x for c, s in chosen.items() for x in (F.lit(c), F.struct(
+        F.lit(s).alias("stride"), F.lit(gram_of(c, s)).alias("size")))]), F.col("cls"))
+    return (strings.withColumn("cls", class_of(F.length("near"), chosen)).withColumn("c", sizes)
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c.stride") - 1)))
+            .withColumn("gram", F.xxhash64(fixed_slice(fixed(F.col("near")), F.col("o"), F.col("c.size")))).drop("c"))
 
 
 class Texts:
-    """Texts (doc_id, text) as grams and blocks, made when asked for."""
+    """Texts (doc_id, text), cut into blocks when asked for."""
 
     def __init__(self, texts: DataFrame):
         self.texts = texts.where(F.length("text") > 0).select("doc_id", "text")
@@ -67,88 +122,171 @@ class Texts:
     def id_type(self) -> str:
         return dict(self.texts.dtypes)["doc_id"]
 
-    def anchors(self, classes) -> DataFrame:
-        """(doc_id, at, cls, salt, gram) for every stride-th place of the texts."""
-        chunked = pieces_of(self.texts, CHUNK, 0, GRAM)
-        placed = (chunked.select("doc_id", (F.col("piece") * CHUNK).alias("start"), "core", "text", F.explode(_described(classes)).alias("c"))
-                  .select("*", F.explode(F.sequence(F.lit(0), F.col("core") - 1, F.col("c.stride"))).alias("p")))
-        at = F.col("start") + F.col("p")
-        return (placed.select("doc_id", at.cast("long").alias("at"), "c.cls", F.pmod(F.xxhash64("doc_id", at), F.col("c.salts")).cast("int").alias("salt"),
-                              slice_of(F.col("text"), F.col("p"), F.col("c.size")).alias("gram"), "c.size")
-                .where(F.length("gram") == F.col("size")).drop("size"))
-
     def blocks(self, margin: int) -> tuple[int, DataFrame]:
-        """Letters of a block, and (doc_id, block, lead, text): blocks with ``margin``
-        letters on both sides, of which ``lead`` are before the block."""
+        """Letters of a block, and (doc_id, block, core, lead, text): blocks of ``core``
+        letters with ``margin`` letters on both sides, of which ``lead`` are before it."""
         size = max(BLOCK, 1 << (margin - 1).bit_length())
-        return size, pieces_of(self.texts, size, margin, margin).withColumnRenamed("piece", "block").drop("core")
-
-    def classes(self) -> tuple:
-        return CLASSES
+        return size, pieces_of(self.texts, size, margin, margin).withColumnRenamed("piece", "block")
 
 
 class StoredTexts(Texts):
-    """Grams and blocks read from where :func:`store` has written them; classes that
-    weren't stored are made from the stored texts."""
+    """Grams and blocks read from where :func:`store` has written them."""
 
     def __init__(self, spark: SparkSession, path: str):
+        try:
+            self.about = spark.read.parquet(f"{path}/about").first()
+        except Exception as missing:
+            raise ValueError(f"{path} holds no texts that were stored whole: {str(missing).splitlines()[0]}") from missing
+        self.path = path
         super().__init__(spark.read.parquet(f"{path}/texts"))
-        self.path, self.about = path, spark.read.parquet(f"{path}/about").first()
 
-    def anchors(self, classes) -> DataFrame:
-        here = [c for c in classes if c in self.about["classes"]]
-        out = (self.spark.read.parquet(f"{self.path}/anchors").where(F.col("cls").isin(here))
-               .select("doc_id", "at", "cls", F.lit(0).alias("salt"), "gram"))
-        rest = [c for c in classes if c not in here]
-        return out.unionByName(super().anchors(rest)) if rest else out
+    @property
+    def strides(self) -> dict[int, int]:
+        return {c: stride_of(c) for c in self.about["classes"]}
 
     def blocks(self, margin: int) -> tuple[int, DataFrame]:
         if margin > self.about["margin"]:
             return super().blocks(margin)
         return self.about["size"], self.spark.read.parquet(f"{self.path}/blocks")
 
-    def classes(self) -> tuple:
-        """The stored classes, and all for strings that are too short for these."""
-        stored = self.about["classes"]
-        return (*[c for c in CLASSES if c < min(stored)], *stored)
+    def anchors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/anchors")
 
 
-def store(texts: DataFrame, path: str, longest: int = 250, classes=(8, 16, 32)) -> None:
+def named(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """The rows with one of a few values, as equalities that the scan can skip pages by."""
+    return rows.where(reduce(lambda a, b: a | b, [F.col(column) == F.lit(v) for v in values], F.lit(False)))
+
+
+def stride_of(cls: int) -> int:
+    """The stride of a stored class; half of the largest, for longer grams."""
+    return strides(cls)[-2] if cls > 3 else 1
+
+
+def _write(rows: DataFrame, order: list[str], path: str) -> None:
+    """Rows sorted over ranges, so that rows with a common first column don't share a task."""
+    (rows.repartitionByRange(*order).sortWithinPartitions(order[0]).write
+     .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", 16 << 20).parquet(path))
+
+
+def store(texts: DataFrame, path: str, longest: int = 250, classes=(12, 24)) -> None:
     """Writes what searches need under ``path``, once for many of them: texts, blocks for
-    patterns of up to ``longest`` letters with 4 errors, and the grams of ``classes``,
-    sorted by gram so that a reader skips what it doesn't look for."""
-    if any(c not in CLASSES or _salts(c) > 1 for c in classes):
-        raise ValueError(f"classes are among {[c for c in CLASSES if _salts(c) == 1]}")
-    source, margin = Texts(texts), longest + 4
-    size, blocks = source.blocks(margin)
+    patterns of up to ``longest`` letters with 4 errors, and the grams of ``classes``. Strings
+    shorter than these are looked for in the blocks. The description is written last;
+    without it nothing can be searched."""
+    if any(c not in CLASSES or gram_of(c, stride_of(c)) < 3 for c in classes):
+        raise ValueError(f"classes are among {[c for c in CLASSES if gram_of(c, stride_of(c)) >= 3]}")
+    source, margin = Texts(texts), longest + 4 + STRIDE
+    spark = texts.sparkSession
     source.texts.write.parquet(f"{path}/texts")
-    blocks.write.parquet(f"{path}/blocks")
-    (source.anchors(classes).drop("salt").repartitionByRange("cls", "gram").sortWithinPartitions("cls", "gram")
-     .write.partitionBy("cls").parquet(f"{path}/anchors"))
-    about = texts.sparkSession.range(1).select(F.lit(size).alias("size"), F.lit(margin).alias("margin"), F.array(*map(F.lit, classes)).alias("classes"))
-    about.write.parquet(f"{path}/about")
+    size, blocks = Texts(spark.read.parquet(f"{path}/texts")).blocks(margin)
+    _write(blocks, ["doc_id", "block"], f"{path}/blocks")
+    stored = spark.read.parquet(f"{path}/blocks")
+    for c in sorted(classes):
+        rows = gram_rows(stored, {c: stride_of(c)}).select("gram", "doc_id", "block", "at")
+        _write(rows, ["gram", "doc_id", "block", "at"], f"{path}/anchors/cls={c}")
+    letters = stored.agg(F.sum("core")).first()[0] or 0
+    spark.createDataFrame([(size, margin, sorted(classes), letters)], "size int, margin int, classes array<int>, letters long").coalesce(1).write.parquet(f"{path}/about")
 
 
 def source_of(texts) -> Texts:
     return texts if isinstance(texts, Texts) else Texts(texts)
 
 
-def occurrences(texts: Texts, strings: DataFrame, classes, margin: int) -> DataFrame:
-    """Every place where ``near`` occurs: the columns of ``strings`` (among them ``near``
-    and its ``cls``, one of ``classes``), doc_id, the block's ``text``, ``at`` in it, and
-    ``shift`` from places in the block to places in the text."""
-    if not classes:
-        return (strings.join(texts.texts, F.lit(False)).withColumns({"at": F.lit(0), "shift": F.lit(0).cast("long")}))
-    sizes = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.struct(
-        F.lit(stride_of(c)).alias("stride"), F.lit(gram_of(c)).alias("size"), F.lit(_salts(c)).alias("salts")))]), F.col("cls"))
-    keyed = (strings.withColumn("c", sizes)
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c.stride") - 1)))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("c.salts") - 1)))
-             .withColumn("gram", slice_of(F.col("near"), F.col("o"), F.col("c.size"))).drop("c"))
-    size, blocks = texts.blocks(margin)
-    places = (texts.anchors(classes).join(keyed, ["cls", "salt", "gram"])
-              .withColumn("at", F.col("at") - F.col("o")).where("at >= 0").drop("o", "salt", "gram")
-              .withColumn("block", F.floor(F.col("at") / size).cast("int")))
-    found = (places.join(blocks, ["doc_id", "block"]).withColumn("shift", F.col("block").cast("long") * size - F.col("lead"))
-             .withColumn("at", (F.col("at") - F.col("shift")).cast("int")).drop("block", "lead"))
-    return found.where(slice_of(F.col("text"), F.col("at"), F.length("near")) == F.col("near"))
+def _exactly(found: DataFrame, size: int) -> DataFrame:
+    """Hits where the whole string stands, placed: ``at`` among the block's letters,
+    ``shift`` from there to the text."""
+    at = F.col("at") - F.col("o")
+    return (found.withColumn("at", at).where((F.col("at") >= 0) & (fixed_slice(F.col("letters"), F.col("at"), F.length("near")) == fixed(F.col("near"))))
+            .withColumn("shift", F.col("block").cast("long") * size - F.col("lead")).drop("o", "gram", "cls", "block", "lead"))
+
+
+def common_grams(rows: DataFrame, blocks: int) -> DataFrame:
+    """(cls, gram) of which a task would get very many rows, fewer than HOT and broadcast.
+    ``rows`` are gram rows made from ``blocks`` blocks; only as many as SAMPLE are counted,
+    which bounds the work and changes no result."""
+    part = rows.sample(min(1.0, SAMPLE / max(1, blocks)), seed=1).groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("n"))
+    part = cut(part.where(F.col("n") > 1))
+    total = part.agg(F.sum("n")).first()[0] or 0
+    scale = max(1.0, blocks / SAMPLE)
+    return part.where((F.col("n") * scale > COMMON) & (F.col("n") > total / HOT)).select("cls", "gram", F.lit(SALTS).alias("salts"))
+
+
+def places(rows: DataFrame, wanted: DataFrame, common: DataFrame) -> DataFrame:
+    """(near, o, doc_id, block, at): the shuffle by gram, of distinct strings and places."""
+    common = F.broadcast(common)
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(common, ["cls", "gram"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "block", "at"), salts).cast("int"))
+    right = wanted.join(common, ["cls", "gram"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("salts").join(right.drop("salts"), ["cls", "salt", "gram"]).select("near", "o", "doc_id", "block", "at")
+
+
+def _around(blocks: DataFrame) -> DataFrame:
+    return blocks.select("doc_id", "block", "lead", fixed(F.col("text")).alias("letters"))
+
+
+def _with_blocks(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Hits joined to their blocks. The texts of very few are named to the scan; few hits
+    are broadcast, and the blocks stay where they are."""
+    hits = cut(hits)
+    n = hits.limit(BROADCAST_ROWS + 1).count()
+    if n <= NAMED:
+        blocks = named(blocks, "doc_id", [r[0] for r in hits.select("doc_id").distinct().collect()])
+    return _around(blocks).join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, ["doc_id", "block"])
+
+
+def occurrences(texts: Texts, strings: DataFrame, lengths: dict[int, int], margin: int) -> DataFrame:
+    """Every place where ``near`` occurs: the columns of ``strings`` (among them ``near``),
+    doc_id, the block's ``letters`` (of fixed width), ``at`` among them, and ``shift`` from
+    places in the block to places in the text. ``margin`` letters around a place are in the
+    block, as far as there are any. ``lengths`` says how many strings there are of each
+    length; ``strings`` should be cheap to read again."""
+    counts: dict[int, int] = {}
+    for length, n in lengths.items():
+        cls = max(c for c in CLASSES if c <= length)
+        counts[cls] = counts.get(cls, 0) + n
+    if isinstance(texts, StoredTexts) and margin + STRIDE <= texts.about["margin"]:
+        least = min(texts.strides)
+        long = strings.where(F.length("near") >= least)
+        found = _stored_occurrences(texts, long, {c: n for c, n in counts.items() if c >= least})
+        if all(c >= least for c in counts):
+            return found
+        short = _occurrences(texts, strings.where(F.length("near") < least), {c: n for c, n in counts.items() if c < least}, margin)
+        return found.unionByName(short) if any(c >= least for c in counts) else short
+    return _occurrences(texts, strings, counts, margin)
+
+
+def _few(counts: dict[int, int], chosen: dict[int, int]) -> bool:
+    """Whether the rows of all strings may be broadcast, whatever class they are in."""
+    return sum(counts.values()) * max(chosen.values(), default=1) <= BROADCAST_ROWS
+
+
+def _occurrences(texts: Texts, strings: DataFrame, counts: dict[int, int], margin: int) -> DataFrame:
+    size, blocks = texts.blocks(margin + STRIDE)
+    chosen = layout(counts, 1 << 62)
+    if _few(counts, chosen):
+        rows = gram_rows(blocks, chosen or {0: 1})
+        return _exactly(rows.join(F.broadcast(keyed(strings, chosen or {0: 1})), ["cls", "gram"]), size)
+    blocks = blocks if isinstance(texts, StoredTexts) else cut_table(blocks)
+    about = blocks.agg(F.sum("core").alias("letters"), F.count(F.lit(1)).alias("n")).first()
+    chosen = layout(counts, about["letters"] or 0)
+    rows = gram_rows(blocks, chosen)
+    if sum((about["letters"] or 0) / s for s in chosen.values()) <= BROADCAST_ROWS:
+        grams = F.broadcast(rows.select("doc_id", "block", "cls", "at", "gram"))
+        return _exactly(keyed(strings, chosen).join(grams, ["cls", "gram"]).join(F.broadcast(_around(blocks)), ["doc_id", "block"]), size)
+    rows = rows.select("doc_id", "block", "cls", "at", "gram")
+    hits = places(rows, keyed(strings.select("near").distinct(), chosen), common_grams(rows, about["n"]))
+    return _exactly(_with_blocks(hits.join(strings, "near"), blocks), size)
+
+
+def _stored_occurrences(texts: StoredTexts, strings: DataFrame, counts: dict[int, int]) -> DataFrame:
+    chosen, rows = texts.strides, texts.anchors()
+    wanted = keyed(strings, chosen)
+    if _few(counts, chosen):
+        if sum(counts.values()) * max(chosen.values()) <= NAMED:
+            rows = named(rows, "gram", [r[0] for r in wanted.select("gram").distinct().collect()])
+        hits = rows.join(F.broadcast(wanted), ["cls", "gram"])
+    else:
+        common = common_grams(rows, math.ceil(texts.about["letters"] / texts.about["size"]))
+        hits = places(rows, keyed(strings.select("near").distinct(), chosen), common).join(strings, "near")
+    return _exactly(_with_blocks(hits, texts.blocks(0)[1]), texts.about["size"])

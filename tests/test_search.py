@@ -72,16 +72,57 @@ def test_strategies_equal_brute_force(spark, small, strategy, k):
     assert rows(found) == brute(texts, patterns, k)
 
 
-def test_stored_texts_find_the_same(spark, small, tmp_path):
+def test_stored_texts_find_the_same(spark, small, tmp_path, monkeypatch):
+    """Few strings, whose grams are named to the scan, more, and too many to broadcast."""
     texts, patterns = small
     frame, path = texts_of(spark, *texts), str(tmp_path / "stored")
     grams.store(frame, path, longest=60, classes=(4, 8))
     stored, wanted = grams.StoredTexts(spark, path), patterns_of(spark, *patterns, "AC", "A")
-    for k in (0, 2):
-        assert rows(approx.match(stored, wanted, k)) == rows(approx.match(frame, wanted, k)) != []
+    for named, rows_ in ((256, 400_000), (0, 400_000), (0, 0)):
+        monkeypatch.setattr(grams, "NAMED", named)
+        monkeypatch.setattr(grams, "BROADCAST_ROWS", rows_)
+        for k in (0, 2):
+            assert rows(approx.match(stored, wanted, k)) == rows(approx.match(frame, wanted, k)) != []
     assert rows(approx.match(stored, patterns_of(spark, "ACGT" * 20), 1)) == []  # longer than what the blocks were made for
     with pytest.raises(ValueError):
         grams.store(frame, str(tmp_path / "no"), classes=(1, 8))
+    with pytest.raises(ValueError, match="stored whole"):
+        grams.StoredTexts(spark, str(tmp_path / "no"))
+
+
+def scanned(df):
+    """Rows that the scans of a finished query gave, by the last folder of their paths."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), {}
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif p.getClass().getSimpleName() == "FileSourceScanExec":
+            path = p.relation().location().rootPaths().head().toString().rsplit("/", 1)[-1]
+            out[path] = out.get(path, 0) + p.metrics().apply("numOutputRows").value()
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out, plan.toString()
+
+
+def test_one_pattern_reads_few_stored_grams(spark, tmp_path):
+    r = random.Random(14)
+    texts = ["".join(r.choices("ACGT", k=200_000)) for _ in range(4)]
+    path = str(tmp_path / "stored")
+    grams.store(texts_of(spark, *texts), path)
+    stored = grams.StoredTexts(spark, path)
+    strings = spark.createDataFrame([(texts[2][777:817],)], "near string")
+    chosen = stored.strides
+    wanted = grams.keyed(strings, chosen)
+    values = [x.gram for x in wanted.collect()]
+    read, plan = scanned(grams.named(stored.anchors(), "gram", values).join(wanted.hint("broadcast"), ["cls", "gram"]))
+    assert 0 < read["anchors"] < 0.05 * stored.anchors().count() and "hashpartitioning" not in plan
+    found = grams.occurrences(stored, strings, {40: 1}, 44)
+    assert [(x.doc_id, x.at + x.shift) for x in found.collect()] == [(2, 777)]
 
 
 def test_long_text_with_short_and_long_patterns(spark):
@@ -99,17 +140,53 @@ def test_long_text_with_short_and_long_patterns(spark):
     assert [x[:2] for x in near] == [(n, 0) for n in range(5)] and all(abs(x[2] - i) <= 2 for x, i in zip(near, at))
 
 
-def test_grams_meet_each_occurrence_once(spark):
+@pytest.mark.parametrize("way", ["strings", "texts", "both"])
+def test_grams_meet_each_occurrence_once(spark, monkeypatch, way):
+    """All lengths, by each of the three ways; the text has few different grams, and letters
+    of one to four bytes."""
+    if way != "strings":
+        monkeypatch.setattr(grams, "_few", lambda *_: False)
+    if way == "both":
+        monkeypatch.setattr(grams, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(grams, "COMMON", 3)
     r = random.Random(12)
-    text = "".join(r.choices("AC", k=700))
-    source = grams.Texts(texts_of(spark, text, ""))
-    for n in range(1, 40):
-        cls = max(c for c in grams.CLASSES if c <= n)
-        assert grams.stride_of(cls) + grams.gram_of(cls) - 1 <= n
-        some = spark.createDataFrame([(text[i: i + n], cls) for i in (0, 250, 700 - n)], "near string, cls int").distinct()
-        found = grams.occurrences(source, some, [cls], 40)
-        got = sorted((x.near, x.at + x.shift) for x in found.collect())
-        assert got == sorted((s, i) for s in {text[i: i + n] for i in (0, 250, 700 - n)} for i in range(700) if text.startswith(s, i))
+    text = "".join(r.choices("AC\u00e9\u20ac\U0001f600", weights=[9, 9, 1, 1, 1], k=700))
+    wanted = [text[i: i + n] for n in range(1, 40) for i in (0, 250, 255, 700 - n)]
+    lengths = {n: len({w for w in wanted if len(w) == n}) for n in range(1, 40)}
+    some = spark.createDataFrame([(w, 1) for w in set(wanted)], "near string, extra int")
+    found = grams.occurrences(grams.Texts(texts_of(spark, text, "")), some, lengths, 40).collect()
+    assert sorted((x.near, x.at + x.shift) for x in found) == sorted((s, i) for s in set(wanted) for i in range(700) if text.startswith(s, i))
+
+
+def test_layout_follows_the_counts():
+    """Many strings on a short text: every place of the text; few on a long one: few."""
+    assert grams.layout({20: 10**6}, 30_000) == {20: 1} and grams.layout({20: 100}, 10**9)[20] == 8
+    assert grams.layout({}, 10) == {} and grams.layout({0: 3}, 10) == {0: 1}
+    for cls in grams.CLASSES:
+        for stride in grams.strides(cls):
+            assert cls == 0 or 0 < grams.gram_of(cls, stride) <= cls - stride + 1
+    for counts in ({1: 5, 20: 9}, {12: 10, 14: 10, 64: 7}, {3: 1}):
+        chosen = grams.layout(counts, 5_000)
+        assert all(any(c <= cls for c in chosen) for cls in counts)
+
+
+def test_common_grams_are_dealt(spark, monkeypatch):
+    """One line in every text: no key of the join has more rows than the bound says."""
+    monkeypatch.setattr(grams, "COMMON", 40)
+    monkeypatch.setattr(grams, "_few", lambda *_: False)
+    monkeypatch.setattr(grams, "BROADCAST_ROWS", 0)
+    r = random.Random(15)
+    line = "".join(r.choices("ACGT", k=80))
+    texts = ["".join(r.choices("ACGT", k=50)) + line for _ in range(400)]
+    frame = texts_of(spark, *texts)
+    size, blocks = grams.Texts(frame).blocks(100)
+    rows_ = grams.gram_rows(blocks, {40: 1}).select("doc_id", "block", "cls", "at", "gram")
+    common = grams.common_grams(rows_, blocks.count())
+    assert common.count() >= 40
+    dealt = rows_.join(common, ["cls", "gram"], "left").selectExpr("gram", "pmod(xxhash64(doc_id, block, at), coalesce(salts, 1)) as salt")
+    assert max(x["count"] for x in dealt.groupBy("gram", "salt").count().collect()) <= 40
+    found = exact.exact_matches(frame, patterns_of(spark, line[10:60], line[:40], texts[7][:45]))
+    assert rows(found) == sorted([(0, d, 60) for d in range(400)] + [(1, d, 50) for d in range(400)] + [(2, 7, 0)])
 
 
 def test_tiles_hold_every_letter(spark):
