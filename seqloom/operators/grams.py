@@ -155,7 +155,10 @@ class StoredTexts(Texts):
 
 def named(rows: DataFrame, column: str, values: list) -> DataFrame:
     """The rows with one of a few values, as equalities that the scan can skip pages by."""
-    return rows.where(reduce(lambda a, b: a | b, [F.col(column) == F.lit(v) for v in values], F.lit(False)))
+    terms = [F.col(column) == F.lit(v) for v in values] or [F.lit(False)]
+    while len(terms) > 1:  # a flat tree; a deep one would exhaust the optimiser's stack
+        terms = [reduce(lambda a, b: a | b, terms[i: i + 2]) for i in range(0, len(terms), 2)]
+    return rows.where(terms[0])
 
 
 def stride_of(cls: int) -> int:
@@ -229,7 +232,7 @@ def _with_blocks(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Hits joined to their blocks. The texts of very few are named to the scan; few hits
     are broadcast, and the blocks stay where they are."""
     hits = cut(hits)
-    n = hits.limit(BROADCAST_ROWS + 1).count()
+    n = hits.limit(max(BROADCAST_ROWS, NAMED) + 1).count()
     if n <= NAMED:
         blocks = named(blocks, "doc_id", [r[0] for r in hits.select("doc_id").distinct().collect()])
     return _around(blocks).join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, ["doc_id", "block"])
