@@ -3,7 +3,11 @@ order and error bounds in which the pieces are tried."""
 
 from __future__ import annotations
 
-from itertools import product
+from dataclasses import dataclass, field
+from itertools import combinations_with_replacement
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Published search schemes, by strategy and k; each search is
 # order of pieces / lower bounds / upper bounds, a digit per piece.
@@ -55,8 +59,64 @@ def _o1star(k: int) -> list[tuple]:
     return [(_outward(i, k + 2), (0,) * (k + 2), upper if i < k else (0, 0) + (k,) * k) for i in range(k + 1)]
 
 
-def searches(strategy: str, k: int) -> list[tuple]:
+@dataclass(frozen=True)
+class Scheme:
+    """A strategy of one's own: for each k the searches (order, lower, upper)."""
+
+    name: str
+    by_k: dict[int, list[tuple]] = field(hash=False)
+
+
+def own_scheme(rows: DataFrame, name: str) -> Scheme:
+    """The scheme ``name`` of a table (strategy, k, order, lower, upper): a row per search,
+    with a digit per piece. Anything that isn't a search, or leaves a spread of at most
+    k errors to none, raises an error that names it. A table has few rows by nature."""
+    by_k: dict[int, list[tuple]] = {}
+    for r in rows.where(F.col("strategy") == name).orderBy("k", "order", "lower", "upper").collect():
+        by_k.setdefault(r["k"], []).append(_parse("/".join((r["order"], r["lower"], r["upper"])))[0])
+    if not by_k:
+        raise ValueError(f"the table has no searches of {name!r}")
+    for k, found in by_k.items():
+        if not 1 <= k <= MAX_K:
+            raise ValueError(f"{name}: k is between 1 and {MAX_K}, not {k}")
+        pieces = len(found[0][0])
+        if pieces <= k:
+            raise ValueError(f"{name}, k={k}: {pieces} pieces may all have an error; there are k + 1 at least")
+        for order, lower, upper in found:
+            said = f"{name}, k={k}: search {order}/{lower}/{upper}"
+            if sorted(order) != list(range(pieces)) or not len(lower) == len(upper) == pieces <= 10:
+                raise ValueError(f"{said} doesn't order the same pieces as the others")
+            if any(max(order[:i]) - min(order[:i]) != i - 1 for i in range(1, pieces)):
+                raise ValueError(f"{said} leaves a gap between the pieces it has been through")
+            if any(a > b for a, b in zip(lower, upper)) or list(upper) != sorted(upper) or list(lower) != sorted(lower):
+                raise ValueError(f"{said} has bounds that fall or cross")
+        missing = first_uncovered(found, k)
+        if missing:
+            raise ValueError(f"{name}, k={k}: no search takes errors spread as {missing}")
+    return Scheme(name, by_k)
+
+
+def spreads(k: int, pieces: int):
+    """All ways to spread at most k errors over the pieces: C(k + pieces, k) of them,
+    where a product of counts would give (k + 1) ** pieces."""
+    for places in combinations_with_replacement(range(pieces + 1), k):  # the last stands for no error
+        out = [0] * (pieces + 1)
+        for i in places:
+            out[i] += 1
+        yield tuple(out[:pieces])
+
+
+def first_uncovered(found: list[tuple], k: int) -> tuple[int, ...] | None:
+    """A spread of at most k errors that no search admits."""
+    return next((e for e in spreads(k, len(found[0][0])) if not any(accepts(s, e) for s in found)), None)
+
+
+def searches(strategy: str | Scheme, k: int) -> list[tuple]:
     """(order, lower, upper) of each search; none for the backtracking strategies."""
+    if isinstance(strategy, Scheme):
+        if k and k not in strategy.by_k:
+            raise ValueError(f"{strategy.name} has searches for k in {sorted(strategy.by_k)}, not {k}")
+        return strategy.by_k[k] if k else []
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
     if not 0 <= k <= MAX_K:
@@ -91,11 +151,10 @@ def accepts(search: tuple, errors) -> bool:
 def uncovered(strategy: str, k: int) -> list[tuple[int, ...]]:
     """Distributions of at most k errors that no search admits; none if complete."""
     found = searches(strategy, k)
-    pieces = len(found[0][0])
-    return [e for e in product(range(k + 1), repeat=pieces) if sum(e) <= k and not any(accepts(s, e) for s in found)]
+    return [e for e in spreads(k, len(found[0][0])) if not any(accepts(s, e) for s in found)]
 
 
-def plan(strategy: str, k: int) -> tuple[int, dict[int, frozenset]]:
+def plan(strategy: str | Scheme, k: int) -> tuple[int, dict[int, frozenset]]:
     """Number of pieces and, per piece that is looked up, the numbers of errors left and
     right of it that have to be tried.
 
@@ -108,12 +167,10 @@ def plan(strategy: str, k: int) -> tuple[int, dict[int, frozenset]]:
     found = searches(strategy, k)
     pieces = len(found[0][0]) if found else k + 1
     out: dict[int, set] = {}
-    for errors in product(range(k + 1), repeat=pieces):
-        if sum(errors) > k:
-            continue
+    for errors in spreads(k, pieces):
         free = [i for i, e in enumerate(errors) if e == 0]
         if found:
-            starts = {order[0] for order, lower, upper in found if upper[0] == 0 and accepts((order, lower, upper), errors)} or {free[0]}
+            starts = {order[0] for order, lower, upper in found if upper[0] == 0 and accepts((order, lower, upper), errors)} or set(free[:1])
         else:
             starts = {free[-1] if strategy == "improved" else free[0]}
         for i in starts:

@@ -51,13 +51,18 @@ def _code(how, piece, left, right):
     return ((how * 10 + piece) * 10 + left) * 10 + right
 
 
+def _least(pieces: int, k: int) -> int:
+    """Letters from which on a pattern is cut into pieces."""
+    return max(2 * (k + 1), pieces)
+
+
 def _seeded(patterns: DataFrame, k: int, strategy: str) -> tuple[DataFrame, list[int]]:
     """What is looked up for each pattern, and the codes of what may stand around it.
 
     A pattern with less than two letters for each of k + 1 pieces is tried at every place:
     its pieces are at more places than there are, and a large part of these are matches."""
     pieces, tried = schemes.plan(strategy, k)
-    long = F.length("pattern") >= 2 * (k + 1)
+    long = F.length("pattern") >= _least(pieces, k)
     own = seeds(patterns.where(long), k, strategy).withColumn("how", F.lit(_OWN))
     codes = [_code(_OWN, i, a, b) for i, pairs in tried.items() for a, b in pairs] + [_code(_ANYWHERE, 0, 0, b) for b in range(k + 1)]
     return own.unionByName(patterns.where(~long).select("pattern", F.lit(0).alias("piece"), F.lit(0).alias("offset"), F.lit("").alias("near"),
@@ -70,10 +75,10 @@ def _piece_lengths(lengths: dict[int, int], k: int, strategy: str) -> dict[int,
     out: dict[int, int] = {}
     for length, n in lengths.items():
         size = length // pieces
-        for i in used if length >= 2 * (k + 1) else ():
+        for i in used if length >= _least(pieces, k) else ():
             mine = size if i < pieces - 1 else length - i * size
             out[mine] = out.get(mine, 0) + n
-        if length < 2 * (k + 1):
+        if length < _least(pieces, k):
             out[0] = out.get(0, 0) + n
     return out
 

@@ -137,16 +137,27 @@ class StoredTexts(Texts):
             self.about = spark.read.parquet(f"{path}/about").first()
         except Exception as missing:
             raise ValueError(f"{path} holds no texts that were stored whole: {str(missing).splitlines()[0]}") from missing
-        self.path = path
-        super().__init__(spark.read.parquet(f"{path}/texts"))
+        self.path, self._spark = path, spark
+        if self.about["whole"]:
+            super().__init__(spark.read.parquet(f"{path}/texts"))
+
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    @property
+    def id_type(self) -> str:
+        return dict(self.blocks(0)[1].dtypes)["doc_id"]
 
     @property
     def strides(self) -> dict[int, int]:
         return {c: stride_of(c) for c in self.about["classes"]}
 
     def blocks(self, margin: int) -> tuple[int, DataFrame]:
-        if margin > self.about["margin"]:
+        if margin > self.about["margin"] and self.about["whole"]:
             return super().blocks(margin)
+        if margin > self.about["margin"]:
+            raise ValueError(f"{self.path} was stored for patterns of at most {self.about['margin'] - STRIDE - 4} letters")
         return self.about["size"], self.spark.read.parquet(f"{self.path}/blocks")
 
     def anchors(self) -> DataFrame:
@@ -172,24 +183,57 @@ def _write(rows: DataFrame, order: list[str], path: str) -> None:
      .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", 16 << 20).parquet(path))
 
 
-def store(texts: DataFrame, path: str, longest: int = 250, classes=(12, 24)) -> None:
+def _sums(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows and a sum of their hashes, which no order changes."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()
+    return found["n"], str(found["h"])
+
+
+def store(texts, path: str, longest: int = 250, classes=(12, 24)) -> None:
     """Writes what searches need under ``path``, once for many of them: texts, blocks for
     patterns of up to ``longest`` letters with 4 errors, and the grams of ``classes``. Strings
-    shorter than these are looked for in the blocks. The description is written last;
-    without it nothing can be searched."""
+    shorter than these are looked for in the blocks. ``texts`` is (doc_id, text) or a source
+    of blocks. The description, with sums of all tables, is written last; without it nothing
+    can be searched."""
     if any(c not in CLASSES or gram_of(c, stride_of(c)) < 3 for c in classes):
         raise ValueError(f"classes are among {[c for c in CLASSES if gram_of(c, stride_of(c)) >= 3]}")
-    source, margin = Texts(texts), longest + 4 + STRIDE
-    spark = texts.sparkSession
-    source.texts.write.parquet(f"{path}/texts")
-    size, blocks = Texts(spark.read.parquet(f"{path}/texts")).blocks(margin)
+    source, margin = source_of(texts), longest + 4 + STRIDE
+    spark, whole = source.spark, source.texts is not None
+    if whole:
+        source.texts.write.parquet(f"{path}/texts")
+        source = Texts(spark.read.parquet(f"{path}/texts"))
+    size, blocks = source.blocks(margin)
     _write(blocks, ["doc_id", "block"], f"{path}/blocks")
     stored = spark.read.parquet(f"{path}/blocks")
     for c in sorted(classes):
         rows = gram_rows(stored, {c: stride_of(c)}).select("gram", "doc_id", "block", "at")
         _write(rows, ["gram", "doc_id", "block", "at"], f"{path}/anchors/cls={c}")
     letters = stored.agg(F.sum("core")).first()[0] or 0
-    spark.createDataFrame([(size, margin, sorted(classes), letters)], "size int, margin int, classes array<int>, letters long").coalesce(1).write.parquet(f"{path}/about")
+    sums = {t: _sums(spark.read.parquet(f"{path}/{t}")) for t in _tables(whole, classes)}
+    (spark.createDataFrame([(size, margin, sorted(classes), letters, whole, sums)], "size int, margin int, classes array<int>, letters long, whole boolean, "
+                           "sums map<string, struct<n: long, h: string>>").coalesce(1).write.parquet(f"{path}/about"))
+
+
+def _tables(whole: bool, classes) -> list[str]:
+    return [*(["texts"] if whole else []), "blocks", *[f"anchors/cls={c}" for c in sorted(classes)]]
+
+
+def check(spark: SparkSession, path: str) -> None:
+    """Reads all stored tables again; one that is missing, or isn't what was written, raises
+    an error with its name, and so does a gram without its block."""
+    about = StoredTexts(spark, path).about
+    for table in _tables(about["whole"], about["classes"]):
+        try:
+            found = _sums(spark.read.parquet(f"{path}/{table}"))
+        except Exception as broken:
+            raise ValueError(f"stored table {table} can't be read: {str(broken).splitlines()[0]}") from broken
+        want = about["sums"][table]
+        if found != (want["n"], want["h"]):
+            raise ValueError(f"stored table {table} has been changed: {found[0]} rows, {want['n']} were written")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    lost = spark.read.parquet(f"{path}/anchors").join(blocks, ["doc_id", "block"], "left_anti")
+    if not lost.isEmpty():
+        raise ValueError("stored table anchors names blocks that aren't there")
 
 
 def source_of(texts) -> Texts:

@@ -87,6 +87,14 @@ def bwt_string(transformed: DataFrame) -> DataFrame:
     return transformed.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["bwt"]), "").alias("bwt"))
 
 
+def bwt_chunks(transformed: DataFrame, size: int = 4_096) -> DataFrame:
+    """(doc_id, chunk, letters): the transform in chunks of ``size`` letters, in order; a row
+    holds no more than that, however long a text is."""
+    rows = F.array_sort(F.collect_list(F.struct("row", "bwt")))
+    return (transformed.groupBy("doc_id", F.floor(F.col("row") / size).alias("chunk"))
+            .agg(F.array_join(F.transform(rows, lambda r: r["bwt"]), "").alias("letters")))
+
+
 def char_histogram(texts: DataFrame) -> DataFrame:
     """(doc_id, ch, n), the sentinel included. A text gives one row per letter it
     has, not one per position, by what is left when the letter is taken out."""
@@ -158,9 +166,11 @@ def sample_rates(suffixes: DataFrame) -> DataFrame:
 
 def build_index(texts: DataFrame, path: str) -> None:
     """Writes, for the texts and for the reversed texts, the suffixes with transform and
-    LF mapping, the counts, and the samples of all rates under ``path``."""
+    LF mapping, the transform in chunks, the counts, and the samples of all rates under ``path``."""
     for side, source in (("", texts), ("reverse_", reversed_texts(texts))):
         suffixes, counts = cut(suffix_array_doubling(source)), c_table(char_histogram(source))
-        lf_mapping(bwt(source, suffixes), counts).write.parquet(f"{path}/{side or 'suffix_'}index")
+        transformed = cut(bwt(source, suffixes))
+        lf_mapping(transformed, counts).write.parquet(f"{path}/{side or 'suffix_'}index")
+        bwt_chunks(transformed).write.parquet(f"{path}/{side}bwt")
         counts.write.parquet(f"{path}/{side}c_table")
         sample_rates(suffixes).write.partitionBy("rate").parquet(f"{path}/{side}samples")

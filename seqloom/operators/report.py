@@ -3,22 +3,28 @@ figures per strategy."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.letters import slice_of
+from ..functions.letters import pieces_of
+from ..functions.session import cut_table
 from . import approx
 
 
-def match_report(matches: DataFrame, texts: DataFrame) -> DataFrame:
+def match_report(matches: DataFrame, texts: DataFrame, longest: int = 512) -> DataFrame:
     """Matches with the string of the text that they cover, in order of read, text and
-    place. Places are sorted for reading only; searches don't rely on it."""
-    begin, size = F.col("begin").cast("int"), (F.col("end") - F.col("begin")).cast("int")
-    return (matches.join(texts, "doc_id")
-            .select("pattern_id", "doc_id", "begin", "ed", slice_of(F.col("text"), begin, size).alias("matched"))
-            .orderBy("pattern_id", "doc_id", "begin"))
+    place. They meet blocks of the texts and not whole ones, so no row carries a long text;
+    a match of more than ``longest`` letters is put together from all blocks that it is in.
+    Places are sorted for reading only; searches don't rely on it."""
+    block = F.floor(F.col("begin") / longest)
+    last = F.greatest(block, F.floor((F.col("end") - 1) / longest))
+    own = pieces_of(texts, longest, 0, 0).select("doc_id", F.col("piece").cast("long").alias("block"), "text")
+    parts = (matches.withColumn("block", F.explode(F.sequence(block, last))).join(own, ["doc_id", "block"])
+             .withColumn("at", F.greatest(F.col("begin") - F.col("block") * longest, F.lit(0)).cast("int"))
+             .withColumn("part", F.expr("substring(text, at + 1, cast(end - block * %d as int) - at)" % longest)))
+    keys = ("pattern_id", "doc_id", "begin", "end", "ed")
+    return (parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "").alias("matched"))
+            .select("pattern_id", "doc_id", "begin", "ed", "matched").orderBy("pattern_id", "doc_id", "begin"))
 
 
 def _seen(matches: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -51,27 +57,39 @@ def missed_reads(matches: DataFrame, reads: DataFrame, k: int, texts, check_plac
                     "n_matches", F.coalesce("n", F.lit(0)).alias("n_exhaustive")))
 
 
-def strategy_metrics(texts, patterns: DataFrame, k: int, strategies) -> DataFrame:
-    """Per strategy: mean number of unique matches and of candidates per pattern."""
-    total = patterns.agg(F.count(F.lit(1)).alias("n_reads"))
+def _passes(texts, patterns: DataFrame, k: int, strategy) -> tuple[int, DataFrame]:
+    """The number of candidates per (pattern, place) pair, counted while the unique matches
+    (pattern_id, doc_id, begin, end, ed) are written: candidates are made once."""
+    counted = Observation()
+    found = approx.candidates(texts, patterns, k, strategy)
+    copies = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("copies"))
+    best = (found.groupBy("pattern", "doc_id", "begin").agg(F.min(F.struct("ed", "end")).alias("m"), F.count(F.lit(1)).alias("c"))
+            .join(copies, "pattern").observe(counted, F.coalesce(F.sum(F.col("c") * F.col("copies")), F.lit(0)).alias("candidates")))
+    unique = approx.drop_neighbours(best.select("pattern", "doc_id", "begin", "m.end", "m.ed"), k)
+    unique = cut_table(unique.join(patterns, "pattern").select("pattern_id", "doc_id", "begin", "end", "ed"))
+    return counted.get["candidates"], unique
+
 
-    def one(strategy):
-        found = approx.candidates(texts, patterns, k, strategy)
-        unique = approx.drop_neighbours(approx.best_per_start(found), k)
-        sums = (found.groupBy("pattern").agg(F.count(F.lit(1)).alias("c"))
-                .join(unique.groupBy("pattern").agg(F.count(F.lit(1)).alias("u")), "pattern").join(patterns, "pattern")
-                .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")))
-        mean = lambda x: F.when(F.col("n_reads") > 0, F.col(x) / F.col("n_reads")).otherwise(F.lit(0.0))
-        return sums.join(F.broadcast(total)).select(  # one row each
-            F.lit(strategy).alias("strategy"), "n_reads", mean("u").alias("avg_matches"), mean("c").alias("avg_candidates"))
+def _figures(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)  # a row per strategy
 
-    return reduce(DataFrame.unionByName, [one(s) for s in strategies])
+
+def strategy_metrics(texts, patterns: DataFrame, k: int, strategies) -> DataFrame:
+    """Per strategy: mean number of unique matches and of candidates per pattern."""
+    n, rows = patterns.count(), []
+    for s in strategies:
+        candidates, unique = _passes(texts, patterns, k, s)
+        rows.append((getattr(s, "name", s), n, unique.count() / max(n, 1), candidates / max(n, 1)))
+    return _figures(patterns.sparkSession, rows, "strategy string, n_reads long, avg_matches double, avg_candidates double")
 
 
 def strategy_report(texts, reads: DataFrame, k: int, strategies) -> DataFrame:
     """Per strategy: reads, reads with a match, reads found where they were planted, and
-    the mean numbers of :func:`strategy_metrics`."""
-    means = strategy_metrics(texts, reads.select("pattern_id", "pattern"), k, strategies)
-    found = reduce(DataFrame.unionByName, [
-        planted_recall(approx.match(texts, reads.select("pattern_id", "pattern"), k, s), reads, k).withColumn("strategy", F.lit(s)) for s in strategies])
-    return found.join(means.drop("n_reads"), "strategy")
+    the mean numbers of :func:`strategy_metrics`, all from one pass of candidates."""
+    patterns, rows = reads.select("pattern_id", "pattern"), []
+    for s in strategies:
+        candidates, unique = _passes(texts, patterns, k, s)
+        seen = planted_recall(unique, reads, k).first()
+        n = seen["n_reads"]
+        rows.append((getattr(s, "name", s), k, n, seen["n_matched"], seen["n_planted"], unique.count() / max(n, 1), candidates / max(n, 1)))
+    return _figures(reads.sparkSession, rows, "strategy string, k long, n_reads long, n_matched long, n_planted long, avg_matches double, avg_candidates double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .functions import schemes
 from .functions.letters import _FROM, _TO
-from .queries import HEAD, HEAD_K, SAMPLE, SHORT, STRATEGY_K
+from .queries import CHUNK, HEAD, HEAD_K, SAMPLE, SHORT, STRATEGY_K
 from .sources.corpus import READ
 
 _LETTERS = f"translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_FROM}', '{_TO}')"
@@ -145,12 +145,20 @@ def _means(level, k):
 _NAMES = "(VALUES " + ", ".join(f"('{s}')" for s in schemes.STRATEGIES) + ") s(strategy)"
 
 
+# Number of pieces, and the pieces that searches start with, for k = 1 to 4,
+# written out from the published bounds.
+STARTS = {
+    "pigeon": ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 1, 2, 3)), (5, (0, 1, 2, 3, 4))),
+    "o1star": ((3, (0, 1)), (4, (0, 1, 2)), (5, (0, 1, 2, 3)), (6, (0, 1, 2, 3, 4))),
+    "kplus1": ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 1, 2, 3)), (5, (0, 1, 2, 3, 4))),
+    "kplus2": ((3, (0, 1)), (4, (0, 1, 3)), (5, (0, 1, 2, 3)), (6, (0, 1, 2, 3, 4, 5))),
+    "manbest": ((3, (0, 1)), (4, (0, 1, 2)), (5, (0, 1, 2, 3)), (6, (0, 1, 2, 3, 5))),
+    "kianfar": ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 1, 2, 3)), (5, (0, 1, 2, 3, 4))),
+}
+
+
 def _scheme_seeds():
-    rows = []
-    for s in schemes.STRATEGIES[:6]:
-        for k in range(1, 5):
-            pieces, used = schemes.seeds(s, k)
-            rows += [f"('{s}', {k}, {pieces}, {i})" for i in used]
+    rows = [f"('{s}', {k}, {pieces}, {i})" for s, found in STARTS.items() for k, (pieces, used) in enumerate(found, 1) for i in used]
     return _with(REF, _tiles("tiles", "ref", READ), _P) + f"""
 SELECT DISTINCT strategy, k::BIGINT AS k, pattern, (i * (length(pattern) // n))::BIGINT AS "offset",
        CASE WHEN i = n - 1 THEN substr(pattern, i * (length(pattern) // n) + 1) ELSE substr(pattern, i * (length(pattern) // n) + 1, length(pattern) // n) END AS seed
@@ -180,6 +188,8 @@ def oracle_sql():
         "reverse_suffix_array": _with(REF, _REV, _sa(source="rev")) + "SELECT doc_id, row, sa FROM sa",
         "bwt": _with(REF, _sa(), _bwt()) + "SELECT * FROM b",
         "bwt_string": _with(REF, _sa(), _bwt()) + "SELECT doc_id, string_agg(bwt, '' ORDER BY row) AS bwt FROM b GROUP BY doc_id",
+        "bwt_chunks": _with(REF, _sa(), _bwt()) + f"""
+SELECT doc_id, row // {CHUNK} AS chunk, string_agg(bwt, '' ORDER BY row) AS letters FROM b GROUP BY doc_id, row // {CHUNK}""",
         "reverse_bwt": _with(REF, _REV, _sa(source="rev"), _bwt()) + "SELECT * FROM b",
         "occ": _with(REF, _sa(), _bwt(), _OCC) + "SELECT doc_id, row, ch, occ FROM o",
         "pref_occ": _with(REF, _sa(), _bwt(), _OCC) + "SELECT doc_id, row, ch, pref_occ FROM o",
@@ -229,6 +239,8 @@ SELECT strategy, {STRATEGY_K}::BIGINT AS k, n_reads, n_matched, n_planted, avg_m
   (SELECT sum((n_matches > 0)::BIGINT)::BIGINT AS n_matched, sum(planted)::BIGINT AS n_planted FROM seen)""",
         "missed_reads": _with(REF, _READS, _read_matches(STRATEGY_K + 1, STRATEGY_K), _seen(STRATEGY_K)) + """
 SELECT pattern_id, CASE WHEN n_matches = 0 THEN 'none' ELSE 'elsewhere' END AS reason, n_matches, n_matches AS n_exhaustive FROM seen WHERE planted = 0""",
+        "match_text_files": _with(REF, _READS, _read_matches(1, STRATEGY_K)) + "SELECT * FROM m",
+        "own_scheme_match": _with(REF, _READS, _read_matches(2, STRATEGY_K)) + "SELECT * FROM m",
         "match_stored_index": _with(DOCS, REF, _READS, _read_matches(1, STRATEGY_K, "docs")) + "SELECT * FROM m",
     }
     return {name: sql.replace(")SELECT", ")\nSELECT") for name, sql in found.items()}

@@ -13,9 +13,12 @@ from .functions.letters import letters
 from .functions.session import shared_folder
 from .operators import approx, exact, grams, index, report
 from .sources import corpus
+from .sources.text_files import TextFiles
 
 #: Letters of the patterns for suffix ranges, rows between samples, k of the strategies.
 SHORT, SAMPLE, STRATEGY_K = 8, 8, 2
+#: Letters of a chunk of the transform.
+CHUNK = 64
 #: Letters and k of the patterns that are too short for pieces.
 HEAD, HEAD_K = 12, 4
 
@@ -168,13 +171,33 @@ def missed_reads(spark, sf_dir):
 
 
 def match_stored_index(spark, sf_dir):
-    """Grams and blocks of the letters of all documents are written once; the reads of
-    the reference texts are searched in what was written."""
+    """Grams and blocks of the letters of all documents are written; the reads of the
+    reference texts are searched in what was written."""
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
     grams.store(corpus.document_texts(spark, sf_dir), path)
     return approx.match(grams.StoredTexts(spark, path), planted(spark, sf_dir, 1).select("pattern_id", "pattern"), STRATEGY_K)
 
 
+def match_text_files(spark, sf_dir):
+    """The reference texts as text files, a file each, read by byte ranges; the reads are
+    searched in what was read."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4()}"
+    texts = corpus.reference_texts(spark, sf_dir).where("text <> ''")
+    texts.select(F.col("doc_id").alias("doc"), "text").repartition("doc").write.partitionBy("doc").text(path)
+    found = approx.match(TextFiles(spark, path), planted(spark, sf_dir, 1).select("pattern_id", "pattern"), STRATEGY_K)
+    return found.withColumn("doc_id", F.regexp_extract("doc_id", "/doc=(-?[0-9]+)/", 1).cast("long"))
+
+
+#: A strategy of one's own, as rows of a table: three pieces, at most two errors.
+OWN = [("inward", 2, "012", "000", "012"), ("inward", 2, "210", "000", "022"), ("inward", 2, "102", "000", "022")]
+
+
+def own_scheme_match(spark, sf_dir):
+    rows = spark.createDataFrame(OWN, "strategy string, k int, order string, lower string, upper string")
+    reads = planted(spark, sf_dir, 2).select("pattern_id", "pattern")
+    return approx.match(corpus.reference_texts(spark, sf_dir), reads, STRATEGY_K, schemes.own_scheme(rows, "inward"))
+
+
 def queries():
     return {
         "text_source": corpus.document_texts,
@@ -186,6 +209,7 @@ def queries():
         "suffix_array_doubling": _index(index.suffix_array_doubling),
         "bwt": _index(_transformed),
         "bwt_string": _index(lambda t: index.bwt_string(_transformed(t))),
+        "bwt_chunks": _index(lambda t: index.bwt_chunks(_transformed(t), CHUNK)),
         "reverse_bwt": _index(lambda t: _transformed(index.reversed_texts(t))),
         "occ": _index(lambda t: index.occ(_transformed(t)).select("doc_id", "row", "ch", "occ")),
         "pref_occ": _index(lambda t: index.occ(_transformed(t)).select("doc_id", "row", "ch", "pref_occ")),
@@ -217,6 +241,8 @@ def queries():
         "strategy_report": strategy_report,
         "missed_reads": missed_reads,
         "match_stored_index": match_stored_index,
+        "match_text_files": match_text_files,
+        "own_scheme_match": own_scheme_match,
     }
 
 

@@ -69,5 +69,21 @@ def long_reads(reads: DataFrame, keys=("doc_id", "position")) -> DataFrame:
 
 def reads_csv(spark: SparkSession, path: str) -> DataFrame:
     """A reads file: header, id, planted position, a read for each of 0-4 errors. Column
-    names in the file don't matter, their order does."""
-    return spark.read.csv(path, header=True, schema=READS_SCHEMA, enforceSchema=True)
+    names in the file don't matter, their order does. Lines that aren't reads are left out;
+    :func:`reads_rejects` has them."""
+    return _reads(spark, path).where("rejected is null").drop("rejected")
+
+
+def reads_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line, reason) of the lines of a reads file that have too few or too many fields, or
+    a number that is none."""
+    fields = F.size(F.split("rejected", ","))
+    reason = (F.when(fields < len(READS_SCHEMA), "too few fields").when(fields > len(READS_SCHEMA), "too many fields").otherwise("not a number"))
+    return _reads(spark, path).where("rejected is not null").select(F.col("rejected").alias("line"), reason.alias("reason"))
+
+
+def _reads(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*READS_SCHEMA, T.StructField("rejected", T.StringType())])
+    rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="rejected")
+    empty = (F.col("id").isNull() | F.col("position").isNull()) & F.col("rejected").isNull()
+    return rows.withColumn("rejected", F.when(empty, F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in READS_SCHEMA.names])).otherwise(F.col("rejected")))

@@ -6,8 +6,9 @@ from itertools import product
 import pytest
 
 from seqloom.functions import schemes
-from seqloom.operators import approx, exact, grams, index
+from seqloom.operators import approx, exact, grams, index, report
 from seqloom.sources import corpus
+from seqloom.sources.text_files import TextFiles
 
 
 def texts_of(spark, *texts):
@@ -278,6 +279,7 @@ def test_index_is_written_and_read(spark, tmp_path):
     texts = texts_of(spark, "ACGTACGTAACC")
     index.build_index(texts, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i/suffix_index")).count() == 13
+    assert spark.read.parquet(str(tmp_path / "i/bwt")).first().letters == index.bwt_string(index.bwt(texts, index.suffix_array(texts))).first().bwt
     assert spark.read.parquet(str(tmp_path / "i/c_table")).count() == 5 == spark.read.parquet(str(tmp_path / "i/reverse_c_table")).count()
     for side, source in (("", texts), ("reverse_", index.reversed_texts(texts))):
         samples = spark.read.parquet(str(tmp_path / f"i/{side}samples"))
@@ -288,15 +290,92 @@ def test_index_is_written_and_read(spark, tmp_path):
 
 def test_reads_file(spark, tmp_path):
     path = tmp_path / "reads.csv"
-    path.write_text("id,position,a,b,c,d,e\n7,30,ACGT,ACGA,ACG,ACGG,AC\n")
+    good = "7,30,ACGT,ACGA,ACG,ACGG,AC"
+    bad = {"8,30,ACGT,ACGA": "too few fields", "9,3,A,A,A,A,A,A": "too many fields", "x,30,A,C,G,T,A": "not a number", ",30,A,C,G,T,A": "not a number"}
+    path.write_text("\n".join(["id,position,a,b,c,d,e", good, *bad]) + "\n")
     long = corpus.long_reads(corpus.reads_csv(spark, str(path)), ("id", "position"))
     assert rows(long.select("id", "k", "pattern")) == [(7, 0, "ACGT"), (7, 1, "ACGA"), (7, 2, "ACG"), (7, 3, "ACGG"), (7, 4, "AC")]
+    assert {x.line: x.reason for x in corpus.reads_rejects(spark, str(path)).collect()} == bad
+    assert corpus.reads_csv(spark, str(path)).count() == 1
     (tmp_path / "t.txt").write_text("AC\nGT")
     assert corpus.text_files(spark, str(tmp_path / "t.txt")).first().text == "AC\nGT"
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         corpus.text_files(spark, str(tmp_path / "none"))
 
 
+def test_text_files_by_ranges(spark, tmp_path):
+    """A file of one line is many tasks, and found in as if it were a table."""
+    r = random.Random(16)
+    texts = {"a.txt": "".join(r.choices("ACGT", k=50_000)), "b/c.txt": "ACGTAC", "b/d.txt": ""}
+    (tmp_path / "in/b").mkdir(parents=True)
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text + ("\n" if text else ""))
+    files = TextFiles(spark, str(tmp_path / "in"), task_bytes=2_048)
+    assert files.blocks(90)[1].rdd.getNumPartitions() >= 20
+    name = {str(tmp_path / "in" / n): i for i, n in enumerate(texts)}
+    frame = texts_of(spark, *texts.values())
+    wanted = patterns_of(spark, *(texts["a.txt"][i: i + 50] for i in (0, 2_040, 25_000, 49_950)), "ACGTAC", "GTA")
+    for k in (0, 1):
+        found = sorted((x.pattern_id, name[x.doc_id], x.begin, x.end, x.ed) for x in approx.match(files, wanted, k).collect())
+        assert found == rows(approx.match(frame, wanted, k)) != []
+    grams.store(files, str(tmp_path / "stored"), longest=60)
+    stored = grams.StoredTexts(spark, str(tmp_path / "stored"))
+    assert len(rows(approx.match(stored, wanted, 1))) == len(found)
+    with pytest.raises(ValueError, match="at most 60"):
+        approx.match(stored, patterns_of(spark, "ACGT" * 40), 1)
+    with pytest.raises(FileNotFoundError):
+        TextFiles(spark, str(tmp_path / "none"))
+    (tmp_path / "in/b/d.txt").write_bytes(b"AC\xc3\xa9")
+    with pytest.raises(Exception, match="byte 2 of .*d.txt is no ASCII letter"):
+        TextFiles(spark, str(tmp_path / "in")).blocks(90)[1].collect()
+
+
+def test_own_schemes(spark, small):
+    texts, patterns = small
+    schema = "strategy string, k int, order string, lower string, upper string"
+    table = lambda *found: spark.createDataFrame([("mine", 2, *f.split("/")) for f in found], schema)
+    # Five pieces for two errors; patterns of fewer letters are tried everywhere.
+    five = table(*("/".join((o, "00000", "00222")) for o in ("01234", "12340", "23410", "34210", "43210")), "01234/00000/01222", "43210/00000/01222", "21034/00000/01222")
+    mine = schemes.own_scheme(five, "mine")
+    wanted = [*patterns, "ACGT", "GAT"]
+    assert rows(approx.match(texts_of(spark, *texts), patterns_of(spark, *wanted), 2, mine)) == brute(texts, wanted, 2)
+    for found, said in ((["012/000/012"], r"errors spread as"), (["012/000/022", "01/00/02"], "k . 1 at least"), (["012/000/022", "120/000/02"], "the same pieces"), (["021/000/022"], "gap"),
+                        (["012/000/021"], "fall or cross"), (["01/00/02"], "k . 1 at least")):
+        with pytest.raises(ValueError, match=said):
+            schemes.own_scheme(table(*found), "mine")
+    with pytest.raises(ValueError, match="no searches"):
+        schemes.own_scheme(five, "other")
+    with pytest.raises(ValueError, match="not 3"):
+        approx.match(texts_of(spark, *texts), patterns_of(spark, "ACGT"), 3, mine)
+
+
+def test_stored_tables_are_checked(spark, small, tmp_path):
+    import shutil
+
+    texts, path = small[0], tmp_path / "stored"
+    grams.store(texts_of(spark, *texts), str(path), longest=60, classes=(8,))
+    grams.check(spark, str(path))
+    extra = spark.read.parquet(str(path / "anchors/cls=8")).limit(1)
+    shutil.copytree(path, tmp_path / "changed")
+    extra.write.mode("append").parquet(str(tmp_path / "changed/anchors/cls=8"))
+    with pytest.raises(ValueError, match="anchors/cls=8 has been changed"):
+        grams.check(spark, str(tmp_path / "changed"))
+    shutil.copytree(path, tmp_path / "lost", ignore=shutil.ignore_patterns("blocks"))
+    with pytest.raises(ValueError, match="blocks can't be read"):
+        grams.check(spark, str(tmp_path / "lost"))
+    shutil.copytree(path, tmp_path / "unfinished", ignore=shutil.ignore_patterns("about"))
+    with pytest.raises(ValueError, match="stored whole"):
+        grams.check(spark, str(tmp_path / "unfinished"))
+
+
+def test_report_meets_blocks(spark):
+    text = "".join(random.Random(17).choices("ACGT", k=3_000))
+    found = spark.createDataFrame([(1, 0, b, e, 0) for b, e in ((0, 10), (500, 530), (511, 513), (512, 1024), (100, 2_900))],
+                                  "pattern_id long, doc_id long, begin long, end long, ed long")
+    got = report.match_report(found, texts_of(spark, text)).collect()
+    assert sorted(x.matched for x in got) == sorted(text[b:e] for b, e in ((0, 10), (500, 530), (511, 513), (512, 1024), (100, 2_900)))
+
+
 def test_jobs(spark, tmp_path):
     """A reads file through every strategy, with what was stored before."""
     from seqloom.jobs import search
@@ -314,9 +393,19 @@ def test_jobs(spark, tmp_path):
     search.main(["store", str(tmp_path / "texts"), str(tmp_path / "stored"), "--longest", "50"])
     common = [str(tmp_path / "stored"), str(tmp_path / "reads.csv")]
     search.main(["compare", *common, str(tmp_path / "out"), "--stored", "--max-ed", "1"])
-    report = spark.read.parquet(str(tmp_path / "out/report")).collect()
-    assert {x.strategy for x in report} == set(schemes.STRATEGIES)
-    assert {(x.k, x.n_reads, x.n_matched, x.n_planted, x.n_matches) for x in report} == {(1, 5, 4, 3, 4)} and all(x.seconds > 0 for x in report)
+    told = spark.read.parquet(str(tmp_path / "out/report")).collect()
+    assert {x.strategy for x in told} == set(schemes.STRATEGIES)
+    assert {(x.k, x.n_reads, x.n_matched, x.n_planted, x.n_matches) for x in told} == {(1, 5, 4, 3, 4)} and all(x.seconds > 0 for x in told)
+    # Stopped after two strategies, in the midst of a third, and run again: the others stay.
+    import shutil
+
+    for name in schemes.STRATEGIES[2:]:
+        shutil.rmtree(tmp_path / f"out/report/strategy={name}")
+    shutil.rmtree(tmp_path / "out/missed/strategy=kplus1")
+    search.main(["compare", *common, str(tmp_path / "out"), "--stored", "--max-ed", "1"])
+    again = {x.strategy: tuple(x) for x in spark.read.parquet(str(tmp_path / "out/report")).collect()}
+    assert set(again) == set(schemes.STRATEGIES) and all((again[x.strategy] == tuple(x)) == (x.strategy in schemes.STRATEGIES[:2]) for x in told)
+    search.main(["check", str(tmp_path / "stored")])
     missed = spark.read.parquet(str(tmp_path / "out/missed"))
     assert {tuple(x) for x in missed.drop("strategy").collect()} == {(7, "none", 0, 0), (8, "elsewhere", 1, 1)}
     search.main(["compare", *common, str(tmp_path / "free"), "--stored", "--max-ed", "1", "--read-positions-incorrect"])
@@ -324,6 +413,12 @@ def test_jobs(spark, tmp_path):
     patterns_of(spark, text[5:45]).write.parquet(str(tmp_path / "reads"))
     search.main(["match", str(tmp_path / "texts"), str(tmp_path / "reads"), str(tmp_path / "found")])
     assert spark.read.parquet(str(tmp_path / "found")).first().begin == 5
+    (tmp_path / "plain.txt").write_text(text)
+    spark.createDataFrame([("one", 2, o, "000", "022") for o in ("012", "102", "210")], "strategy string, k int, order string, lower string, upper string") \
+        .write.parquet(str(tmp_path / "schemes"))
+    search.main(["match", str(tmp_path / "plain.txt"), str(tmp_path / "reads"), str(tmp_path / "found2"), "--plain", "--strategy", "one",
+                 "--schemes", str(tmp_path / "schemes")])
+    assert spark.read.parquet(str(tmp_path / "found2")).first().begin == 5
 
 
 def test_stream_gives_the_same(spark, tmp_path):
