@@ -35,38 +35,57 @@ def suffix_array(texts: DataFrame) -> DataFrame:
             .select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("row"), "sa"))
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
-    """(doc_id, sa, rank): how many rows have smaller keys, and whether keys are shared.
+#: A key with more rows than this, and more than 1 / HOT of all, isn't shuffled.
+COMMON, HOT = 4_096, 10_000
+
+
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, r): the rows of each key, and how many rows have smaller keys.
 
     Distinct keys are counted, sorted over ranges and summed up: within a range by a
     window, over the ranges by one row each. So no task gets a whole text."""
-    by = ["doc_id", *keys]
     counts = cut(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(*by)
                  .select(*by, "n", F.spark_partition_id().alias("part")))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     ahead = (counts.groupBy("part").agg(F.sum("n").alias("n"))
              .select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("ahead")))  # a row per partition
     within = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy(*by)), F.lit(0))
-    ranks = counts.join(F.broadcast(ahead), "part").select(*by, (F.col("ahead") + within).alias("r"))
-    return rows.join(ranks, by).select("doc_id", "sa", F.col("r").alias("rank")), counts.where("n > 1").limit(1).count() > 0
+    return counts.join(F.broadcast(ahead), "part").select(*by, "n", (F.col("ahead") + within).alias("r"))
+
+
+def _ranked(rows: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """(doc_id, sa, rank, n): the rows with what ``ranks`` (by..., n, rank) says of their
+    keys. Keys of very many rows are few and broadcast; their rows stay where they are."""
+    most = max(COMMON, (ranks.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(ranks.where(F.col("n") > most))
+    rest = rows.join(hot.select(*by), by, "left_anti").join(ranks.where(F.col("n") <= most), by)
+    return rows.join(hot, by).select("doc_id", "sa", "rank", "n").unionByName(rest.select("doc_id", "sa", "rank", "n"))
 
 
 def suffix_array_doubling(texts: DataFrame, first: int = 8) -> DataFrame:
-    """The same relation by prefix doubling: ranks by the first ``first`` letters,
-    then by pairs of ranks twice as far apart, until all ranks differ. No suffix is
-    stored, and long texts are sorted over many tasks; each pass is written to the
-    shared folder."""
-    now, shared = _ranked(_places(texts, first), ["key"])
-    step = first
-    while shared:
-        now = cut(now)
-        later = now.select("doc_id", (F.col("sa") - step).alias("sa"), F.col("rank").alias("then"))
-        pairs = now.join(later, ["doc_id", "sa"], "left").withColumn("then", F.coalesce("then", F.lit(-1)))
-        now, shared = _ranked(pairs, ["rank", "then"])
+    """The same relation by prefix doubling: ranks by the first ``first`` letters, then
+    by the rank as far on as is known already, twice as far each pass. A suffix whose rank
+    is its own is final and set aside: it is looked up by others, but sorted no more, so a
+    pass has only the suffixes that still share theirs. No suffix is stored, and long texts
+    are sorted over many tasks; each pass is written to the shared folder."""
+    rows, by = cut(_places(texts, first)), ["doc_id", "key"]
+    now = cut(_ranked(rows, cut(_counted(rows, by).withColumnRenamed("r", "rank")), by))
+    final, step = now.where("n = 1").drop("n"), first
+    now = now.where("n > 1").drop("n")
+    while not now.isEmpty():
+        later = now.unionByName(final).select("doc_id", (F.col("sa") - step).alias("sa"), F.col("rank").alias("then"))
+        pairs = cut(now.join(later, ["doc_id", "sa"], "left").withColumn("then", F.coalesce("then", F.lit(-1))))
+        by = ["doc_id", "rank", "then"]
+        counts = cut(_counted(pairs, by))
+        start = counts.groupBy("doc_id", "rank").agg(F.min("r").alias("start"))
+        moved = cut(counts.join(start, ["doc_id", "rank"]).select(*by, "n", (F.col("rank") + F.col("r") - F.col("start")).alias("to")))
+        found = cut(_ranked(pairs.withColumnRenamed("rank", "was"), moved.withColumnsRenamed({"rank": "was", "to": "rank"}), ["doc_id", "was", "then"]))
+        final = final.unionByName(found.where("n = 1").drop("n"))
+        now = found.where("n > 1").drop("n")
         step *= 2
-    now = cut(now)
-    least = now.groupBy("doc_id").agg(F.min("rank").alias("least"))
-    return now.join(least, "doc_id").select("doc_id", (F.col("rank") - F.col("least")).alias("row"), "sa")
+    final = cut(final)
+    least = final.groupBy("doc_id").agg(F.min("rank").alias("least"))
+    return final.join(least, "doc_id").select("doc_id", (F.col("rank") - F.col("least")).alias("row"), "sa")
 
 
 def reversed_texts(texts: DataFrame) -> DataFrame:

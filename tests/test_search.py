@@ -259,10 +259,13 @@ def test_edges(spark):
         index.sparse_suffix_array(index.suffix_array(t), 3)
 
 
-def test_index_invariants(spark):
+def test_index_invariants(spark, monkeypatch):
     texts = texts_of(spark, "ACGTACGTAACC", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA", "T")
     sa = index.suffix_array(texts)
     assert rows(sa) == rows(index.suffix_array_doubling(texts, first=2))
+    monkeypatch.setattr(index, "COMMON", 5)
+    monkeypatch.setattr(index, "HOT", 2)
+    assert rows(sa) == rows(index.suffix_array_doubling(texts, first=1))
     mapped = index.lf_mapping(index.bwt(texts, sa), index.c_table(index.char_histogram(texts)))
     by_row = {(r.doc_id, r.row): r for r in mapped.collect()}
     sizes = {0: 13, 1: 41, 2: 2}
@@ -275,6 +278,19 @@ def test_index_invariants(spark):
     assert all(r.hi - r.lo == r.rhi - r.rlo for r in both.collect()) and both.count() == 4
 
 
+def test_passes_have_fewer_suffixes(spark, monkeypatch):
+    """Only suffixes that share their rank are sorted again: a repeat, not the whole text."""
+    sizes, plain = [], index._counted
+    monkeypatch.setattr(index, "_counted", lambda rows_, by: sizes.append(rows_.count()) or plain(rows_, by))
+    r = random.Random(18)
+    part = "".join(r.choices("ACGT", k=300))
+    text = "".join(r.choices("ACGT", k=6_000)) + part + "".join(r.choices("ACGT", k=3_000)) + part
+    got = rows(index.suffix_array_doubling(texts_of(spark, text)))
+    order = sorted(range(len(text) + 1), key=lambda i: text[i:])
+    assert got == sorted((0, row, i) for row, i in enumerate(order))
+    assert sizes[0] == len(text) + 1 and sizes[2] < 700 and sizes == sorted(sizes, reverse=True)
+
+
 def test_index_is_written_and_read(spark, tmp_path):
     texts = texts_of(spark, "ACGTACGTAACC")
     index.build_index(texts, str(tmp_path / "i"))
