@@ -67,8 +67,8 @@ KEPT_WORDS, LONGEST_KEPT = 100_000, 48
 TILE = 256
 #: Nodes of a bucket that are tried with one of them.
 FAN = 4_096
-#: Pairs whose registers are compared at once.
-PAIRS = 16_384
+#: Pairs whose registers are compared, and whose likelihoods are held, at once.
+PAIRS = 4_096
 #: Columns of the 0/1 matrices multiplied at once.
 COLUMNS = 4_096
 #: Shingles sketched at once.
@@ -143,6 +143,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grid: int = 200) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs (a row each) from how many
     registers are larger, smaller and equal, given the set sizes."""
+    if len(a) > PAIRS:
+        parts = [slice(at, at + PAIRS) for at in range(0, len(a), PAIRS)]
+        return np.concatenate([joint_similarity(a[p], b[p], n_a[p], n_b[p], grid) for p in parts])
     more = (a > b).sum(1)[:, None].astype(float)
     fewer = (a < b).sum(1)[:, None].astype(float)
     same = a.shape[1] - more - fewer
