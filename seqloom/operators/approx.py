@@ -110,6 +110,12 @@ def _allowed(codes: list[int], side: str) -> list[int]:
 def candidates(texts, patterns: DataFrame, k: int, strategy: str = "pigeon") -> DataFrame:
     """(pattern, doc_id, begin, end, ed): every non-empty interval within ``k`` edits.
     ``texts`` is (doc_id, text) or stored texts; k is between 1 and 4."""
+    return _found(texts, patterns, k, strategy).groupBy("pattern", "doc_id", "begin", "end").agg(F.min("ed").alias("ed"))
+
+
+def _found(texts, patterns: DataFrame, k: int, strategy: str) -> DataFrame:
+    """The candidates, once for each piece that finds them, with the edits that are seen
+    from there; the least is their distance."""
     schemes.searches(strategy, k)  # checks both
     source = source_of(texts)
     # Used several times below; patterns may be costly to make, so they are kept once.
@@ -140,7 +146,7 @@ def candidates(texts, patterns: DataFrame, k: int, strategy: str = "pigeon") ->
                     & (F.col("key") * 10 + F.col("l.ed") * 10 + F.col("r.ed")).isin(codes))
              .select("pattern", "doc_id", (F.col("l.edge") + F.col("shift")).alias("begin"), (F.col("r.edge") + F.col("shift")).alias("end"),
                      (F.col("l.ed") + F.col("r.ed")).cast("long").alias("ed")))
-    return found.groupBy("pattern", "doc_id", "begin", "end").agg(F.min("ed").alias("ed"))
+    return found
 
 
 def best_per_start(found: DataFrame) -> DataFrame:
@@ -180,5 +186,6 @@ def match(texts, patterns: DataFrame, k: int, strategy: str = "pigeon", depth_fi
     if k == 0:
         return (exact_matches(texts, patterns).join(patterns, "pattern_id")
                 .select("pattern_id", "doc_id", "begin", (F.col("begin") + F.length("pattern")).alias("end"), F.lit(0).cast("long").alias("ed")))
-    places = drop_neighbours(best_per_start(candidates(texts, patterns, k, strategy)), k)
+    # The best of a begin is the best over all pieces too, so nothing is grouped by interval first.
+    places = drop_neighbours(best_per_start(_found(texts, patterns, k, strategy)), k)
     return places.join(patterns, "pattern").select("pattern_id", "doc_id", "begin", "end", "ed")
