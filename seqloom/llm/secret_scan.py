@@ -7,8 +7,11 @@ that no rule covers is a secret when its log-likelihood ratio per character
 step exceeds ``MARGIN``.
 
 Positions without a UDF: splitting a text at the matches gives the gaps, so the
-running sums of gap and match lengths are the positions. All of it runs where the
-text is; nothing is shuffled but the counts of character pairs.
+running sums of gap and match lengths are the positions. Which runs a rule covers is
+told by the text itself: the key characters of a kind's spans are replaced by a mark that
+counts as a key character, so the runs stay where they are and a covered one holds a mark.
+The work is linear in a text's matches, but for the blocks of :func:`prefix_sums`. All of it
+runs where the text is; nothing is shuffled but the counts of character pairs.
 
 *Samples* default to the values that the rules found (random) and words of 8 or
 more letters (ordinary) from about ``SAMPLE_DOCS`` documents chosen by hash; the
@@ -43,20 +46,33 @@ SMOOTHING = 8.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 _RUN = r"[A-Za-z0-9+/_-]{20,}"
 _BLOCK = 256
+#: Stands for a key character of a base span; where a text has it itself, it reads as the other.
+_MARK, _NO_MARK = "\ue000", "\ue001"
+_MARKED_RUN = r"[A-Za-z0-9+/_\x{E000}-]{20,}"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a column that a lambda refers to is
+    computed again for every element, a lambda's own variable isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def prefix_sums(lengths: Column) -> Column:
     """Running sums of an array, each without its own entry. Blocks keep the work
     near linear for texts with very many matches."""
+    return let(lengths, _prefix_sums)
+
+
+def _prefix_sums(lengths: Column) -> Column:
     n = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / _BLOCK).cast("int")),
                          lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    starts = F.aggregate(
-        blocks, F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("all")),
+    starts = lambda bs: F.aggregate(
+        bs, F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("all")),
         lambda a, b: F.struct((a["sum"] + total(b)).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
-    return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(
-        b, lambda _, i: s + total(F.slice(b, F.lit(1), i)))))
+    return let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(bs), lambda b, s: F.transform(
+        b, lambda _, i: s + total(F.slice(b, F.lit(1), i))))))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -78,6 +94,27 @@ def rule_spans(text: Column, rule: tuple) -> Column:
     return F.filter(matches(text, pattern), lambda s: F.length(value(s["match"])) >= least)
 
 
+def marked(text: Column, rule: tuple) -> Column:
+    """``text`` with the key characters of a rule's spans replaced by the mark."""
+    _, pattern, group, least = rule
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(
+        F.length(value(m)) >= least, F.translate(m, ALPHABET, _MARK * len(ALPHABET))).otherwise(m))
+    gaps = F.split(F.translate(text, _MARK, _NO_MARK), pattern, -1)
+    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def free_runs(text: Column, kinds: dict) -> Column:
+    """The runs of key characters of which no rule covers a character. ``kinds`` has the
+    spans of each rule."""
+    runs = matches(text, _RUN)
+    none = F.array().cast("array<string>")
+    for rule in RULES:
+        seen = F.when(F.size(kinds[rule[0]]) > 0, F.regexp_extract_all(marked(text, rule), F.lit(_MARKED_RUN), F.lit(0))).otherwise(none)
+        runs = F.zip_with(runs, seen, lambda s, m: F.when(~F.coalesce(m.contains(_MARK), F.lit(False)), s))
+    return F.filter(runs, lambda s: s.isNotNull())
+
+
 def _with_rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumns({f"__{r[0]}": rule_spans(text, r) for r in RULES})
@@ -135,8 +172,7 @@ def scan(docs: DataFrame, model: list[float], margin: float = MARGIN) -> DataFra
     match), for whole texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ruled = _with_rules(docs)
-    base = F.concat(*[F.col(f"__{r[0]}") for r in RULES])
-    free = F.filter(matches(text, _RUN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = free_runs(text, {r[0]: F.col(f"__{r[0]}") for r in RULES})
     return ruled.select("doc_id", *[F.col(f"__{r[0]}").alias(r[0]) for r in RULES],
                         F.filter(free, lambda s: log_ratio(s["match"], model) > margin).alias("markov"))
 
