@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -475,6 +476,39 @@ def test_markov_models_tell_random_strings(spark):
     assert [(s.start, s.end) for s in got[1].markov] == [(4, 36)] and got[2].markov == []
 
 
+def free_runs(text):
+    """Runs of key characters that overlap no base span, restated."""
+    base = [m.span() for _, p, g, least in secret_scan.RULES for m in re.finditer(p, text, re.A) if len(m.group(g)) >= least]
+    return [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+def test_markov_spans_equal_brute_force(spark):
+    r = random.Random(16)
+    key = lambda n: "".join(r.choice(secret_scan.ALPHABET) for _ in range(n))
+    bits = ["password=", "secret: '", "AKIA", "token", "é", "\ue000", "\ue001", " ", ".", "=", "\n", "deadbeefdeadbeef", "api_key:", "configuration_repository"]
+    texts = ["".join(r.choice(bits) if r.random() < 0.6 else key(r.choice([3, 11, 12, 20, 24, 30])) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    model = secret_scan.train(spark.createDataFrame([(key(24), True) for _ in range(200)] + [("configuration_repository", False)] * 200, "sample string, secret boolean"))
+    k, place = len(secret_scan.ALPHABET), {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    ratio = lambda t: sum(model[place[a] * k + place[b]] for a, b in zip(t, t[1:])) / (len(t) - 1)
+    got = {x.doc_id: [(s.start, s.end) for s in x.markov] for x in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got == {i: [(a, b) for a, b in free_runs(t) if ratio(t[a:b]) > secret_scan.MARGIN] for i, t in enumerate(texts)}
+    assert 50 < sum(map(len, got.values())) < sum(len(free_runs(t)) for t in texts)
+
+
+def test_secret_scan_of_very_many_matches(spark):
+    """Four times as many matches in a text don't take much more than four times as long."""
+    r = random.Random(17)
+    key = lambda n: "".join(r.choice(secret_scan.ALPHABET) for _ in range(n))
+    seconds = []
+    for n in (10, 4_000, 16_000):  # the first is a warm-up
+        text = " ".join(f"password={key(14)} {key(24)}" for _ in range(n))
+        d, at = spark.createDataFrame([(1, text)], "doc_id long, text string"), time.time()
+        got = secret_scan.scan(d, [1.0] * len(secret_scan.ALPHABET) ** 2).first()
+        seconds.append(time.time() - at)
+        assert len(got.assign) == n and [(s.start, s.end) for s in got.markov] == [(49 * i + 24, 49 * i + 48) for i in range(n)]
+    assert seconds[2] < 8 * seconds[1]
+
+
 # 7
 
 
