@@ -1,7 +1,9 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
 Features are the distinct words of a text and the first 3 to 6 letters of its
-longer words (inflected forms share them). Identity terms (groups of people) have
+longer words (inflected forms share them), and which of ``LENGTHS`` a text's number of
+words stays below: in a long text more words are there by chance, so that it takes more
+of them to tell. Identity terms (groups of people) have
 a feature of their own and no prefixes. For each labelled text that names a
 group, a counterfactual copy has the term swapped for another of its set, and
 the loss adds ``PENALTY * (logit - logit of the copy)**2``: the score has to rest
@@ -18,8 +20,8 @@ smallest hash, one text each; features are counted by Spark over the sample, the
 driver over at most TRAIN_ROWS * VOCABULARY bits. *Scoring* reads every text in
 full, where it is, without a shuffle.
 
-*Defined cases.* A null text is empty and gets the score of a text without known
-features. Without labels of both kinds every score is 0. Conflicting labels of
+*Defined cases.* A null text is empty and gets the score of a short text without known
+words. Without labels of both kinds every score is 0. Conflicting labels of
 one id count as toxic; null labels don't count. Of a labelled id with several texts the
 first in code point order is learnt from; repeated rows count once. Ties between
 features go by name. An empty table gives an empty result. Labels, lang, source and ids
@@ -48,6 +50,8 @@ RIDGE = 5e-5
 SPARSE = 5e-5
 STEPS = 1_000
 PREFIXES = (3, 4, 5, 6)
+#: A text of fewer words than one of these has a feature for it.
+LENGTHS = (64, 128, 256, 512, 1_024, 2_048)
 #: Word lookups a worker keeps, and the longest word it keeps.
 KEPT_WORDS, LONGEST_KEPT = 100_000, 48
 #: Most terms of a table of groups.
@@ -77,8 +81,13 @@ def word_features(word: str, identity: frozenset) -> list[str]:
     return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
+def length_features(words: int) -> list[str]:
+    return [f"<{n}" for n in LENGTHS if words < n]
+
+
 def text_features(text: str | None, identity: frozenset) -> set[str]:
-    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w, identity)}
+    words = _WORD.findall((text or "").lower())
+    return {f for w in set(words) for f in word_features(w, identity)}.union(length_features(len(words)))
 
 
 def group_sets(groups: DataFrame) -> tuple:
@@ -211,7 +220,7 @@ def train_on(sample: DataFrame, penalty: float = PENALTY, sets=IDENTITY) -> dict
     n_pos, n_neg = kinds[True], kinds[False]
     telling = _telling(n_pos, n_neg)
     top = [r["feature"] for r in _counts(sample, identity).where(telling >= TELLING).orderBy(telling.desc(), "feature").limit(VOCABULARY).collect()]
-    index = {f: k for k, f in enumerate(dict.fromkeys([*top, *sorted(identity)]))}
+    index = {f: k for k, f in enumerate(dict.fromkeys([*top, *sorted(identity), *length_features(0)]))}
     data = [(np.frombuffer(r["features"], np.int32), int(r["toxic"] > 0)) for r in _rows(sample, index, identity).collect()]
     data.sort(key=lambda r: (r[0].tobytes(), r[1]))  # sums don't depend on the order of tasks
     weights, bias = fit_weights(data, len(index), index, penalty, sets=sets)
@@ -232,8 +241,9 @@ def score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame
         for b in slices(batches):
             scores = []
             for text in b.column(0).field(place).to_pylist():
-                found: dict[str, float] = {}
-                for word in set(_WORD.findall(text.lower())) if text else ():
+                words = _WORD.findall(text.lower()) if text else []
+                found = {f: weights[f] for f in length_features(len(words))}
+                for word in set(words):
                     hits = known.get(word)
                     if hits is None:
                         hits = tuple((f, weights[f]) for f in word_features(word, identity) if f in weights)

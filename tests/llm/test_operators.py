@@ -403,6 +403,53 @@ def test_fit_minimises_the_stated_loss():
                 assert loss(near) > loss(best) - 1e-9
 
 
+def test_toxicity_query_restated(spark):
+    """Features, their choice by G squared, and every score of the query, from the whole tables."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs}
+    named = {t for s in toxicity.IDENTITY for t in s}
+
+    def features(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        out = {f"<{n}" for n in (64, 128, 256, 512, 1024, 2048) if len(words) < n} | set(words)
+        return out | {f"^{w[:n]}" for w in words if w not in named for n in (3, 4, 5, 6) if len(w) > n}
+
+    learnt = [(features(docs[i]), t) for i, t in labels.items() if zlib.crc32(str(i).encode()) % 5]
+    total = [sum(t == k for _, t in learnt) for k in (0, 1)]
+    seen = {}
+    for fs, t in learnt:
+        for f in fs:
+            seen.setdefault(f, [0, 0])[t] += 1
+    telling = []
+    for f, (neg, pos) in seen.items():
+        if neg + pos >= 4 and pos * total[0] > neg * total[1]:
+            share = (neg + pos) / sum(total)
+            cells = [(pos, share * total[1]), (neg, share * total[0]), (total[1] - pos, (1 - share) * total[1]), (total[0] - neg, (1 - share) * total[0])]
+            g = 2 * sum(o * np.log(o / e) for o, e in cells if o)
+            telling += [(-g, f)] if g >= 15 else []
+    kept = {f for _, f in sorted(telling)[:1024]}
+    frames = spark.read.parquet(f"{sf}/documents.parquet"), toxicity.learnable(spark.read.parquet(f"{sf}/labels.parquet"))
+    model = toxicity.train(*frames)
+    assert set(model["weights"]) == kept | named | {f"<{n}" for n in toxicity.LENGTHS}
+    for r in toxicity.op5_toxicity(spark, sf).collect():
+        z = model["bias"] + sum(model["weights"].get(f, 0.0) for f in features(docs[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_of_long_and_short_texts(spark):
+    """Held-out clean texts of 1,000 words and more are flagged no more than twice as often
+    as shorter ones, but for one text."""
+    sf = "/root/testdata/sf0.1"
+    rows = (toxicity.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+            .join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.size(F.split("text", r"\s+")).alias("words")), "doc_id").collect())
+    long, short = ([r.predicted for r in rows if r.toxic == 0 and (r.words >= 1_000) == kind] for kind in (True, False))
+    assert min(len(long), len(short)) > 40 and sum(short) <= 0.01 * len(short)
+    assert sum(long) <= 1 + 2 * len(long) * sum(short) / len(short)
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.85 * sum(r.toxic for r in rows)
+
+
 def test_penalty_acts_in_the_registered_result(spark):
     got = {r.term: r for r in toxicity.toxicity_group_gaps(spark, "/root/testdata/sf0.01").collect()}
     assert set(got) == {t for s in toxicity.IDENTITY for t in s}
