@@ -8,16 +8,21 @@ registers are as likely as the Jaccard similarity, and both uses share one sketc
 
 1. rows with equal words form a class, a node of the graph, with a number of its own;
 2. ``BANDS`` bands of ``ROWS`` registers are hashed; nodes of a bucket are candidates;
-3. candidates are estimated from the joint register likelihood and then verified on
-   their full sets: a link needs 100 * intersection >= 80 * union.
+3. candidates are estimated from the joint register likelihood, those that parities
+   show to be too different go (:func:`apart`, which loses no link), and the others are
+   verified on their full sets: a link needs 100 * intersection >= 80 * union.
 
 *No pair explosion.* First each node is tried with the smallest node of a bucket
-(one pair a node) and components are formed. Only pairs in different components can
+(one pair a node) and components are formed; then each node of a bucket that holds
+several components is tried with one of its nodes by chance (one pair a node and
+bucket), so that a group doesn't stay apart because its smallest node is unlike it.
+Only pairs in different components can
 still change the result, and all of them share a bucket that holds several components.
 The nodes of such a bucket outside its largest component meet all of its nodes, in
 tiles of at most about ``TILE`` by ``TILE``. A tile holds registers only; it looks at
 each pair in the first band that the two share, and leaves the nodes for which an
-estimate reaches the threshold. Only these come again, with their texts: a tile counts
+estimate reaches the threshold and parities allow a link. Only these come again, with
+their texts, so that nodes of a group of near copies just below the threshold don't: a tile counts
 all intersections of their full sets at once as a product of 0/1 matrices and emits
 only the links that join components, fewer than it has nodes. So no candidate link
 between different components is left out, nodes that share no bucket never meet, and
@@ -73,6 +78,8 @@ PAIRS = 4_096
 COLUMNS = 4_096
 #: Shingles sketched at once.
 BATCH_SHINGLES = 200_000
+#: Bits of a set's parities.
+PARITIES = 2_048
 
 
 def words(text: str | None) -> list[bytes]:
@@ -140,6 +147,24 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16).reshape(d, m)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """An odd sketch (a row of PARITIES bits, as uint64, per set): each bit tells
+    whether an odd number of the set's hashes fall on it."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    seed = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    bit = (_mix(seed ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(PARITIES)).astype(np.int64)
+    odd = np.bincount(doc * PARITIES + bit, minlength=len(sets) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, PARITIES), axis=1).view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Pairs that can't be linked, whatever their estimate: bits that differ are never
+    more than the elements that only one set has, and a link needs
+    (100 + similarity) * these <= (100 - similarity) * (n_a + n_b)."""
+    differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return (100 + similarity) * differ > (100 - similarity) * (n_a + n_b)
+
+
 def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grid: int = 200) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs (a row each) from how many
     registers are larger, smaller and equal, given the set sizes."""
@@ -164,8 +189,8 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``row`` (all columns of ``docs``), class key of the words, n_shingles and
-    registers (key and registers are null without words)."""
+    """``row`` (all columns of ``docs``), class key of the words, n_shingles, registers
+    and parities (key, registers and parities are null without words)."""
     place = docs.columns.index("text")
 
     def run(batches):
@@ -182,22 +207,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sizes.append(len(s))
                 rows.append(len(waiting))
                 waiting.append(s)
-            done, at = [], 0
+            done, odd, at = [], [], 0
             while at < len(waiting):
                 to, held = at, 0
                 while to < len(waiting) and (to == at or held + len(waiting[to]) <= BATCH_SHINGLES):
                     held += len(waiting[to])
                     to += 1
                 done += [r.tobytes() for r in sketch(waiting[at:to])]
+                odd += [p.tobytes() for p in parities(waiting[at:to])]
                 at = to
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array([None if r is None else done[r] for r in rows], pa.binary())],
-                ["row", "class", "n_shingles", "registers"])
+                 pa.array([None if r is None else done[r] for r in rows], pa.binary()),
+                 pa.array([None if r is None else odd[r] for r in rows], pa.binary())],
+                ["row", "class", "n_shingles", "registers", "parities"])
         _hashes.clear()
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("class", T.BinaryType()),
-                           T.StructField("n_shingles", T.LongType()), T.StructField("registers", T.BinaryType())])
+                           T.StructField("n_shingles", T.LongType()), T.StructField("registers", T.BinaryType()),
+                           T.StructField("parities", T.BinaryType())])
     return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
@@ -205,6 +233,10 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _parities(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+
+
 def band_rows(sketches: DataFrame) -> DataFrame:
     """(bucket, band, id, n_shingles) for every band of every sketch."""
 
@@ -232,18 +264,21 @@ def _with_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, rows: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs whose joint estimate isn't far below the threshold."""
+    """The pairs whose joint estimate isn't far below the threshold and whose parities
+    allow a link."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             reg = [_registers(b.column(c)) for c in ("a_registers", "b_registers")]
+            odd = [_parities(b.column(c)) for c in ("a_parities", "b_parities")]
             n = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("a_n_shingles", "b_n_shingles")]
-            keep = joint_similarity(*reg, *n) >= similarity / 100 - SLACK
+            keep = (joint_similarity(*reg, *n) >= similarity / 100 - SLACK) & ~apart(*odd, *n, similarity)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return (_with_both(pairs, rows, "registers", "n_shingles").select("a", "b", "a_registers", "b_registers", "a_n_shingles", "b_n_shingles")
+    columns = ("registers", "parities", "n_shingles")
+    return (_with_both(pairs, rows, *columns).select("a", "b", *[f"{p}_{c}" for c in columns for p in "ab"])
             .mapInArrow(run, "a long, b long"))
 
 
@@ -311,14 +346,31 @@ def tile_links(parts: np.ndarray, sets: list[set], left: np.ndarray, right: np.n
 
 def _blocks(labelled: DataFrame) -> DataFrame:
     """A row per bucket that holds several components: its largest one, its number of
-    rows ``n``, and into how many blocks its other rows and those of the largest go."""
-    sizes = (labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w")))
-    whole = sizes.groupBy("bucket").agg(F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("main"),
+    rows ``n``, into how many blocks its other rows and those of the largest go, and one
+    of its nodes by chance, another one in each bucket."""
+    chance = F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "component")
+    sizes = (labelled.groupBy("bucket", "component")
+             .agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"), F.min(chance).alias("pivot")))
+    whole = sizes.groupBy("bucket").agg(F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("main"), F.min("pivot").alias("pivot"),
                                         F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.sum("w").alias("w"))
     share = lambda n, w: F.ceil(F.greatest(n / TILE, w / (1000.0 * TILE)))
     return whole.where("parts > 1").select(
         "bucket", "n", F.col("main.component").alias("main"), share(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("minors"),
-        share(F.col("main.c"), F.col("main.w")).alias("mains"))
+        share(F.col("main.c"), F.col("main.w")).alias("mains"), F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("pivot_component"))
+
+
+def _mixed(bucketed: DataFrame, parts: DataFrame) -> DataFrame:
+    """(bucket, band, id, n_shingles, component and the columns of :func:`_blocks`) of
+    the buckets that hold several components."""
+    labelled = cut_table(bucketed.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    return join_counted(labelled, cut(_blocks(labelled)), "bucket")
+
+
+def _pivot_pairs(members: DataFrame, sketches: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(a, b): each node b of a mixed bucket with one of the buckets' nodes by chance
+    that seems to be linked with it, in another component; one pair a node."""
+    pairs = cut(members.where("component <> pivot_component").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    return estimated(pairs, sketches, similarity).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -329,7 +381,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     last = F.when(minor, F.col("minors") + F.col("mains")).otherwise(F.col("minors")) - 1
     return (members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                    "block", "id", "component", "band", "n_shingles", "registers"))
+                    "block", "id", "component", "band", "n_shingles", "registers", "parities"))
 
 
 _KEYS = ("bucket", "lo", "hi")
@@ -365,11 +417,12 @@ def _sides(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]
 
 def likely(tiles: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of each tile that have a partner in another component whose joint
-    estimate isn't far below the threshold, each pair looked at in its first band."""
+    estimate isn't far below the threshold and whose parities allow a link, each pair
+    looked at in its first band."""
 
     def survivors(t: pa.Table, starts: np.ndarray) -> np.ndarray:
         part, n, band, block, lo, hi = (t.column(c).to_numpy() for c in ("component", "n_shingles", "band", "block", "lo", "hi"))
-        reg = _registers(t.column("registers"))
+        reg, odd = _registers(t.column("registers")), _parities(t.column("parities"))
         keep = np.zeros(t.num_rows, bool)
 
         def look(i, j):
@@ -390,9 +443,11 @@ def likely(tiles: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                 able = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 if lo[s] == hi[s]:
                     able &= i < j
-                if able.any():
-                    left.append(i[able])
-                    right.append(j[able])
+                i, j = i[able], j[able]
+                near = ~apart(odd[i], odd[j], n[i], n[j], similarity)
+                if near.any():
+                    left.append(i[near])
+                    right.append(j[near])
                     held += len(left[-1])
                 if held >= PAIRS:
                     look(left, right)
@@ -410,9 +465,9 @@ def likely(tiles: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 def links_between(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(u, v): pairs of components that a link joins. ``members`` is (bucket, band, id,
-    component, n_shingles and the columns of :func:`_blocks`), ``sketches`` has id and
-    registers, ``texts`` id and text."""
-    near = cut(likely(_tiles(members.join(sketches.select("id", "registers"), "id")), similarity))
+    component, n_shingles and the columns of :func:`_blocks`), ``sketches`` has id,
+    registers and parities, ``texts`` id and text."""
+    near = cut(likely(_tiles(members.join(sketches.select("id", "registers", "parities"), "id")), similarity))
 
     def run(batches):
         for t, starts in _whole_tiles(batches):
@@ -443,7 +498,7 @@ def _nodes(base: DataFrame, similarity: int, shingle: int) -> DataFrame:
     smallest doc_id and the node that stands for its group; cut."""
     classes = cut(base.where("class is not null").groupBy("class")
                   .agg(F.min("id").alias("id"), F.min("row.doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    sketches = cut_table(base.select("id", "n_shingles", "registers").join(classes.select("id"), "id", "left_semi"))
+    sketches = cut_table(base.select("id", "n_shingles", "registers", "parities").join(classes.select("id"), "id", "left_semi"))
 
     bands = band_rows(sketches)
     heads = cut(bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -452,10 +507,11 @@ def _nodes(base: DataFrame, similarity: int, shingle: int) -> DataFrame:
     texts = cut_table(base.select("id", "row.text").join(wanted, "id", "left_semi"))
 
     first = cut(_first_pairs(bucketed))
-    parts = components(verified(cut(estimated(first, sketches, similarity)), texts, similarity, shingle))
-    # Buckets that still hold several components.
-    labelled = cut_table(bucketed.drop("head", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    members = join_counted(labelled, cut(_blocks(labelled)), "bucket")
+    links = cut(verified(cut(estimated(first, sketches, similarity)), texts, similarity, shingle))
+    members = cut_table(_mixed(bucketed.drop("head", "n"), components(links)))
+    links = links.unionByName(verified(cut(_pivot_pairs(members, sketches, similarity)), texts, similarity, shingle))
+    parts = components(links)
+    members = _mixed(members.select("bucket", "band", "id", "n_shingles"), parts)
     joined = components(links_between(members, sketches, texts, similarity, shingle)).select(F.col("id").alias("part"), F.col("component").alias("whole"))
 
     sizes = parts.groupBy(F.col("component").alias("part")).agg(F.count(F.lit(1)).alias("n"))

@@ -195,6 +195,51 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, shingle):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def changed(r, base, n):
+    w = list(base)
+    for k in r.sample(range(len(w)), n):
+        w[k] = f"n{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_dedup_texts_of_large_groups(spark, monkeypatch):
+    """A group whose nodes are all just below the threshold, and one whose smallest node
+    alone is: their texts don't come again in each tile that a node meets."""
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    plain, rows = near_dedup.likely, []
+
+    def likely(*a):
+        found = near_dedup.cut(plain(*a))
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "likely", likely)
+    r = random.Random(5)
+    below, above = ([f"{p}{i}" for i in range(80)] for p in "ab")
+    texts = [changed(r, above, 6), *[changed(r, below, 4) for _ in range(120)], *[changed(r, above, 1) for _ in range(120)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = near_dedup.near_duplicates(frame, shingle=2).collect()
+    want = brute_components(dict(enumerate(texts)), 2)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert len({c for i, (_, c) in want.items() if 1 <= i <= 120}) > 100 and {c for i, (_, c) in want.items() if i > 120} == {121}
+    assert rows[0] <= len(texts), rows
+
+
+def test_parities_lose_no_link():
+    r = np.random.default_rng(2)
+    for n in (1, 3, 150, 5000):
+        base = np.unique(r.integers(0, 2**63, 2 * n).astype(np.uint64))
+        sets = [np.unique(np.concatenate([base[k: n], base[n: n + k // 2]])) for k in range(0, n, max(1, n // 40))]
+        odd, size = near_dedup.parities(sets), np.array([len(s) for s in sets])
+        i, j = (x.reshape(-1) for x in np.indices((len(sets), len(sets))))
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+        linked = 100 * both >= 80 * (size[i] + size[j] - both)
+        apart = near_dedup.apart(odd[i], odd[j], size[i], size[j])
+        assert not (linked & apart).any()
+        if n <= 150:
+            assert apart[100 * both < 75 * (size[i] + size[j] - both)].all()
+
+
 def test_near_dedup_recall_on_a_table(spark):
     """All links of the 1,000 documents at sf0.01, by an inverted list of shingles."""
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
