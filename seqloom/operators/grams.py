@@ -17,9 +17,12 @@ by sizes that were counted, not guessed:
   common are dealt over ``SALTS`` tasks. Places come back to the strings that share them,
   and to the blocks that were hit.
 
-:class:`StoredTexts` has grams sorted by hash and blocks sorted by text, both in short
-pages. A search with few strings names the hashes it wants in the filter of the scan, which
-then skips all pages but theirs; blocks are read in the same way once hits are known.
+:class:`StoredTexts` has blocks, numbered in the order they lie in, and their grams, which
+each task packs for runs of blocks (``functions/postings.py``): nothing is shuffled to store
+texts. A search with few strings names the hashes it wants in the filter of the scan, which
+then skips all pages but theirs; with more, tasks unpack the rows that have some. A long
+string's first gram counts only where another one of it is at its place too. Blocks are
+read by number once hits are known.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import postings
 from ..functions.letters import fixed, fixed_slice, pieces_of
 from ..functions.session import cut, cut_table
 
@@ -46,14 +51,23 @@ BROADCAST_ROWS = 400_000
 SALTS, COMMON, HOT, SAMPLE = 64, 4_096, 10_000, 100_000
 #: Letters that a gram is taken to be drawn from when its chance hits are estimated.
 LETTERS = 4
-#: Values that a filter names one by one, and rows of a page in stored tables.
+#: Values that a filter names one by one, and rows of a page of stored blocks.
 NAMED, PAGE_ROWS = 256, 2_048
+#: Bits of a group of Spark's bitmaps.
+GROUP = 1 << 15
+#: How stored tables are written; others can't be read.
+FORM = 2
 
 
 def gram_of(cls: int, stride: int) -> int:
     return min(GRAM, cls - stride + 1) if cls else 0
 
 
+def gram_hash(letters):
+    """What grams are joined by, from letters of fixed width: half a hash, as in packed grams."""
+    return F.shiftright(F.xxhash64(letters), 32).cast("int")
+
+
 def strides(cls: int) -> list[int]:
     """The strides a class may have: powers of two that leave half of it to the gram."""
     return [1 << n for n in range(STRIDE.bit_length()) if n == 0 or 2 * ((1 << n) - 1) <= cls]
@@ -95,7 +109,7 @@ def gram_rows(blocks: DataFrame, chosen: dict[int, int]) -> DataFrame:
     at = F.col("lead") + F.col("p")
     return (blocks.select("doc_id", "block", "lead", "core", F.length("text").alias("n"), fixed(F.col("text")).alias("letters"), F.explode(described).alias("c"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("core") - 1, F.col("c.stride"))).alias("p")).where(at + F.col("c.size") <= F.col("n"))
-            .select("doc_id", "block", "lead", "letters", "c.cls", at.alias("at"), F.xxhash64(fixed_slice(F.col("letters"), at, F.col("c.size"))).alias("gram")))
+            .select("doc_id", "block", "lead", "letters", "c.cls", at.alias("at"), gram_hash(fixed_slice(F.col("letters"), at, F.col("c.size"))).alias("gram")))
 
 
 def keyed(strings: DataFrame, chosen: dict[int, int]) -> DataFrame:
@@ -105,7 +119,7 @@ def keyed(strings: DataFrame, chosen: dict[int, int]) -> DataFrame:
         F.lit(s).alias("stride"), F.lit(gram_of(c, s)).alias("size")))]), F.col("cls"))
     return (strings.withColumn("cls", class_of(F.length("near"), chosen)).withColumn("c", sizes)
             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c.stride") - 1)))
-            .withColumn("gram", F.xxhash64(fixed_slice(fixed(F.col("near")), F.col("o"), F.col("c.size")))).drop("c"))
+            .withColumn("gram", gram_hash(fixed_slice(fixed(F.col("near")), F.col("o"), F.col("c.size")))).drop("c"))
 
 
 class Texts:
@@ -137,9 +151,19 @@ class StoredTexts(Texts):
             self.about = spark.read.parquet(f"{path}/about").first()
         except Exception as missing:
             raise ValueError(f"{path} holds no texts that were stored whole: {str(missing).splitlines()[0]}") from missing
+        if "form" not in self.about or self.about["form"] != FORM:
+            raise ValueError(f"{path} was stored by another version of this package; store the texts again")
         self.path, self._spark = path, spark
-        if self.about["whole"]:
-            super().__init__(spark.read.parquet(f"{path}/texts"))
+
+    @property
+    def texts(self) -> DataFrame | None:
+        """The texts, if whole ones were stored, from their blocks, which have consecutive ids."""
+        if not self.about["whole"]:
+            return None
+        core = F.substring("text", F.col("lead") + 1, F.col("core"))
+        pieces = F.array_sort(F.collect_list(F.struct("block", core.alias("text"))))
+        whole = self.numbered().groupBy("doc_id", (F.col("id") - F.col("block")).alias("first"))
+        return whole.agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text")).drop("first")
 
     @property
     def spark(self) -> SparkSession:
@@ -147,7 +171,7 @@ class StoredTexts(Texts):
 
     @property
     def id_type(self) -> str:
-        return dict(self.blocks(0)[1].dtypes)["doc_id"]
+        return dict(self.numbered().dtypes)["doc_id"]
 
     @property
     def strides(self) -> dict[int, int]:
@@ -158,29 +182,43 @@ class StoredTexts(Texts):
             return super().blocks(margin)
         if margin > self.about["margin"]:
             raise ValueError(f"{self.path} was stored for patterns of at most {self.about['margin'] - STRIDE - 4} letters")
-        return self.about["size"], self.spark.read.parquet(f"{self.path}/blocks")
+        return self.about["size"], self.numbered().drop("id")
 
-    def anchors(self) -> DataFrame:
+    def numbered(self) -> DataFrame:
+        """The blocks as stored, with their ``id``."""
+        return self.spark.read.parquet(f"{self.path}/blocks")
+
+    def packed(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/anchors")
 
+    def anchors(self, wanted: dict[int, list[int]] | None = None) -> DataFrame:
+        """(cls, gram, id, p): where grams are, by block and letter of its core; all of them,
+        or those of each class that are ``wanted``. Few are named to the scan."""
+        rows = self.packed()
+        if wanted is not None and sum(map(len, wanted.values())) <= NAMED:
+            rows = _either(rows, [(F.col("cls") == c) & (F.col("first") <= v) & (F.col("last") >= v) for c, values in wanted.items() for v in values])
+        values = None if wanted is None else {c: np.sort(np.array(v, np.int64)) for c, v in wanted.items()}
+        layout = {c: (s, gram_of(c, s)) for c, s in self.strides.items()}
+        return rows.mapInArrow(postings.unpacker(self.about["size"], layout, values), "cls int, gram int, id long, p int")
+
 
 def named(rows: DataFrame, column: str, values: list) -> DataFrame:
     """The rows with one of a few values, as equalities that the scan can skip pages by."""
-    terms = [F.col(column) == F.lit(v) for v in values] or [F.lit(False)]
+    return _either(rows, [F.col(column) == F.lit(v) for v in values])
+
+
+def _either(rows: DataFrame, terms: list) -> DataFrame:
+    terms = terms or [F.lit(False)]
     while len(terms) > 1:  # a flat tree; a deep one would exhaust the optimiser's stack
         terms = [reduce(lambda a, b: a | b, terms[i: i + 2]) for i in range(0, len(terms), 2)]
     return rows.where(terms[0])
 
 
 def stride_of(cls: int) -> int:
-    """The stride of a stored class; half of the largest, for longer grams."""
-    return strides(cls)[-2] if cls > 3 else 1
-
-
-def _write(rows: DataFrame, order: list[str], path: str) -> None:
-    """Rows sorted over ranges, so that rows with a common first column don't share a task."""
-    (rows.repartitionByRange(*order).sortWithinPartitions(order[0]).write
-     .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", 16 << 20).parquet(path))
+    """The stride of a stored class: the largest where grams stay long, else half of it."""
+    if cls <= 3:
+        return 1
+    return strides(cls)[-1 if cls >= 24 else -2]
 
 
 def _sums(rows: DataFrame) -> tuple[int, str]:
@@ -190,39 +228,42 @@ def _sums(rows: DataFrame) -> tuple[int, str]:
 
 
 def store(texts, path: str, longest: int = 250, classes=(12, 24)) -> None:
-    """Writes what searches need under ``path``, once for many of them: texts, blocks for
+    """Writes what searches need under ``path``, once for many of them: blocks for
     patterns of up to ``longest`` letters with 4 errors, and the grams of ``classes``. Strings
     shorter than these are looked for in the blocks. ``texts`` is (doc_id, text) or a source
     of blocks. The description, with sums of all tables, is written last; without it nothing
     can be searched."""
     if any(c not in CLASSES or gram_of(c, stride_of(c)) < 3 for c in classes):
         raise ValueError(f"classes are among {[c for c in CLASSES if gram_of(c, stride_of(c)) >= 3]}")
-    source, margin = source_of(texts), longest + 4 + STRIDE
+    margin = longest + 4 + STRIDE
+    # The explode keeps the optimiser from making a text once a use.
+    source = texts if isinstance(texts, Texts) else Texts(texts.select("doc_id", F.explode(F.array("text")).alias("text")))
     spark, whole = source.spark, source.texts is not None
-    if whole:
-        source.texts.write.parquet(f"{path}/texts")
-        source = Texts(spark.read.parquet(f"{path}/texts"))
     size, blocks = source.blocks(margin)
-    _write(blocks, ["doc_id", "block"], f"{path}/blocks")
+    (blocks.select("doc_id", "block", "core", "lead", "text", F.monotonically_increasing_id().alias("id")).write.option("compression", "zstd")
+     .option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks"))
     stored = spark.read.parquet(f"{path}/blocks")
     for c in sorted(classes):
-        rows = gram_rows(stored, {c: stride_of(c)}).select("gram", "doc_id", "block", "at")
-        _write(rows, ["gram", "doc_id", "block", "at"], f"{path}/anchors/cls={c}")
+        pack = postings.packer(size, stride_of(c), gram_of(c, stride_of(c)))
+        (stored.select("id", "core", "lead", "text").mapInArrow(pack, postings.SCHEMA).write.option("compression", "uncompressed")
+         .option("parquet.page.row.count.limit", 1).option("parquet.page.size.row.check.min", 1).option("parquet.columnindex.truncate.length", 8)
+         .option("parquet.enable.dictionary", "false").option("parquet.block.size", 16 << 20).parquet(f"{path}/anchors/cls={c}"))
     letters = stored.agg(F.sum("core")).first()[0] or 0
-    sums = {t: _sums(spark.read.parquet(f"{path}/{t}")) for t in _tables(whole, classes)}
-    (spark.createDataFrame([(size, margin, sorted(classes), letters, whole, sums)], "size int, margin int, classes array<int>, letters long, whole boolean, "
+    sums = {t: _sums(spark.read.parquet(f"{path}/{t}")) for t in _tables(classes)}
+    (spark.createDataFrame([(FORM, size, margin, sorted(classes), letters, whole, sums)], "form int, size int, margin int, classes array<int>, letters long, whole boolean, "
                            "sums map<string, struct<n: long, h: string>>").coalesce(1).write.parquet(f"{path}/about"))
 
 
-def _tables(whole: bool, classes) -> list[str]:
-    return [*(["texts"] if whole else []), "blocks", *[f"anchors/cls={c}" for c in sorted(classes)]]
+def _tables(classes) -> list[str]:
+    return ["blocks", *[f"anchors/cls={c}" for c in sorted(classes)]]
 
 
 def check(spark: SparkSession, path: str) -> None:
     """Reads all stored tables again; one that is missing, or isn't what was written, raises
     an error with its name, and so does a gram without its block."""
-    about = StoredTexts(spark, path).about
-    for table in _tables(about["whole"], about["classes"]):
+    texts = StoredTexts(spark, path)
+    about = texts.about
+    for table in _tables(about["classes"]):
         try:
             found = _sums(spark.read.parquet(f"{path}/{table}"))
         except Exception as broken:
@@ -230,8 +271,7 @@ def check(spark: SparkSession, path: str) -> None:
         want = about["sums"][table]
         if found != (want["n"], want["h"]):
             raise ValueError(f"stored table {table} has been changed: {found[0]} rows, {want['n']} were written")
-    blocks = spark.read.parquet(f"{path}/blocks")
-    lost = spark.read.parquet(f"{path}/anchors").join(blocks, ["doc_id", "block"], "left_anti")
+    lost = texts.anchors().select("id").distinct().join(texts.numbered().select("id"), "id", "left_anti")
     if not lost.isEmpty():
         raise ValueError("stored table anchors names blocks that aren't there")
 
@@ -259,13 +299,14 @@ def common_grams(rows: DataFrame, blocks: int) -> DataFrame:
     return part.where((F.col("n") * scale > COMMON) & (F.col("n") > total / HOT)).select("cls", "gram", F.lit(SALTS).alias("salts"))
 
 
-def places(rows: DataFrame, wanted: DataFrame, common: DataFrame) -> DataFrame:
-    """(near, o, doc_id, block, at): the shuffle by gram, of distinct strings and places."""
+def places(rows: DataFrame, wanted: DataFrame, common: DataFrame, string: str = "near", at=("doc_id", "block", "at")) -> DataFrame:
+    """(near, o, doc_id, block, at), or what else names strings and places: the shuffle by
+    gram, of distinct strings and places."""
     common = F.broadcast(common)
     salts = F.coalesce("salts", F.lit(1))
-    left = rows.join(common, ["cls", "gram"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "block", "at"), salts).cast("int"))
+    left = rows.join(common, ["cls", "gram"], "left").withColumn("salt", F.pmod(F.xxhash64(*at), salts).cast("int"))
     right = wanted.join(common, ["cls", "gram"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return left.drop("salts").join(right.drop("salts"), ["cls", "salt", "gram"]).select("near", "o", "doc_id", "block", "at")
+    return left.drop("salts").join(right.drop("salts"), ["cls", "salt", "gram"]).select(string, "o", *at)
 
 
 def _around(blocks: DataFrame) -> DataFrame:
@@ -273,12 +314,9 @@ def _around(blocks: DataFrame) -> DataFrame:
 
 
 def _with_blocks(hits: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Hits joined to their blocks. The texts of very few are named to the scan; few hits
-    are broadcast, and the blocks stay where they are."""
+    """Hits joined to their blocks; few hits are broadcast, and the blocks stay where they are."""
     hits = cut(hits)
-    n = hits.limit(max(BROADCAST_ROWS, NAMED) + 1).count()
-    if n <= NAMED:
-        blocks = named(blocks, "doc_id", [r[0] for r in hits.select("doc_id").distinct().collect()])
+    n = hits.limit(BROADCAST_ROWS + 1).count()
     return _around(blocks).join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, ["doc_id", "block"])
 
 
@@ -327,13 +365,68 @@ def _occurrences(texts: Texts, strings: DataFrame, counts: dict[int, int], margi
 
 
 def _stored_occurrences(texts: StoredTexts, strings: DataFrame, counts: dict[int, int]) -> DataFrame:
-    chosen, rows = texts.strides, texts.anchors()
-    wanted = keyed(strings, chosen)
+    """Strings go by number until their places are known."""
+    chosen, size = texts.strides, texts.about["size"]
+    numbers = cut(strings.select("near").distinct().select("near", F.monotonically_increasing_id().alias("s")))
+    kept = F.element_at(F.create_map(*[x for c, s in chosen.items() for x in (F.lit(c), F.lit(-1 << (32 - postings.bits_of(gram_of(c, s)))))]), F.col("cls"))
     if _few(counts, chosen):
-        if sum(counts.values()) * max(chosen.values()) <= NAMED:
-            rows = named(rows, "gram", [r[0] for r in wanted.select("gram").distinct().collect()])
-        hits = rows.join(F.broadcast(wanted), ["cls", "gram"])
+        keys = cut(_two_grams(numbers, chosen).withColumn("gram", F.col("gram").bitwiseAND(kept)))
+        wanted: dict[int, list[int]] = {}
+        for r in keys.select("cls", "gram").distinct().collect():
+            wanted.setdefault(r["cls"], []).append(r["gram"])
+        hits = _at_both(texts.anchors(wanted).join(F.broadcast(keys), ["cls", "gram"]), size)
+        found = _with_numbered(hits, texts.numbered()).join(F.broadcast(strings.join(F.broadcast(numbers), "near")), "s")
     else:
-        common = common_grams(rows, math.ceil(texts.about["letters"] / texts.about["size"]))
-        hits = places(rows, keyed(strings.select("near").distinct(), chosen), common).join(strings, "near")
-    return _exactly(_with_blocks(hits, texts.blocks(0)[1]), texts.about["size"])
+        common = common_grams(texts.anchors(), math.ceil(texts.about["letters"] / size))
+        keys = keyed(numbers, chosen).withColumn("gram", F.col("gram").bitwiseAND(kept)).drop("near")
+        hits = places(texts.anchors(), keys, common, "s", ("id", "p"))
+        found = _with_numbered(hits.join(numbers, "s").join(strings, "near"), texts.numbered())
+    return _exactly(found.drop("s"), size)
+
+
+def _two_grams(numbers: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """(s, cls, o, gram, more, far): a gram for each offset, as :func:`keyed` has it, and the
+    last other one that begins ``more`` letters, some strides, after it, if the string has one;
+    ``far`` says which of the two it is."""
+    first = keyed(numbers, chosen)
+    stride, size = (F.element_at(F.create_map(*[x for c, s in chosen.items() for x in (F.lit(c), F.lit(v(c, s)))]), F.col("cls"))
+                    for v in (lambda _, s: s, gram_of))
+    more = F.floor((F.length("near") - F.col("o") - size) / stride).cast("int") * stride
+    both = F.when(F.col("more") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    there = F.col("o") + F.when(F.col("far"), F.col("more")).otherwise(0)
+    return (first.withColumn("more", more).withColumn("far", F.explode(both))
+            .select("s", "cls", "o", gram_hash(fixed_slice(fixed(F.col("near")), there, size)).alias("gram"), "more", "far"))
+
+
+def _at_both(met: DataFrame, size: int) -> DataFrame:
+    """(s, o, id, p): the places where both grams of a string were met, or the one it has. The
+    second is in the same block; where it would be in the next, the first is enough."""
+    first = F.col("p") - F.when(F.col("far"), F.col("more")).otherwise(0)
+    return (met.select("s", "o", "id", first.alias("p"), "more", "far").where(F.col("p") >= 0)
+            .groupBy("s", "o", "id", "p").agg(F.first("more").alias("more"), F.bool_or("far").alias("second"), F.bool_or(~F.col("far")).alias("first"))
+            .where(F.col("first") & (F.col("second") | (F.col("more") == 0) | (F.col("p") + F.col("more") >= size)))
+            .select("s", "o", "id", "p"))
+
+
+def _with_numbered(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Hits, with id and p, joined to their blocks. The blocks of very few are named to the
+    scan; few hits are broadcast; with more, bitmaps of their blocks let few others pass to
+    the shuffle."""
+    hits = cut(hits)
+    n = hits.limit(max(BROADCAST_ROWS, NAMED) + 1).count()
+    if n <= NAMED:
+        blocks = named(blocks, "id", [r[0] for r in hits.select("id").distinct().collect()])
+    if n > BROADCAST_ROWS:
+        blocks = _numbered_in(blocks, hits)
+    found = blocks.select("id", "doc_id", "block", "lead", "text").join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "id")
+    return found.withColumns({"at": F.col("lead") + F.col("p"), "letters": fixed(F.col("text"))}).drop("id", "p", "text")
+
+
+def _numbered_in(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The blocks that hits name. Numbers are dense in each task's part of the blocks, so there
+    is a bitmap for every GROUP blocks."""
+    group = F.shiftright("id", GROUP.bit_length() - 1)
+    bits = hits.groupBy(group.alias("group")).agg(F.bitmap_construct_agg(F.col("id") % GROUP).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("id") % GROUP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = byte.bitwiseAND(F.expr("shiftleft(1, cast(id % 8 as int))")) != 0
+    return blocks.withColumn("group", group).join(F.broadcast(cut(bits)), "group").where(here).drop("group", "bits")

@@ -5,7 +5,7 @@ from itertools import product
 
 import pytest
 
-from seqloom.functions import schemes
+from seqloom.functions import postings, schemes
 from seqloom.operators import approx, exact, grams, index, report
 from seqloom.sources import corpus
 from seqloom.sources.text_files import TextFiles
@@ -126,6 +126,49 @@ def test_one_pattern_reads_few_stored_grams(spark, tmp_path):
     assert [(x.doc_id, x.at + x.shift) for x in found.collect()] == [(2, 777)]
 
 
+def test_storing_takes_few_bytes_a_letter(spark, tmp_path):
+    """What is stored, and what is shuffled to store it."""
+    r = random.Random(18)
+    frame = texts_of(spark, *("".join(r.choices("ACGT", k=100_000)) for _ in range(4)))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    grams.store(frame, str(tmp_path / "stored"))
+    assert sum(f.stat().st_size for f in (tmp_path / "stored").rglob("*.parquet")) < 3.2 * 400_000
+    assert shuffled() - before < 0.1 * 400_000
+    stored = grams.StoredTexts(spark, str(tmp_path / "stored"))
+    values = [x.gram for x in grams.keyed(spark.createDataFrame([("ACGTACGGTCA" + "ACGTTGCAT",)], "near string"), stored.strides).collect()]
+    read, _ = scanned(stored.anchors({12: values}))
+    assert 0 < read["anchors"] < 0.15 * stored.packed().count()
+
+
+@pytest.mark.parametrize("way", ["named", "broadcast", "few, many hits", "many"])
+def test_stored_grams_meet_each_occurrence_once(spark, tmp_path, monkeypatch, way):
+    """Several runs and blocks, strings across their ends, letters of one to four bytes, texts
+    with one id; and the texts are made again from their blocks."""
+    monkeypatch.setattr(postings, "RUN", 700)
+    if way != "named":
+        monkeypatch.setattr(grams, "NAMED", 0)
+    if way == "few, many hits":
+        monkeypatch.setattr(grams, "_few", lambda *_: True)
+    if way in ("few, many hits", "many"):
+        monkeypatch.setattr(grams, "BROADCAST_ROWS", 0)
+    r = random.Random(19)
+    texts = ["".join(r.choices("AC\u00e9\u20ac\U0001f600", weights=[9, 9, 1, 1, 1], k=n)) for n in (1_500, 257, 30)]
+    texts.append(texts[0][200:900])
+    frame = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3]), (3, "")], "doc_id long, text string").repartition(2)
+    grams.store(frame, str(tmp_path / "stored"), longest=60, classes=(4, 12, 24))
+    stored = grams.StoredTexts(spark, str(tmp_path / "stored"))
+    assert sorted(x.text for x in stored.texts.collect()) == sorted(texts)
+    wanted = {t[i: i + n] for t in texts for n in (4, 5, 11, 12, 13, 20, 24, 31, 40) for i in (0, 250, 255, 256, 490, 511, len(t) - n) if i >= 0}
+    wanted = {w for w in wanted if len(w) >= 4}
+    lengths = {n: len([w for w in wanted if len(w) == n]) for n in {len(w) for w in wanted}}
+    some = spark.createDataFrame([(w, 1) for w in wanted], "near string, extra int")
+    found = grams.occurrences(stored, some, lengths, 40).collect()
+    want = [(w, min(d, 2), i) for d, t in enumerate(texts) for w in wanted for i in range(len(t)) if t.startswith(w, i)]
+    assert sorted((x.near, x.doc_id, x.at + x.shift) for x in found) == sorted(want)
+    grams.check(spark, str(tmp_path / "stored"))
+
+
 def test_long_text_with_short_and_long_patterns(spark):
     """Places only, whatever the text's length: 5 million letters in one row."""
     r = random.Random(11)
